@@ -5,13 +5,282 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import cleaning as C
+from ..operators import chunking, profile, registry, rules, sampling
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def _query(sql: str | None = None):
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# -- profiles ---------------------------------------------------------------------------------------------------------
+
+_FIELDS = {"event_id": 0, "ts": 0, "user_id": 0, "event_type": 1, "value": 0, "props": 1}
+
+
+def _profile_sql(table: str, fields: dict[str, int]) -> str:
+    return " UNION ALL ".join(
+        f"SELECT '{f}' AS field, count(*) FILTER ({f} IS NULL) AS null_count, {f'count(*) FILTER ({f} = {chr(39)}{chr(39)})' if text else 'CAST(0 AS BIGINT)'} AS empty_string_count, "
+        f"count(DISTINCT {f}) + CAST(coalesce(bool_or({f} IS NULL), false) AS BIGINT) AS unique_count, count(*) AS total_records FROM {table}"
+        for f, text in fields.items()
+    )
+
+
+@_query(_profile_sql("events", _FIELDS))
+def quality_profile(spark, sf_dir):
+    return profile.quality_profile(_t(spark, sf_dir, "events"))
+
+
+_BEFORE = "SELECT c_custkey, nullif(c_mktsegment, 'BUILDING') AS segment, CASE WHEN c_custkey % 7 = 0 THEN '' ELSE c_name END AS name FROM customer"
+
+
+@_query(f"""
+WITH b AS ({_BEFORE}), a AS (SELECT c_custkey, coalesce(segment, 'unknown') AS segment, nullif(name, '') AS name, 1 AS added FROM b),
+pb AS ({_profile_sql("b", {"c_custkey": 0, "segment": 1, "name": 1})}), pa AS ({_profile_sql("a", {"c_custkey": 0, "segment": 1, "name": 1, "added": 0})})
+SELECT coalesce(pb.field, pa.field) AS field, coalesce(pb.null_count, 0) AS null_count_before, coalesce(pb.empty_string_count, 0) AS empty_string_count_before, coalesce(pb.unique_count, 0) AS unique_count_before,
+  coalesce(pa.null_count, 0) AS null_count_after, coalesce(pa.empty_string_count, 0) AS empty_string_count_after, coalesce(pa.unique_count, 0) AS unique_count_after,
+  CASE WHEN pb.null_count > 0 THEN round((pb.null_count - pa.null_count) * 100.0::DOUBLE / pb.null_count, 2) ELSE 0.0::DOUBLE END AS null_reduction_pct,
+  CASE WHEN pb.empty_string_count > 0 THEN round((pb.empty_string_count - pa.empty_string_count) * 100.0::DOUBLE / pb.empty_string_count, 2) ELSE 0.0::DOUBLE END AS empty_string_reduction_pct
+FROM pb FULL JOIN pa ON pb.field = pa.field""")
+def quality_compare(spark, sf_dir):
+    c = _t(spark, sf_dir, "customer")
+    before = c.select("c_custkey", F.nullif("c_mktsegment", F.lit("BUILDING")).alias("segment"), F.when(F.col("c_custkey") % 7 == 0, "").otherwise(F.col("c_name")).alias("name"))
+    fixes = [rules.ExprRule("fill", "segment", lambda x: F.coalesce(x, F.lit("unknown"))), rules.ExprRule("blank", "name", lambda x: F.nullif(x, F.lit("")))]
+    return profile.quality_compare(before, rules.apply_rules(before, fixes).withColumn("added", F.lit(1)))
+
+
+@_query("""
+WITH head AS (SELECT * FROM customer ORDER BY c_custkey LIMIT 10)
+SELECT CAST(o AS INTEGER) AS ordinal, field, type, nullable, samples FROM (
+  SELECT 0 AS o, 'c_custkey' AS field, 'int' AS type, bool_or(c_custkey IS NULL) AS nullable, list(CAST(c_custkey AS VARCHAR) ORDER BY c_custkey)[1:3] AS samples FROM head
+  UNION ALL SELECT 1, 'c_name', 'str', bool_or(c_name IS NULL), list(c_name ORDER BY c_custkey)[1:3] FROM head
+  UNION ALL SELECT 2, 'c_nationkey', 'int', bool_or(c_nationkey IS NULL), list(CAST(c_nationkey AS VARCHAR) ORDER BY c_custkey)[1:3] FROM head
+  UNION ALL SELECT 3, 'c_mktsegment', 'str', bool_or(c_mktsegment IS NULL), list(c_mktsegment ORDER BY c_custkey)[1:3] FROM head)""")
+def schema_profile(spark, sf_dir):
+    return profile.schema_profile(_t(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment"), "c_custkey")
+
+
+@_query("SELECT event_type, count(value) AS n_calls, round(sum(value), 2) AS total, round(min(value), 2) AS least, round(max(value), 2) AS most, round(avg(value), 2) AS mean FROM events GROUP BY event_type")
+def latency_summary(spark, sf_dir):
+    return profile.latency_summary(_t(spark, sf_dir, "events"), "value", "event_type")
+
+
+@_query("SELECT role, CAST(sum(length(text) // 4) AS BIGINT) AS tokens FROM conversations GROUP BY role")
+def token_estimate(spark, sf_dir):
+    return _t(spark, sf_dir, "conversations").groupBy("role").agg(F.sum(F.floor(F.length("text") / 4)).alias("tokens"))
+
+
+# -- chunks, samples, splits ------------------------------------------------------------------------------------------
+
+
+@_query("SELECT o_orderkey, (row_number() OVER (ORDER BY o_orderkey) - 1) // 50 AS chunk_index, (row_number() OVER (ORDER BY o_orderkey) - 1) % 50 AS pos_in_chunk FROM orders")
+def row_chunks(spark, sf_dir):
+    return chunking.row_chunks(_t(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", size=50)
+
+
+@_query("SELECT * FROM (SELECT doc_id, i AS chunk_index, substr(text, i * 400 + 1, 400) AS chunk FROM (SELECT doc_id, text, unnest(range(0, (length(text) - 1) // 400 + 1)) AS i FROM documents WHERE length(text) > 0)) WHERE trim(chunk) <> ''")
+def char_chunks(spark, sf_dir):
+    return chunking.char_chunks(_t(spark, sf_dir, "documents").select("doc_id", "text"), "text", 400).select("doc_id", "chunk_index", "chunk")
+
+
+@_query()
+def sentence_chunks(spark, sf_dir):
+    return chunking.sentence_chunks(_t(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@_query()
+def paragraph_chunks(spark, sf_dir):
+    return chunking.paragraph_chunks(_t(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@_query("SELECT o_orderkey, row_number() OVER (ORDER BY md5('42|' || o_orderkey), o_orderkey) - 1 AS pos FROM orders")
+def sample_random(spark, sf_dir):
+    return sampling.shuffled(_t(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey")
+
+
+@_query("""
+WITH r AS (SELECT o_orderkey, o_orderpriority, row_number() OVER (PARTITION BY o_orderpriority ORDER BY md5('42|' || o_orderkey), o_orderkey) AS rn, min(o_orderkey) OVER (PARTITION BY o_orderpriority) AS first FROM orders)
+SELECT o_orderkey, o_orderpriority, row_number() OVER (ORDER BY rn, first) - 1 AS pos FROM r""")
+def sample_stratified(spark, sf_dir):
+    return sampling.interleaved(_t(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority"), "o_orderkey", "o_orderpriority")
+
+
+@_query("SELECT doc_id, CAST('0x' || substr(md5(text), 1, 8) AS BIGINT) AS seed FROM documents")
+def content_seed(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select("doc_id", sampling.content_seed(F.col("text")).alias("seed"))
+
+
+@_query("""
+WITH c AS (SELECT o_orderkey, (row_number() OVER (ORDER BY o_orderkey) - 1) // 50 AS chunk_index FROM orders)
+SELECT o_orderkey, chunk_index, row_number() OVER (PARTITION BY chunk_index ORDER BY o_orderkey) > count(*) OVER (PARTITION BY chunk_index) - greatest(1, floor(count(*) OVER (PARTITION BY chunk_index) * 0.2)) AS is_holdout FROM c""")
+def holdout_records(spark, sf_dir):
+    chunks = chunking.row_chunks(_t(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", size=50)
+    return sampling.holdout(chunks.drop("pos_in_chunk"), "chunk_index", "o_orderkey", 0.2)
+
+
+@_query("""
+WITH s AS (SELECT doc_id, string_split(regexp_replace(trim(text), '([.!?])\\s+', '\\1' || chr(31), 'g'), chr(31)) AS p FROM documents),
+n AS (SELECT doc_id, p, len(p) AS n, CASE WHEN len(p) > 1 THEN greatest(1, CAST(floor(len(p) * 0.2) AS BIGINT)) ELSE 0 END AS h FROM s)
+SELECT doc_id, CAST(n AS BIGINT) AS sentences, array_to_string(p[1:n - h], ' ') AS kept, array_to_string(p[n - h + 1:n], ' ') AS held_out FROM n""")
+def holdout_sentences(spark, sf_dir):
+    n, kept, held = sampling.holdout_sentences(F.col("text"))
+    return _t(spark, sf_dir, "documents").select("doc_id", n.alias("sentences"), kept.alias("kept"), held.alias("held_out"))
+
+
+@_query("SELECT chunk_index, o_orderkey FROM (SELECT o_orderkey, (row_number() OVER (ORDER BY o_orderkey) - 1) // 50 AS chunk_index FROM orders) QUALIFY row_number() OVER (PARTITION BY chunk_index ORDER BY o_orderkey) <= 3")
+def chunk_samples(spark, sf_dir):
+    chunks = chunking.row_chunks(_t(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", size=50)
+    return sampling.first_of_chunk(chunks, "chunk_index", "o_orderkey").select("chunk_index", "o_orderkey")
+
+
+# -- cleaning rules ---------------------------------------------------------------------------------------------------
+
+
+@_query("SELECT doc_id, regexp_replace(trim(text, ' '), ' +', ' ', 'g') AS text FROM documents")
+def text_whitespace(spark, sf_dir):
+    return rules.apply_rules(_t(spark, sf_dir, "documents").select("doc_id", "text"), [rules.ExprRule("spaces", "text", C.collapse_spaces)])
+
+
+@_query("SELECT page_id, replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' '), '&middot;', '·'), '&copy;', '©'), '&amp;', '&') AS html FROM pages")
+def html_strip(spark, sf_dir):
+    fixes = [rules.ExprRule("tags", "html", C.strip_tags), rules.ExprRule("entities", "html", C.decode_entities)]
+    return rules.apply_rules(_t(spark, sf_dir, "pages").select("page_id", "html"), fixes)
+
+
+@_query("SELECT doc_id, lower(text) AS text FROM documents")
+def lowercase(spark, sf_dir):
+    return rules.apply_rules(_t(spark, sf_dir, "documents").select("doc_id", "text"), [rules.ExprRule("lower", "text", F.lower)])
+
+
+_MAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
+
+
+@_query(f"SELECT doc_id, CAST(len(regexp_extract_all(text, '{_MAIL}')) AS BIGINT) AS emails FROM documents")
+def email_count(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select("doc_id", F.regexp_count("text", F.lit(_MAIL)).cast("long").alias("emails"))
+
+
+@_query("SELECT p_partkey, array_to_string(list_transform(string_split(trim(p_name), ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') AS p_name FROM part")
+def title_case(spark, sf_dir):
+    return rules.apply_rules(_t(spark, sf_dir, "part").select("p_partkey", "p_name"), [rules.ExprRule("title", "p_name", C.title_case)])
+
+
+@_query("""
+SELECT o_orderkey, o_totalprice AS amount, CAST(o_orderdate AS DATE)::VARCHAR AS ordered, strftime(o_orderdate, '%H:%M:%S') AS at,
+  'SKU-' || o_orderkey AS sku, '****' || right('00' || o_custkey, 4) AS account, lpad(CAST(o_custkey AS VARCHAR), 5, '0') AS zip,
+  CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'pending' ELSE 'partial' END AS status,
+  ['urgent', 'a' || o_custkey] AS tags FROM orders""")
+def rule_library(spark, sf_dir):
+    """Typed values are spelt as dirty ones first; the rules bring them back."""
+    o = _t(spark, sf_dir, "orders")
+    dirty = o.select(
+        "o_orderkey",
+        F.concat(F.lit("$ "), F.col("o_totalprice").cast("string")).alias("amount"),
+        F.date_format("o_orderdate", "MM/dd/yyyy").alias("ordered"),
+        F.date_format("o_orderdate", "HHmmss").alias("at"),
+        F.concat(F.lit("sku-"), F.col("o_orderkey")).alias("sku"),
+        F.concat(F.lit("AC 00"), F.col("o_custkey")).alias("account"),
+        F.concat(F.col("o_custkey"), F.lit("-1234")).alias("zip"),
+        F.when(F.col("o_orderstatus") == "F", " Success ").when(F.col("o_orderstatus") == "O", "open").otherwise("p").alias("status"),
+        F.concat(F.lit("Urgent, a"), F.col("o_custkey"), F.lit(",URGENT ")).alias("tags"),
+    )
+    status = {"SUCCESS": "completed", "OPEN": "pending", "P": "partial"}
+    made = [("amount", C.to_number), ("ordered", C.to_date), ("at", C.to_time), ("sku", lambda c: C.prefixed(c, "SKU")), ("account", C.last_digits), ("zip", C.to_zip), ("status", lambda c: C.canonical(c, status)), ("tags", C.to_tags)]
+    return rules.apply_rules(dirty, [rules.ExprRule(f, f, e) for f, e in made])
+
+
+@_query("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
+def json_field(spark, sf_dir):
+    return _t(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
+
+
+PY_RULE = rules.PyRule("double_k", "def double_k(record):\n    if isinstance(record.get('k'), int) and record['k'] < 1000:\n        record['k'] = record['k'] * 2 + 1000\n    return record\n")
+
+
+@_query("SELECT event_id, CAST(CASE WHEN CAST(json_extract(props, '$.k') AS BIGINT) < 1000 THEN CAST(json_extract(props, '$.k') AS BIGINT) * 2 + 1000 ELSE CAST(json_extract(props, '$.k') AS BIGINT) END AS BIGINT) AS k FROM events")
+def py_rule_apply(spark, sf_dir):
+    rows = _t(spark, sf_dir, "events").select("event_id", F.col("props").alias("raw"))
+    return rules.apply_rules(rows, [PY_RULE]).select("event_id", F.get_json_object("raw", "$.k").cast("long").alias("k"))
+
+
+# -- the registry's operators, on tables ------------------------------------------------------------------------------
+
+
+@_query("SELECT conv_id, turn, CAST(used AS BIGINT) AS used FROM (SELECT conv_id, turn, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn DESC) AS used FROM conversations) WHERE used <= 1000")
+def context_budget(spark, sf_dir):
+    rows = _t(spark, sf_dir, "conversations")
+    return registry.within_budget(rows, "conv_id", "turn", F.length("text"), 1000).select("conv_id", "turn", "used")
+
+
+def _tags(spark, sf_dir):
+    return _t(spark, sf_dir, "part").select("p_partkey", F.explode(F.split("p_name", " ")).alias("tag"))
+
+
+_TAGS = "SELECT DISTINCT p_partkey, unnest(string_split(p_name, ' ')) AS tag FROM part"
+
+
+@_query(f"WITH t AS ({_TAGS}), n AS (SELECT count(DISTINCT p_partkey) AS n FROM t) SELECT tag, df, round(ln(n::DOUBLE / df), 6) AS idf FROM (SELECT tag, count(*) AS df FROM t GROUP BY tag), n")
+def idf(spark, sf_dir):
+    return registry.tag_weights(_tags(spark, sf_dir), "p_partkey", "tag").withColumn("idf", F.round("idf", 6))
+
+
+@_query(f"WITH t AS ({_TAGS}), d AS (SELECT tag, count(*) AS df FROM t GROUP BY tag) SELECT p_partkey, tag, df FROM t JOIN d USING (tag) QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY df, tag) = 1")
+def salience_groups(spark, sf_dir):
+    return registry.salient_tags(_tags(spark, sf_dir), "p_partkey", "tag")
+
+
+@_query("""
+SELECT p_partkey, CASE WHEN n >= 2 THEN CASE WHEN k = 1 THEN p_brand ELSE p_brand || '_' || k END END AS balanced FROM (
+  SELECT p_partkey, p_brand, count(*) OVER (PARTITION BY p_brand) AS n, (row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1) // 40 + 1 AS k FROM part)""")
+def group_rebalance(spark, sf_dir):
+    return registry.split_groups(_t(spark, sf_dir, "part").select("p_partkey", "p_brand"), "p_brand", "p_partkey", 2, 40).select("p_partkey", "balanced")
+
+
+@_query("""
+WITH t AS (SELECT p_partkey, list_distinct(string_split(p_name, ' ')) AS tags FROM part),
+g AS (SELECT p_partkey AS gid, tags AS gtags FROM t WHERE p_partkey <= 50),
+x AS (SELECT t.p_partkey, gid, len(list_intersect(tags, gtags)) AS n, len(tags) AS a, len(gtags) AS b FROM t, g WHERE p_partkey > 50)
+SELECT o.p_partkey, m.gid, round(m.j, 6) AS jaccard FROM t o LEFT JOIN (
+  SELECT p_partkey, gid, n::DOUBLE / (a + b - n) AS j FROM x WHERE n > 0 QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY j DESC, gid) = 1) m USING (p_partkey) WHERE o.p_partkey > 50""")
+def jaccard_assign(spark, sf_dir):
+    t = _t(spark, sf_dir, "part").select("p_partkey", F.array_distinct(F.split("p_name", " ")).alias("tags"))
+    groups = t.where("p_partkey <= 50").toDF("gid", "gtags")
+    return registry.most_alike(t.where("p_partkey > 50"), groups, "p_partkey", "tags", "gid", "gtags").withColumn("jaccard", F.round("jaccard", 6))
+
+
+@_query("SELECT doc_id FROM documents QUALIFY row_number() OVER (PARTITION BY md5(text) ORDER BY doc_id) = 1")
+def dedup_keep_first(spark, sf_dir):
+    return registry.keep_first_rows(_t(spark, sf_dir, "documents").select("doc_id", "text"), F.md5(F.col("text").cast("binary")), "doc_id").select("doc_id")
+
+
+@_query("""
+WITH e AS (SELECT event_id // 500 AS chunk, user_id FROM events), f AS (SELECT chunk, count(*) AS fresh FROM (SELECT user_id, min(chunk) AS chunk FROM e GROUP BY user_id) GROUP BY chunk)
+SELECT c.chunk, coalesce(fresh, 0) AS fresh, CAST(sum(coalesce(fresh, 0)) OVER (ORDER BY c.chunk ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS BIGINT) AS recent FROM (SELECT DISTINCT chunk FROM e) c LEFT JOIN f ON c.chunk = f.chunk""")
+def saturation_window(spark, sf_dir):
+    e = _t(spark, sf_dir, "events").select(F.floor(F.col("event_id") / 500).alias("chunk"), "user_id")
+    return registry.saturation(e, "chunk", "user_id", 3)
