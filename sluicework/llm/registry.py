@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, exact_topk, language_id, minhash_dedup, quality_gam, secret_scan, source_mix, token_counts, url_filter
+from . import bpe_codec, exact_topk, language_id, media_copies, minhash_dedup, quality_gam, secret_scan, source_mix, token_counts, url_filter
 from .shared import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -46,11 +46,17 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op9_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No table holds media: every vector of ``embeddings`` is rendered as a picture, and those are the media column."""
+    media = media_copies.rendered(table(spark, sf_dir, "embeddings"))
+    return media_copies.copies(media, "vec_id", "image").withColumnRenamed("id", "vec_id")
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
 
-_ALL = (op1_quality_gam, op2_minhash_dedup, op3_url_filter, op4_source_mix, op5_language_id, op6_bpe_codec, op7_exact_topk, op8_secret_scan, op10_token_counts)
+_ALL = (op1_quality_gam, op2_minhash_dedup, op3_url_filter, op4_source_mix, op5_language_id, op6_bpe_codec, op7_exact_topk, op8_secret_scan, op9_media_copies, op10_token_counts)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -158,13 +158,13 @@ def _spans(rule: Rule, place: int) -> Column:
 def _scanned(rows: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     """``rows`` (with __id and __text) with __spans: sorted by start, then place of the rule."""
     found = candidates(rows.select("__id", "__text"), rules)
-    rows = rows.withColumn("__key", _key()).join(found.withColumnRenamed("key", "__key"), "__key", "left")
+    rows = rows.withColumn("__key", _key()).join(found.toDF("__key", "__found"), "__key", "left")
     none = F.from_json(F.lit("[]"), "array<struct<start:int,place:int,end:int>>")
     spans = []
     for n, rule in enumerate(rules):
-        may = F.array_contains("found", n) if trigram_query(rule.pattern) else F.lit(True)
+        may = F.array_contains("__found", n) if trigram_query(rule.pattern) else F.lit(True)
         spans.append(F.when(may & F.col("__text").rlike(rule.java), _spans(rule, n)).otherwise(none))
-    return rows.withColumn("__spans", F.array_sort(F.concat(*spans))).drop("__key", "found")
+    return rows.withColumn("__spans", F.array_sort(F.concat(*spans))).drop("__key", "__found")
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, base: int = len(BASE), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
