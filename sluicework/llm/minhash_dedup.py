@@ -6,15 +6,18 @@ Counting collisions skips long lists: a document's postings are ordered by list
 the rarest ones is merged, since any pair with enough collisions meets there; the rest of the signature is
 compared pair by pair. Candidates are confirmed on full shingle sets.
 
-Groups are never expanded into all pairs. Each list first links its members to one hub; then, where a list still
-spans several components, each member is compared (by signatures, in blocks) with its best match in every other
-component; then all that is left across components is compared. Every candidate pair is either confirmed,
-refuted, or already within one component, so components are those of all candidate links.
+Groups are never expanded into all pairs. Each list first links its members to one hub, by a join on the few pairs
+that this gives. Where the members of a hub then still lie in several components, they meet in blocks of bounded
+size: members of different components are compared, by signatures and then on full sets, and whatever links merges
+their components at once, so a block sends at most one link for each member. Every candidate pair is confirmed,
+refuted, or already within one component, so components are those of all candidate links. A pair is also refuted
+if the exact Jaccard distances of its two members to the hub differ by more than the linking distance: that distance
+is a metric.
 
 Defined cases: a null or empty text has no shingles and links with nothing; a row without id links with nothing
 and is kept with a null component; rows of one id count as one document; equal sets are linked by their 128-bit
 fingerprints; further columns are ignored. A pair at a similarity of exactly 0.75 misses the match threshold with
-a probability of about 1e-5 (binomial tail, 48 coordinates, 22 matches); more similar pairs, far less.
+a probability of about 1e-5 (binomial tail, 64 coordinates, 33 matches); more similar pairs, far less.
 """
 
 from __future__ import annotations
@@ -28,10 +31,10 @@ from pyspark.sql import functions as F
 
 from .shared import mix64, random_words, record_batch, stash, text_slices, word_hashes
 
-COORDINATES, MATCHES, SHINGLE = 48, 22, 5
+COORDINATES, MATCHES, SHINGLE = 64, 33, 5
 PERCENT = 75
-#: Members of one posting list that are compared with each other in one block.
-BLOCK = 256
+#: Members of one hub, and shingles of all of them, that form one block; rows that Spark sends to Python at once.
+BLOCK, BLOCK_SHINGLES, SENT_ROWS = 1024, 1_000_000, 512
 
 _PLACES = random_words(64, 5)
 _FLIPS, _FACTORS = random_words(256, 7), random_words(256, 9)
@@ -105,50 +108,64 @@ def _sets(size: int):
     return run
 
 
-def _in_blocks(matches: int, best_only: bool):
-    """From rows sorted by (tok, i, j): pairs of one block pair that lie in different components and collide often enough."""
+def _block_links(same: bool, left: np.ndarray, ids: np.ndarray, comps: np.ndarray, far: np.ndarray, sigs: np.ndarray, sets: list[np.ndarray], matches: int, percent: int) -> list[tuple[int, int]]:
+    """Links between components of the members of one hub: members in ``left`` against the rest, or all if ``same``."""
+    sizes = np.array([len(x) for x in sets])
+    heads = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    _, codes = np.unique(np.concatenate(sets), return_inverse=True)
+    held = np.zeros(codes.max() + 1, bool)
+    comps, most, links = comps.copy(), 1 - percent / 100 + 1e-9, []
+    for x in range(len(ids)) if same else np.flatnonzero(left):
+        may = (comps != comps[x]) & ~(np.abs(far - far[x]) > most)
+        if same:
+            may[:x] = False
+        else:
+            may &= ~left
+        may &= 100 * np.minimum(sizes, sizes[x]) >= percent * np.maximum(sizes, sizes[x])
+        at = np.flatnonzero(may)
+        at = at[(sigs[at] == sigs[x]).sum(axis=1) >= matches]
+        if not len(at):
+            continue
+        own = codes[heads[x] : heads[x] + sizes[x]]
+        held[own] = True
+        common = np.add.reduceat(held[codes].astype(np.int32), heads)[at]
+        held[own] = False
+        for y in at[100 * common >= percent * (sizes[at] + sizes[x] - common)]:
+            if comps[y] != comps[x]:
+                links.append((int(ids[x]), int(ids[y])))
+                comps[comps == comps[y]] = comps[x]
+    return links
+
+
+def _in_blocks(matches: int, percent: int):
+    """From rows sorted by (hub, i, j): links between the components that meet there."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def pairs(i: int, j: int, ids: np.ndarray, blocks: np.ndarray, comps: np.ndarray, sigs: np.ndarray) -> np.ndarray:
-        left, right = np.flatnonzero(blocks == i), np.flatnonzero(blocks == j)
-        found = []
-        for x in left:
-            ys = right[right > x] if i == j else right
-            ys = ys[comps[ys] != comps[x]]
-            if len(ys):
-                hits = (sigs[ys] == sigs[x]).sum(axis=1)
-                ok = hits >= matches
-                ys, hits = ys[ok], hits[ok]
-                if best_only and len(ys) > 1:
-                    order = np.lexsort((ids[ys], -hits, comps[ys]))
-                    ys = ys[order][np.concatenate([[True], np.diff(comps[ys][order]) != 0])]
-                found += [(min(ids[x], ids[y]), max(ids[x], ids[y])) for y in ys]
-        return np.array(found, np.int64).reshape(-1, 2)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-
-        def groups(final: bool):
-            key = np.concatenate([h[0] for h in held])
-            rows = [np.concatenate([h[k] for h in held]) for k in range(1, 5)]
-            cuts = np.concatenate([[0], np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1, [len(key)]])
-            last = len(cuts) - 1 if final else len(cuts) - 2
-            made = [pairs(int(key[a, 1]), int(key[a, 2]), *(r[a:b] for r in rows)) for a, b in zip(cuts[:last], cuts[1 : last + 1], strict=True) if b - a > 1]
-            rest = cuts[last]
-            held[:] = [(key[rest:], *(r[rest:] for r in rows))] if rest < len(key) else []
-            made = np.unique(np.concatenate(made), axis=0) if made else np.zeros((0, 2), np.int64)
-            return record_batch({"a": made[:, 0].copy(), "b": made[:, 1].copy()}, schema)
-
+        held: list[pa.RecordBatch] = []
+
+        def links() -> pa.RecordBatch:
+            rows = pa.Table.from_batches(held).combine_chunks()
+            held.clear()
+            ids, block, comps, far = (rows.column(c).to_numpy() for c in ("node", "block", "comp", "far"))
+            i, j = rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
+            sets = [x.values.to_numpy() for x in rows.column("set")]
+            sigs = rows.column("sig").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
+            made = _block_links(i == j, block == i, ids, comps, far, sigs, sets, matches, percent) if len(ids) > 1 else []
+            return record_batch({"a": [min(x) for x in made], "b": [max(x) for x in made]}, schema)
+
+        key = None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            key = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)], axis=1)
-            sig = batch.column(6)
-            flat = sig.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-            held.append((key, *(batch.column(k).to_numpy(zero_copy_only=False) for k in (3, 4, 5)), flat))
-            yield groups(False)
+            keys = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)], axis=1)
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1), len(keys)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if hi > lo:
+                    if key is not None and tuple(keys[lo]) != key:
+                        yield links()
+                    key = tuple(keys[lo])
+                    held.append(batch.slice(lo, hi - lo))
         if held:
-            yield groups(True)
+            yield links()
 
     return run
 
@@ -175,10 +192,12 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 _SET = ["f1", "f2", "n_shingles"]
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", coordinates: int = COORDINATES, matches: int = MATCHES, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
     """(id, n_shingles, component_id, kept) for each row of ``docs``; see the module's text."""
+    spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     prints = stash(source.mapInArrow(_prints(shingle, coordinates), "id long, n_shingles long, f1 long, f2 long, sig array<int>"), "prints")
     whole = prints.where("id IS NOT NULL AND n_shingles > 0")
@@ -196,7 +215,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # Of c shared coordinates, two documents with enough collisions have one of the c - matches + 1 rarest in common.
     posts = stash(own.select("node", F.explode(F.slice("p", F.lit(1), F.size("p") - F.lit(matches - 1))).alias("t")).select("node", F.col("t.tok").alias("tok")), "posts")
 
-    hubs = posts.groupBy("tok").agg(F.min("node").alias("hub"), F.count("*").alias("members")).where("members > 1")
+    hubs = posts.groupBy("tok").agg(F.min("node").alias("hub"), F.count("*").alias("c")).where("c > 1")
     pairs = posts.join(hubs, "tok").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     pairs = pairs.join(sigs.toDF("a", "sa"), "a").join(sigs.toDF("b", "sb"), "b")
     pairs = stash(pairs.where(F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x) >= matches).select("a", "b"), "pairs")
@@ -210,30 +229,38 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         sets = sets.join(partners, "node", "left_semi")
     sets = stash(sets.dropDuplicates(["node"]) if repeated else sets, "sets")
 
-    def confirm(pairs: DataFrame) -> DataFrame:
+    def compare(pairs: DataFrame) -> DataFrame:
         both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
         both = both.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("common"))
-        return both.where(100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b")
+        return both.select("a", "b", "common", (F.col("na") + F.col("nb") - F.col("common")).alias("all"))
 
-    tested, found = pairs, confirm(pairs)
+    linked = 100 * F.col("common") >= percent * F.col("all")
+    measured = stash(compare(pairs), "measured")
+    found = measured.where(linked).select("a", "b")
+    to_hub = measured.select(F.col("a").alias("hub"), F.col("b").alias("node"), (1 - F.col("common") / F.col("all")).alias("far"))
     if several:  # classes that an id has in common
         ids = whole.join(classes.select(*_SET, "node"), _SET).groupBy("id").agg(F.min("node").alias("a"), F.collect_set("node").alias("all"))
         found = found.unionByName(ids.select("a", F.explode("all").alias("b")).where("a <> b"))
     comps = components(found)
-    for best_only in (True, False):
-        rows = posts.join(comps, "node", "left").select("tok", "node", F.coalesce("comp", "node").alias("comp"))
-        mixed = rows.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("members")).where("lo <> hi")
-        dealt = rows.join(mixed.select("tok", F.ceil(F.col("members") / BLOCK).cast("long").alias("nb")), "tok").withColumn("block", F.pmod(F.xxhash64("node"), F.col("nb")))
-        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
-        dealt = dealt.select("tok", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "block", "comp").join(sigs, "node")
-        dealt = dealt.select("tok", "i", "j", "node", "block", "comp", "sig").repartition("tok", "i", "j").sortWithinPartitions("tok", "i", "j", "node")
-        pairs = stash(dealt.mapInArrow(_in_blocks(matches, best_only), "a long, b long").distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-        if pairs.isEmpty():
-            continue
-        found = stash(confirm(pairs), "links")
-        tested = tested.unionByName(pairs)
-        if not found.isEmpty():
-            comps = components(comps.where("node <> comp").select(F.col("comp").alias("a"), F.col("node").alias("b")).unionByName(found))
+
+    members = posts.join(hubs.select("tok", "hub"), "tok").select("hub", "node").distinct().join(comps, "node", "left").select("hub", "node", F.coalesce("comp", "node").alias("comp"))
+    members = stash(members.join(classes.select("node", "n_shingles"), "node"), "members")
+    mixed = members.groupBy("hub").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c"), F.sum("n_shingles").alias("s")).where("lo <> hi")
+    blocks = F.greatest(F.ceil(F.col("c") / BLOCK), F.ceil(F.col("s") / BLOCK_SHINGLES)).cast("long")
+    dealt = members.join(mixed.select("hub", blocks.alias("nb")), "hub").join(to_hub, ["hub", "node"], "left")
+    far = F.when(F.col("hub") == F.col("node"), 0.0).otherwise(F.coalesce("far", F.lit(float("nan"))))
+    dealt = dealt.withColumn("far", far).withColumn("block", F.pmod(F.xxhash64("node"), F.col("nb")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
+    dealt = dealt.select("hub", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "block", "comp", "far").join(sigs, "node").join(sets, "node")
+    dealt = dealt.select("hub", "i", "j", "node", "block", "comp", "far", "sig", "set").repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j", "node")
+    before = spark.conf.get(_ROWS)
+    spark.conf.set(_ROWS, SENT_ROWS)
+    try:
+        more = stash(dealt.mapInArrow(_in_blocks(matches, percent), "a long, b long"), "links")
+    finally:
+        spark.conf.set(_ROWS, before)
+    if not more.isEmpty():
+        comps = components(comps.where("node <> comp").select(F.col("comp").alias("a"), F.col("node").alias("b")).unionByName(more))
 
     named = classes.join(comps, "node", "left").select("f1", "f2", F.col("n_shingles").alias("n"), "low", F.coalesce("comp", "node").alias("comp"))
     if several:
