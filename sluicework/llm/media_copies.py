@@ -28,10 +28,10 @@ from pyspark.sql import functions as F
 from .minhash_dedup import components
 from .shared import record_batch, stash
 
-SCALES, POINTS = (1.0, 0.7, 0.5), (60, 30, 15)
+SCALES, POINTS = (1.0, 0.7, 0.5), (18, 8, 6)
 MARGIN, RADIUS, BITS, TABLES = 12, 9, 256, 8
 #: Bits by which matching descriptors may differ; matches that must agree; pixels by which they may be off.
-DIFFERENT, AGREEING, OFF = 48, 8, 3.0
+DIFFERENT, AGREEING, OFF = 48, 6, 3.0
 
 _RNG = np.random.default_rng(7)
 _R, _A = RADIUS * np.sqrt(_RNG.random((BITS, 2))), 2 * np.pi * _RNG.random((BITS, 2))
@@ -151,11 +151,8 @@ def describe(images: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     return [(np.concatenate([np.zeros((0, 4)), *(p for p, _ in x)]), np.concatenate([np.zeros((0, 4), np.int64), *(b for _, b in x)])) for x in found]
 
 
-_POINT = "struct<x:float,y:float,angle:float,scale:float,bits:array<bigint>>"
-
-
 def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("id", pa.int64()), ("x", pa.float32()), ("y", pa.float32()), ("angle", pa.float32()), ("scale", pa.float32()), ("bits", pa.list_(pa.int64()))])
+    schema = pa.schema([("id", pa.int64()), ("no", pa.int32()), ("x", pa.float32()), ("y", pa.float32()), ("angle", pa.float32()), ("scale", pa.float32()), ("bits", pa.list_(pa.int64()))])
     for batch in batches:
         for lo in range(0, batch.num_rows, 64):
             ids = batch.column(0).slice(lo, 64).to_numpy(zero_copy_only=False)
@@ -167,9 +164,10 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 made = describe(np.stack([x for _, x in group]))
                 points, bits = np.concatenate([p for p, _ in made]), np.concatenate([b for _, b in made])
                 own = np.repeat([i for i, _ in group], [len(p) for p, _ in made])
+                no = np.concatenate([np.arange(len(p), dtype=np.int32) for p, _ in made])
                 ends = np.arange(len(own) + 1, dtype=np.int32) * 4
                 columns = {c: points[:, k].astype(np.float32) for k, c in enumerate(("x", "y", "angle", "scale"))}
-                yield record_batch({"id": own.astype(np.int64), "bits": pa.ListArray.from_arrays(ends, pa.array(bits.ravel())), **columns}, schema)
+                yield record_batch({"id": own.astype(np.int64), "no": no, "bits": pa.ListArray.from_arrays(ends, pa.array(bits.ravel())), **columns}, schema)
 
 
 def agreeing(left: np.ndarray, right: np.ndarray) -> int:
@@ -204,18 +202,22 @@ def copies(media: DataFrame, id_col: str, image_col: str, agree: int = AGREEING)
     reps = files.groupBy("file").agg(F.min("id").alias("rep"))
     same = files.join(reps, "file").where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
     single = named.join(reps.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id"])
-    point = F.struct("x", "y", "angle", "scale", "bits").cast(_POINT)
-    points = stash(single.mapInArrow(_described, "id long, x float, y float, angle float, scale float, bits array<bigint>").select("id", point.alias("p")), "points")
+    points = stash(single.mapInArrow(_described, "id long, no int, x float, y float, angle float, scale float, bits array<bigint>").withColumn("code", F.shiftleft("id", 7).bitwiseOR(F.col("no").cast("long"))), "points")
 
-    word = lambda t: F.shiftright(F.element_at("p.bits", t // 2 + 1), 32 * (t % 2)).bitwiseAND(F.lit(0xFFFFFFFF))
+    # Postings are two numbers: the key of a table, and a point's code, which sorts by picture.
+    word = lambda t: F.shiftright(F.element_at("bits", t // 2 + 1), 32 * (t % 2)).bitwiseAND(F.lit(0xFFFFFFFF))
     keys = F.array(*[F.shiftleft(F.lit(t).cast("long"), 32).bitwiseOR(word(t)) for t in range(TABLES)])
-    posts = points.select("id", "p", F.explode(keys).alias("key"))
-    # one point of the smallest picture stands for the list
-    hubs = posts.groupBy("key").agg(F.min("id").alias("hub"), F.count_distinct("id").alias("c")).where("c > 1").select("key", "hub")
-    hub_points = posts.join(hubs, "key").where("id = hub").groupBy("key", "hub").agg(F.max("p").alias("q"))
-    differ = sum((F.bit_count(F.element_at("p.bits", k).bitwiseXOR(F.element_at("q.bits", k))) for k in range(1, 5)), F.lit(0))
-    matches = posts.join(hub_points, "key").where(F.col("id") != F.col("hub")).where(differ <= DIFFERENT)
-    pairs = matches.groupBy("hub", "id").agg(F.collect_set(F.struct(F.struct("p.x", "p.y", "p.angle", "p.scale").alias("p"), F.struct("q.x", "q.y", "q.angle", "q.scale").alias("q"))).alias("m")).where(F.size("m") >= agree)
+    posts = points.select("code", F.explode(keys).alias("key"))
+    picture = lambda c: F.shiftright(c, 7)
+    hubs = posts.groupBy("key").agg(F.min("code").alias("q"), F.max("code").alias("top")).where(picture("q") != picture("top")).select("key", "q")
+    matches = posts.withColumnRenamed("code", "p").join(hubs, "key").where(picture("p") != picture("q")).select("p", "q").distinct()
+    # Pairs of pictures with too few matches end here; a pair has at most a match for each point and table.
+    pairs = matches.groupBy(picture("q").alias("hub"), picture("p").alias("id")).agg(F.collect_list(F.struct("p", "q")).alias("m")).where(F.size("m") >= agree)
+    pairs = stash(pairs.select(F.explode("m").alias("m")).select("m.p", "m.q"), "matches")
+    at = lambda side: points.select(F.col("code").alias(side), F.struct("x", "y", "angle", "scale").alias(f"{side}_at"), F.col("bits").alias(f"{side}_bits"))
+    both = pairs.join(at("p"), "p").join(at("q"), "q")
+    differ = sum((F.bit_count(F.element_at("p_bits", k).bitwiseXOR(F.element_at("q_bits", k))) for k in range(1, 5)), F.lit(0))
+    pairs = both.where(differ <= DIFFERENT).groupBy(picture("q").alias("hub"), picture("p").alias("id")).agg(F.collect_list(F.struct(F.col("p_at").alias("p"), F.col("q_at").alias("q"))).alias("m")).where(F.size("m") >= agree)
     found = pairs.select("hub", "id", "m").mapInArrow(_consensus, "a long, b long, agree int").where(F.col("agree") >= agree).select("a", "b")
     comps = components(found.unionByName(same)).select(F.col("node").alias("id"), "comp")
     counts = points.groupBy(F.col("id").alias("rep")).agg(F.count("*").alias("n_points"))
