@@ -2,7 +2,7 @@
 
 The words of many texts lie in one flat array of symbols. A round looks every adjacent pair up by binary search over
 the sorted pair keys, finds the lowest rank of each word, and merges its occurrences (of overlapping ones, the left);
-words without a known pair are done and leave the array. A word is encoded once for each worker, which keeps what it
+words without a known pair are done and leave the array. A word is encoded once for each task, which keeps what it
 has met in a table of bounded size. Very long words merge one lowest pair at a time through a heap.
 
 Defined cases: a null text counts as empty and has no tokens; special strings inside a text become their special id,
@@ -22,9 +22,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .pretokens import ByteBpe, split
-from .shared import record_batch
+from .shared import record_batch, tidy
 
-#: Words that a worker keeps, the characters it handles at once, and the bytes beyond which a word goes to the heap.
+#: Words that a task keeps, the characters it handles at once, and the bytes beyond which a word goes to the heap.
 KEPT, SLICE_CHARS, LONG = 400_000, 1 << 20, 2048
 _NONE = np.iinfo(np.int64).max
 
@@ -169,7 +169,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
                 yield record_batch({id_col: batch.column(0).slice(lo, hi - lo), "ids": pa.ListArray.from_arrays(ends, pa.array(np.concatenate(ids).astype(np.int32)))}, schema)
 
-    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
+    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(tidy(run, lambda: encoder(path).known.clear()), f"`{id_col}` {kind}, ids array<int>")
 
 
 def decode(tokens: DataFrame, path: str, ids_col: str = "ids", out: str = "text") -> DataFrame:
@@ -197,4 +197,4 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
                 shas = [[hashlib.sha256(x.encode()).hexdigest() for x in made] for made in ((",".join(decimal[i].tolist()) for i in ids), map(own.decode, ids))]
                 yield record_batch({id_col: batch.column(0).slice(lo, hi - lo), "n_tokens": np.array([len(x) for x in ids], np.int64), "ids_sha256": shas[0], "decoded_sha256": shas[1]}, schema)
 
-    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(tidy(run, lambda: encoder(path).known.clear()), f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

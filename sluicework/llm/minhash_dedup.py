@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import mix64, random_words, record_batch, stash, text_slices, word_hashes
+from .shared import mix64, random_words, record_batch, stash, text_slices, tidy, word_hashes
 
 COORDINATES, MATCHES, SHINGLE = 64, 33, 5
 PERCENT = 75
@@ -199,7 +199,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(id, n_shingles, component_id, kept) for each row of ``docs``; see the module's text."""
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    prints = stash(source.mapInArrow(_prints(shingle, coordinates), "id long, n_shingles long, f1 long, f2 long, sig array<int>"), "prints")
+    prints = stash(source.mapInArrow(tidy(_prints(shingle, coordinates)), "id long, n_shingles long, f1 long, f2 long, sig array<int>"), "prints")
     whole = prints.where("id IS NOT NULL AND n_shingles > 0")
     by_id = whole.groupBy("id").agg(F.count("*").alias("c"), F.min("f1").alias("x"), F.max("f1").alias("y"))
     repeated, several = by_id.agg(F.coalesce(F.max(F.col("c") > 1), F.lit(False)), F.coalesce(F.max(F.col("x") != F.col("y")), F.lit(False))).first()
@@ -223,7 +223,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # Full sets of the documents that share a list.
     partners = stash(posts.join(hubs, "tok", "left_semi").select("node").distinct(), "partners")
     texts = source.join(partners.join(classes, "node").select(F.col("low").alias("id")).distinct(), "id", "left_semi")
-    sets = texts.mapInArrow(_sets(shingle), "id long, n_shingles long, f1 long, f2 long, set array<bigint>")
+    sets = texts.mapInArrow(tidy(_sets(shingle)), "id long, n_shingles long, f1 long, f2 long, set array<bigint>")
     sets = sets.select(F.xxhash64(*_SET).alias("node") if several else F.col("id").alias("node"), "set")
     if several:
         sets = sets.join(partners, "node", "left_semi")
@@ -256,7 +256,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     before = spark.conf.get(_ROWS)
     spark.conf.set(_ROWS, SENT_ROWS)
     try:
-        more = stash(dealt.mapInArrow(_in_blocks(matches, percent), "a long, b long"), "links")
+        more = stash(dealt.mapInArrow(tidy(_in_blocks(matches, percent)), "a long, b long"), "links")
     finally:
         spark.conf.set(_ROWS, before)
     if not more.isEmpty():

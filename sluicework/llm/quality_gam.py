@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import id_bucket, record_batch, text_slices, word_hashes
+from .shared import id_bucket, record_batch, release, text_slices, tidy, word_hashes
 
 MAX_TRAIN, BINS, PAIR_BINS, PAIRS = 20_000, 32, 8, 10
 THRESHOLD = 0.3
@@ -210,7 +210,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     taught = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__y")).dropna()
     taught = taught.orderBy(F.xxhash64("__id"), "__id", "__y").limit(max_rows)
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text")).join(F.broadcast(taught), "__id").select("__y", "__text")
-    found = rows.mapInArrow(_measured, "y int, x array<double>").toArrow()
+    found = rows.mapInArrow(tidy(_measured), "y int, x array<double>").toArrow()
     x = found.column("x").combine_chunks().flatten().to_numpy().reshape(-1, len(FEATURES))
     y = found.column("y").to_numpy().astype(float)
     order = np.lexsort((*x.T, y))  # the same model however the rows arrive
@@ -227,6 +227,7 @@ def score(docs: DataFrame, model: AdditiveModel, text_col: str = "text", out: st
             column = pa.Array.from_pandas(texts, type=pa.large_string())
             parts = [sent.value.score(measure(data, offsets)) for _, _, data, offsets in text_slices(column)]
             yield pd.Series(np.concatenate(parts) if parts else np.zeros(0))
+        release()
 
     return docs.withColumn(out, scored(F.col(text_col).cast("string")))
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -65,6 +67,28 @@ def text_slices(column: pa.Array, max_bytes: int = SLICE_BYTES) -> Iterator[tupl
         lo = hi
 
 
+def release() -> None:
+    """Give the system back what a worker has freed: workers are reused, and one stage's heap would add to the next's."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
+
+
+def tidy(run: Callable[[Iterator], Iterator], drop: Callable[[], None] = lambda: None) -> Callable[[Iterator], Iterator]:
+    """``run`` for mapInArrow, which at the end of its task calls ``drop`` and gives its memory back."""
+
+    @functools.wraps(run)
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            drop()
+            release()
+
+    return wrapped
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser on uint64 (splitmix64's)."""
     x = x ^ (x >> np.uint64(30))
