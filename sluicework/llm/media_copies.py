@@ -3,9 +3,10 @@
 A picture is decoded (PGM, or PNG with 8 bits a channel) to grey levels and shrunk to several scales. At each scale
 the strongest corners (Harris response, local maxima) get an orientation, the direction of their patch's centroid of
 brightness, and a descriptor: 256 comparisons of smoothed pixels, at places turned by the orientation. Descriptors
-are posted in Hamming tables, one for each 32 of their bits: whoever agrees in all bits of one meets there. Each list
-is joined to one hub, its smallest picture, so a list of n gives n - 1 rows. The matches of a picture with a hub then
-vote: every match implies a turn, a scale and a shift, and pictures are copies if enough matches agree with one.
+are posted in Hamming tables, one for each 32 of their bits: whoever agrees in all bits of one meets there. A list of
+at most SHORT postings is compared in full; a longer one is joined to one hub, its smallest picture, so a list of n
+gives at most n * max(1, SHORT / 2) rows. Small groups of copies meet in short lists, where no unrelated picture can
+take the hub's place; large groups have long lists of their own. The matches of two pictures then vote: every match implies a turn, a scale and a shift, and pictures are copies if enough matches agree with one.
 
 Equal files are one picture from the start. Copies form components; each row gets its component's smallest id.
 
@@ -32,6 +33,8 @@ SCALES, POINTS = (1.0, 0.7, 0.5), (18, 8, 6)
 MARGIN, RADIUS, BITS, TABLES = 12, 9, 256, 8
 #: Bits by which matching descriptors may differ; matches that must agree; pixels by which they may be off.
 DIFFERENT, AGREEING, OFF = 48, 6, 3.0
+#: Postings of a list that is compared in full.
+SHORT = 48
 
 _RNG = np.random.default_rng(7)
 _R, _A = RADIUS * np.sqrt(_RNG.random((BITS, 2))), 2 * np.pi * _RNG.random((BITS, 2))
@@ -209,8 +212,11 @@ def copies(media: DataFrame, id_col: str, image_col: str, agree: int = AGREEING)
     keys = F.array(*[F.shiftleft(F.lit(t).cast("long"), 32).bitwiseOR(word(t)) for t in range(TABLES)])
     posts = points.select("code", F.explode(keys).alias("key"))
     picture = lambda c: F.shiftright(c, 7)
-    hubs = posts.groupBy("key").agg(F.min("code").alias("q"), F.max("code").alias("top")).where(picture("q") != picture("top")).select("key", "q")
-    matches = posts.withColumnRenamed("code", "p").join(hubs, "key").where(picture("p") != picture("q")).select("p", "q").distinct()
+    lists = posts.groupBy("key").agg(F.min("code").alias("q"), F.max("code").alias("top"), F.count("*").alias("n")).where(picture("q") != picture("top"))
+    to_hub = posts.withColumnRenamed("code", "p").join(lists.where(F.col("n") > SHORT).select("key", "q"), "key").where(picture("p") != picture("q")).select("p", "q")
+    short = posts.join(lists.where(F.col("n") <= SHORT).select("key"), "key").groupBy("key").agg(F.collect_list("code").alias("m"))
+    in_full = short.select(F.explode("m").alias("p"), "m").select("p", F.explode(F.filter("m", lambda c: picture(c) < picture(F.col("p")))).alias("q"))
+    matches = to_hub.unionByName(in_full).distinct()
     # Pairs of pictures with too few matches end here; a pair has at most a match for each point and table.
     pairs = matches.groupBy(picture("q").alias("hub"), picture("p").alias("id")).agg(F.collect_list(F.struct("p", "q")).alias("m")).where(F.size("m") >= agree)
     pairs = stash(pairs.select(F.explode("m").alias("m")).select("m.p", "m.q"), "matches")
