@@ -38,3 +38,14 @@ def test_copies_are_found_and_others_left_alone(spark):
 def test_png_filters():
     a = picture(4)
     assert (media_copies.decode(png(a)) == a).all()
+
+
+def test_small_groups_are_found_among_alike_pictures(spark):
+    rng = np.random.default_rng(11)
+    base = rng.normal(0, 0.125, (300, 64))
+    twins = base[-20:] + rng.normal(0, 0.002, (20, 64))
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([base, twins]))]
+    media = media_copies.rendered(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = {r["id"]: r["component_id"] for r in media_copies.copies(media, "vec_id", "image").collect()}
+    assert sum(got[300 + k] == got[280 + k] for k in range(20)) >= 18
+    assert sum(got[i] != i for i in range(300)) <= 3
