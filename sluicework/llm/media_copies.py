@@ -3,10 +3,15 @@
 A picture is decoded (PGM, or PNG with 8 bits a channel) to grey levels and shrunk to several scales. At each scale
 the strongest corners (Harris response, local maxima) get an orientation, the direction of their patch's centroid of
 brightness, and a descriptor: 256 comparisons of smoothed pixels, at places turned by the orientation. Descriptors
-are posted in Hamming tables, one for each 32 of their bits: whoever agrees in all bits of one meets there. A list of
-at most SHORT postings is compared in full; a longer one is joined to one hub, its smallest picture, so a list of n
-gives at most n * max(1, SHORT / 2) rows. Small groups of copies meet in short lists, where no unrelated picture can
-take the hub's place; large groups have long lists of their own. The matches of two pictures then vote: every match implies a turn, a scale and a shift, and pictures are copies if enough matches agree with one.
+are posted in Hamming tables, one for each 32 of their bits: whoever agrees in all bits of one meets there. The matches of two pictures then vote: every match
+implies a turn, a scale and a shift, and pictures are copies if enough matches agree with one.
+
+At first a list of at most SHORT postings is compared in full; a longer one is joined to one hub, its smallest
+picture, so a list of n gives at most n * max(1, SHORT / 2) rows. The pictures of the long lists that then still hold
+several components meet in a second round, in blocks of bounded size, a task for each pair of blocks: every two of
+different components are compared by all their matches, and whatever links merges their components at once, so that a
+task sends at most one link for each picture. Every pair with enough matches is thus compared or already within one
+component. The second round's work grows with the square of the pictures that share long lists.
 
 Equal files are one picture from the start. Copies form components; each row gets its component's smallest id.
 
@@ -27,14 +32,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .minhash_dedup import components
-from .shared import record_batch, stash
+from .shared import record_batch, stash, tidy
 
 SCALES, POINTS = (1.0, 0.7, 0.5), (18, 8, 6)
 MARGIN, RADIUS, BITS, TABLES = 12, 9, 256, 8
 #: Bits by which matching descriptors may differ; matches that must agree; pixels by which they may be off.
 DIFFERENT, AGREEING, OFF = 48, 6, 3.0
-#: Postings of a list that is compared in full.
+#: Postings of a list that is compared in full in the first round; pictures of a block of the second, and of a slice.
 SHORT = 48
+BLOCK, SLICE = 2048, 8
 
 _RNG = np.random.default_rng(7)
 _R, _A = RADIUS * np.sqrt(_RNG.random((BITS, 2))), 2 * np.pi * _RNG.random((BITS, 2))
@@ -197,6 +203,141 @@ def _consensus(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield record_batch({"a": list(a), "b": list(b), "agree": list(n)}, schema)
 
 
+def _agreements(points: list[tuple[np.ndarray, np.ndarray]], ends: np.ndarray) -> np.ndarray:
+    """agreeing() for many pairs of pictures at once: of each side (x, y, angle, scale) and place, pair after pair."""
+    (a, a_place), (b, b_place) = points
+    turns = np.exp(1j * (b[:, 2] - a[:, 2])) * (a[:, 3] / b[:, 3])
+    a, b = a[:, 0] + 1j * a[:, 1], b[:, 0] + 1j * b[:, 1]
+    sizes, best, one = np.diff(ends), np.zeros(len(ends) - 1, np.int64), np.uint64(1)
+    order, lo = np.argsort(sizes, kind="stable"), 0
+    while lo < len(order):
+        hi = lo + 1
+        while hi < len(order) and sizes[order[hi]] <= sizes[order[lo]] * 1.25 + 1 and (hi - lo) * sizes[order[hi]] < 50_000:
+            hi += 1
+        own, most = order[lo:hi], sizes[order[hi - 1]]
+        lo = hi
+        at = ends[own][:, None] + np.arange(most)
+        there = np.arange(most) < sizes[own][:, None]
+        at = np.where(there, at, ends[own][:, None])
+        p, q, turn = a[at], b[at], turns[at]
+        p_bit, q_bit = (np.where(there, one << x[at].astype(np.uint64), np.uint64(0)) for x in (a_place, b_place))
+        for k in range(most):
+            off = (p - p[:, k, None]) * turn[:, k, None] + q[:, k, None] - q
+            fits = off.real**2 + off.imag**2 <= OFF * OFF
+            least = np.minimum(*(np.bitwise_count(np.bitwise_or.reduce(np.where(fits, x, np.uint64(0)), axis=1)) for x in (p_bit, q_bit)))
+            best[own] = np.maximum(best[own], least)
+    return best
+
+
+def _places(points: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The number of each point's rounded place within its picture."""
+    own = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
+    _, first, code = np.unique(np.stack([own, np.rint(points[:, 0]), np.rint(points[:, 1])], axis=1), axis=0, return_index=True, return_inverse=True)
+    before = np.searchsorted(own[first], np.arange(len(ends) - 1))
+    return code.ravel() - before[own]
+
+
+def _block_links(same: bool, left: np.ndarray, ids: np.ndarray, comps: np.ndarray, ends: np.ndarray, points: np.ndarray, bits: np.ndarray, agree: int) -> list[tuple[int, int]]:
+    """Links between components: the pictures in ``left`` against the rest, or all if ``same``."""
+    comps, place, words, links = comps.copy(), _places(points, ends), bits.view(np.uint32), []
+    own, n = np.repeat(np.arange(len(ids)), np.diff(ends)), len(ids)
+    rest = np.arange(len(own)) if same else np.flatnonzero(~left[own])
+    orders = [rest[np.argsort(words[rest, t], kind="stable")] for t in range(TABLES)]
+    sorted_words = [words[o, t] for t, o in enumerate(orders)]
+    lefts = np.arange(n) if same else np.flatnonzero(left)
+    for lo in range(0, len(lefts), SLICE):
+        pictures = lefts[lo : lo + SLICE]
+        mine = np.concatenate([np.arange(ends[x], ends[x + 1]) for x in pictures])
+        slot = np.zeros(n, np.int64)
+        slot[pictures] = np.arange(len(pictures))
+        found = []
+        for t in range(TABLES):
+            begin, end = (np.searchsorted(sorted_words[t], words[mine, t], side) for side in ("left", "right"))
+            count = end - begin
+            p = np.repeat(mine, count)
+            q = orders[t][np.arange(len(p)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(begin, count)]
+            may = comps[own[p]] != comps[own[q]]
+            if same:
+                may &= own[q] > own[p]
+            p, q = p[may], q[may]
+            apart = bits[p] ^ bits[q]
+            # each match once, in the first table that it shares
+            may = (np.bitwise_count(apart).sum(axis=1) <= DIFFERENT) & (apart.view(np.uint32)[:, :t] != 0).all(axis=1)
+            found.append((p[may], q[may]))
+        p, q = (np.concatenate([f[side] for f in found]) for side in (0, 1))
+        pair = slot[own[p]] * n + own[q]
+        enough = np.bincount(pair, minlength=1)[pair] >= agree
+        order = np.flatnonzero(enough)[np.argsort(pair[enough], kind="stable")]
+        if not len(order):
+            continue
+        p, q, pair = p[order], q[order], pair[order]
+        heads = np.concatenate([[0], np.flatnonzero(np.diff(pair)) + 1])
+        spread = [np.bitwise_count(np.bitwise_or.reduceat(np.uint64(1) << place[x].astype(np.uint64), heads)) for x in (p, q)]
+        wide = np.minimum(*spread) >= agree
+        sizes = np.diff(np.append(heads, len(pair)))
+        kept = np.repeat(wide, sizes)
+        p, q, heads, sizes = p[kept], q[kept], heads[wide], sizes[wide]
+        ahead = np.concatenate([[0], np.cumsum(sizes)])
+        votes = _agreements([(points[p], place[p]), (points[q], place[q])], ahead)
+        for k in np.flatnonzero(votes >= agree):
+            x, y = own[p[ahead[k]]], own[q[ahead[k]]]
+            if comps[x] != comps[y]:
+                links.append((int(ids[x]), int(ids[y])))
+                comps[comps == comps[y]] = comps[x]
+    return links
+
+
+def _in_blocks(agree: int):
+    """From rows sorted by (i, j): links between the components of pictures that meet there."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def links() -> pa.RecordBatch:
+            rows = pa.Table.from_batches(held).combine_chunks()
+            held.clear()
+            i, j, ids, block, comps = (rows.column(c).to_numpy() for c in ("i", "j", "id", "block", "comp"))
+            m = rows.column("m").combine_chunks()
+            ends = np.concatenate([[0], np.cumsum(m.value_lengths().to_numpy(zero_copy_only=False))])
+            flat = m.flatten()
+            points = np.stack([flat.field(c).to_numpy(zero_copy_only=False).astype(float) for c in ("x", "y", "angle", "scale")], axis=1)
+            bits = np.ascontiguousarray(flat.field("bits").flatten().to_numpy(zero_copy_only=False).reshape(-1, BITS // 64))
+            made = _block_links(i[0] == j[0], block == i[0], ids, comps, ends, points, bits, agree)
+            return record_batch({"a": [min(x) for x in made], "b": [max(x) for x in made]}, schema)
+
+        key = None
+        for batch in batches:
+            keys = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(2)], axis=1)
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1), len(keys)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if hi > lo:
+                    if key is not None and tuple(keys[lo]) != key:
+                        yield links()
+                    key = tuple(keys[lo])
+                    held.append(batch.slice(lo, hi - lo))
+        if held:
+            yield links()
+
+    return run
+
+
+def _second_round(points: DataFrame, posts: DataFrame, lists: DataFrame, comps: DataFrame, agree: int) -> DataFrame:
+    """(a, b): links between components whose pictures share long lists."""
+    members = posts.join(lists.where(F.col("n") > SHORT).select("key"), "key").select("key", F.shiftright("code", 7).alias("id")).distinct()
+    members = members.join(comps.toDF("id", "comp"), "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
+    mixed = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
+    here = stash(members.join(mixed.select("key"), "key", "left_semi").select("id", "comp").distinct(), "members")
+    n_blocks = -(-here.count() // BLOCK)
+    if not n_blocks:
+        return here.select(F.col("id").alias("a"), F.col("id").alias("b"))
+    packed = points.join(here, "id").groupBy("id", "comp").agg(F.collect_list(F.struct("x", "y", "angle", "scale", "bits")).alias("m"))
+    dealt = packed.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n_blocks))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))))
+    dealt = dealt.select(F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", F.col("block").cast("long"), "comp", "m")
+    dealt = dealt.repartition(n_blocks * (n_blocks + 1) // 2, "i", "j").sortWithinPartitions("i", "j", "id")
+    return stash(dealt.mapInArrow(tidy(_in_blocks(agree)), "a long, b long"), "links")
+
+
 def copies(media: DataFrame, id_col: str, image_col: str, agree: int = AGREEING) -> DataFrame:
     """(id, n_points, component_id, kept) of each row."""
     rows = media.select(F.col(id_col).cast("long").alias("id"), F.col(image_col).cast("binary").alias("image"))
@@ -225,7 +366,11 @@ def copies(media: DataFrame, id_col: str, image_col: str, agree: int = AGREEING)
     differ = sum((F.bit_count(F.element_at("p_bits", k).bitwiseXOR(F.element_at("q_bits", k))) for k in range(1, 5)), F.lit(0))
     pairs = both.where(differ <= DIFFERENT).groupBy(picture("q").alias("hub"), picture("p").alias("id")).agg(F.collect_list(F.struct(F.col("p_at").alias("p"), F.col("q_at").alias("q"))).alias("m")).where(F.size("m") >= agree)
     found = pairs.select("hub", "id", "m").mapInArrow(_consensus, "a long, b long, agree int").where(F.col("agree") >= agree).select("a", "b")
-    comps = components(found.unionByName(same)).select(F.col("node").alias("id"), "comp")
+    comps = components(found.unionByName(same))
+    more = _second_round(points, posts, lists, comps, agree)
+    if not more.isEmpty():
+        comps = components(comps.where("node <> comp").select(F.col("comp").alias("a"), F.col("node").alias("b")).unionByName(more))
+    comps = comps.select(F.col("node").alias("id"), "comp")
     counts = points.groupBy(F.col("id").alias("rep")).agg(F.count("*").alias("n_points"))
     sizes = files.join(reps, "file").join(counts, "rep").groupBy("id").agg(F.max("n_points").alias("n_points"))
     out = rows.select("id").join(comps, "id", "left").join(sizes, "id", "left")

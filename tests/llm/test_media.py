@@ -49,3 +49,35 @@ def test_small_groups_are_found_among_alike_pictures(spark):
     got = {r["id"]: r["component_id"] for r in media_copies.copies(media, "vec_id", "image").collect()}
     assert sum(got[300 + k] == got[280 + k] for k in range(20)) >= 18
     assert sum(got[i] != i for i in range(300)) <= 3
+
+
+def brute(media):
+    """Components of all pairs that enough matches agree on: matches share a table's key and differ in few bits."""
+    own = {}
+    for i, data in media:
+        (points, bits), = media_copies.describe(media_copies.decode(data)[None])
+        own[i] = (points, bits)
+    comp = {i: i for i in own}
+    for i in own:
+        for j in own:
+            if i < j:
+                (p, a), (q, b) = own[i], own[j]
+                apart = a[:, None] ^ b[None]
+                may = (np.bitwise_count(apart).sum(axis=2) <= media_copies.DIFFERENT) & (apart.view(np.uint32) == 0).any(axis=2)
+                x, y = np.nonzero(may)
+                if len(x) >= media_copies.AGREEING and comp[i] != comp[j] and media_copies.agreeing(p[x].astype(np.float32).astype(float), q[y].astype(np.float32).astype(float)) >= media_copies.AGREEING:
+                    low, high = sorted((comp[i], comp[j]))
+                    comp = {k: low if c == high else c for k, c in comp.items()}
+    return comp
+
+
+def test_long_lists_are_compared_in_full(spark, monkeypatch):
+    monkeypatch.setattr(media_copies, "SHORT", 3)  # nearly all lists are long
+    monkeypatch.setattr(media_copies, "BLOCK", 40, raising=False)  # many blocks
+    rng = np.random.default_rng(12)
+    base = rng.normal(0, 0.125, (80, 64))
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([base, base[-40:] + rng.normal(0, 0.002, (40, 64))]))]
+    media = media_copies.rendered(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = {r["id"]: r["component_id"] for r in media_copies.copies(media, "vec_id", "image").collect()}
+    want = brute(sorted((r["vec_id"], bytes(r["image"])) for r in media.collect()))
+    assert got == want and sum(got[80 + k] == got[40 + k] for k in range(40)) >= 36
