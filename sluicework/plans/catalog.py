@@ -273,6 +273,21 @@ def jaccard_assign(spark, sf_dir):
     return registry.most_alike(t.where("p_partkey > 50"), groups, "p_partkey", "tags", "gid", "gtags").withColumn("jaccard", F.round("jaccard", 6))
 
 
+def assign_orphans(parts: DataFrame, least: int = 2) -> DataFrame:
+    """Parts of a brand, type and size with fewer than ``least`` members, each with the surviving group of the most similar united tags."""
+    kind = ["p_brand", "p_type", "p_size"]
+    parts = parts.select("p_partkey", *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in kind], F.array_distinct(F.split("p_name", " ")).alias("tags"))
+    groups = parts.withColumn("tag", F.explode_outer("tags")).groupBy(kind).agg(F.min("p_partkey").alias("gid"), F.countDistinct("p_partkey").alias("n"), F.collect_set("tag").alias("gtags"))
+    orphans = parts.join(groups.where(F.col("n") < least).select(kind), kind, "left_semi")
+    return registry.most_alike(orphans, groups.where(F.col("n") >= least).select("gid", "gtags"), "p_partkey", "tags", "gid", "gtags").withColumn("jaccard", F.round("jaccard", 6))
+
+
+@_query()
+def jaccard_assign_all(spark, sf_dir):
+    """As jaccard_assign, with groups and orphans from the whole table; SQL would need their cross product."""
+    return assign_orphans(_t(spark, sf_dir, "part"))
+
+
 @_query("SELECT doc_id FROM documents QUALIFY row_number() OVER (PARTITION BY md5(text) ORDER BY doc_id) = 1")
 def dedup_keep_first(spark, sf_dir):
     return registry.keep_first_rows(_t(spark, sf_dir, "documents").select("doc_id", "text"), F.md5(F.col("text").cast("binary")), "doc_id").select("doc_id")

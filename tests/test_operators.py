@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from hypothesis import given
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 from sluicework.functions import cleaning as C
 from sluicework.operators import chunking, guard, profile, registry, rules, sampling
 from sluicework.operators.registry import Function
-from sluicework.plans import generate, model
+from sluicework.plans import catalog, generate, model
 from sluicework.sources import readers, writers
 from sluicework.streaming import apply as streaming
 
@@ -152,3 +153,19 @@ def test_consolidation_keeps_what_the_model_forgets():
     reply = "<consolidation><merged_functions><function><name>g</name><docstring>Tags: t</docstring><code>def g(r): return r</code></function></merged_functions><kept_unchanged><function_name>f2</function_name></kept_unchanged><complete>true</complete></consolidation>"
     assert {"g", "f2"} <= {f.name for f in generate.consolidated(fs, model.Scripted([reply]))}
     assert len(generate.consolidated(fs, model.Scripted(["junk"]))) == 3
+
+
+def test_orphans_meet_every_surviving_group(spark):
+    rng = random.Random(4)
+    words = [f"w{k}" for k in range(12)]
+    rows = [(i, " ".join(rng.sample(words, 3)), f"B{rng.randrange(9)}", "T", rng.randrange(12)) for i in range(1, 161)] + [(900, "other", "B9", "T", 1)]
+    got = {r["p_partkey"]: (r["gid"], r["jaccard"]) for r in catalog.assign_orphans(spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string, p_size int")).collect()}
+    kinds = {}
+    for i, name, *kind in rows:
+        kinds.setdefault(tuple(kind), []).append((i, set(name.split())))
+    groups = {min(i for i, _ in m): set().union(*(t for _, t in m)) for m in kinds.values() if len(m) > 1}
+    want = {}
+    for i, tags in (m[0] for m in kinds.values() if len(m) == 1):
+        j, gid = min((-len(tags & t) / len(tags | t), g) for g, t in groups.items())
+        want[i] = (gid, round(-j, 6)) if j else (None, None)
+    assert got == want and got[900] == (None, None) and max(g for g, _ in got.values() if g) > 50
