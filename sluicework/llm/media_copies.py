@@ -187,8 +187,8 @@ def agreeing(left: np.ndarray, right: np.ndarray) -> int:
     for k in range(len(a)):
         fits = np.abs(b[k] + (a - a[k]) * turns[k] - b) <= OFF
         if fits.sum() > best:
-            # each place counts once on either side
-            best = min(len({(round(p.real), round(p.imag)) for p in side[fits]}) for side in (a, b))
+            # each place counts once on either side, so more matches may be fewer places
+            best = max(best, min(len({(round(p.real), round(p.imag)) for p in side[fits]}) for side in (a, b)))
     return best
 
 

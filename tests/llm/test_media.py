@@ -81,3 +81,11 @@ def test_long_lists_are_compared_in_full(spark, monkeypatch):
     got = {r["id"]: r["component_id"] for r in media_copies.copies(media, "vec_id", "image").collect()}
     want = brute(sorted((r["vec_id"], bytes(r["image"])) for r in media.collect()))
     assert got == want and sum(got[80 + k] == got[40 + k] for k in range(40)) >= 36
+
+
+def test_repeated_places_do_not_hide_a_consensus():
+    good = [(10.0 * k, 7.0 * k * k, 10.0 * k + 3, 7.0 * k * k + 5) for k in range(7)]
+    repeated = [(500.0, 0.0, 900.0, 0.0)] * 9
+    rows = np.array(good + repeated)
+    sides = [np.concatenate([rows[:, c : c + 2], np.zeros((16, 1)), np.ones((16, 1))], axis=1) for c in (0, 2)]
+    assert media_copies.agreeing(*sides) == 7 and media_copies.agreeing(*(x[::-1] for x in sides)) == 7
