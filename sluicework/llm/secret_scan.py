@@ -44,9 +44,15 @@ BASE = (
     Rule("access", r"AKIA[A-Z0-9]+", 0, 16),
     Rule("hex", r"[0-9a-f]{32,}", 0, 32),
 )
+#: A private key: from BEGIN to the next END, if no other header stands between; else with what follows in header fields and base64 lines.
+_KEY = (
+    r"-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----"
+    r"(?:[^-]*+(?:-(?!----)[^-]*+){0,60}-----END [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----"
+    r"|(?:\s+[A-Za-z-]+:\x20[^\r\n]*){0,9}(?:\s+[A-Za-z0-9+/]{24,}={0,2}){0,400}(?:\s+[A-Za-z0-9+/]+={1,2})?)"
+)
 #: Kinds that come on top: well-known formats of credentials.
 MORE = (
-    Rule("private_key", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
+    Rule("private_key", _KEY),
     Rule("hub_token", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("chat_token", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("map_key", r"AIza[0-9A-Za-z_-]{35}"),

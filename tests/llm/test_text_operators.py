@@ -83,6 +83,18 @@ def test_secret_scan_equals_brute_force(spark, hard):
     assert "hunter2hunter2" not in " ".join(r["text"] or "" for r in clean.collect())
 
 
+def test_private_keys_go_with_their_body(spark):
+    body = "\n".join("MIIEpAIBAAKCAQEA7bq+/" * 3 for _ in range(60)) + "\nAb9/Q=="
+    key = lambda kind: f"-----BEGIN {kind}-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00\n\n{body}\n-----END {kind}-----"
+    cut = f"-----BEGIN RSA PRIVATE KEY-----\n{body}"
+    texts = [f"a {key(kind)} z" for kind in ("RSA PRIVATE KEY", "PRIVATE KEY", "PGP PRIVATE KEY BLOCK", "X9 PRIVATE KEY")]
+    texts += [f"a {cut}\nplain words follow", f"{cut}\nand {key('PRIVATE KEY')} z", "a -----BEGIN EC PRIVATE KEY----- is only a header"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in secret_scan.redacted(docs).collect()}
+    assert [got[k] for k in range(4)] == ["a [SECRET] z"] * 4
+    assert [got[k] for k in (4, 5, 6)] == ["a [SECRET]\nplain words follow", "[SECRET]\nand [SECRET] z", "a [SECRET] is only a header"]
+
+
 def test_trigram_queries_hold_for_matches():
     for rule, text in [(secret_scan.RULES[0], "API_KEY: 12345678"), (secret_scan.RULES[1], "AKIA0"), (secret_scan.RULES[3], "-----BEGIN RSA PRIVATE KEY-----")]:
         held = {text.lower()[i : i + 3] for i in range(len(text))}
