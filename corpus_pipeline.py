@@ -42,11 +42,11 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, ids, n_tokens) of each document of the mixture."""
+    """(doc_id, ids, decoded_sha256, n_tokens) of each document of the mixture: its encoding, and the digest of what the ids decode to."""
     return bpe_codec.encode(docs, public_tokenizers.path(VOCABULARY)).withColumn("n_tokens", F.size("ids").cast("long"))
 
 
-STAGES = [("quality classifier", quality), ("minhash near-dedup", near_dedup), ("secret scan", secrets), ("source mix", mix), ("bpe encoding", encode)]
+STAGES = [("quality classifier", quality), ("minhash near-dedup", near_dedup), ("secret scan", secrets), ("source mix", mix), ("bpe encoding and decoding", encode)]
 
 #: SQL can't express the classifier, the near-duplicates or the encoding.
 ORACLE_SQL = None

@@ -157,19 +157,19 @@ def slices(column: pa.Array) -> Iterator[tuple[int, int, list[str]]]:
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids array<int>) of each document."""
+    """(id, ids array<int>, decoded_sha256) of each document; the digest is that of the text decoded from the ids."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
         for batch in batches:
-            schema = pa.schema([(id_col, batch.schema.field(0).type), ("ids", pa.list_(pa.int32()))])
+            schema = pa.schema([(id_col, batch.schema.field(0).type), ("ids", pa.list_(pa.int32())), ("decoded_sha256", pa.string())])
             for lo, hi, texts in slices(batch.column(1)):
                 ids = own.encode(texts)
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-                yield record_batch({id_col: batch.column(0).slice(lo, hi - lo), "ids": pa.ListArray.from_arrays(ends, pa.array(np.concatenate(ids).astype(np.int32)))}, schema)
+                yield record_batch({id_col: batch.column(0).slice(lo, hi - lo), "ids": pa.ListArray.from_arrays(ends, pa.array(np.concatenate(ids).astype(np.int32))), "decoded_sha256": [hashlib.sha256(own.decode(x).encode()).hexdigest() for x in ids]}, schema)
 
-    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(tidy(run, lambda: encoder(path).known.clear()), f"`{id_col}` {kind}, ids array<int>")
+    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(tidy(run, lambda: encoder(path).known.clear()), f"`{id_col}` {kind}, ids array<int>, decoded_sha256 string")
 
 
 def decode(tokens: DataFrame, path: str, ids_col: str = "ids", out: str = "text") -> DataFrame:

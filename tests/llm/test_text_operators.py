@@ -178,6 +178,15 @@ def test_pipeline_equals_its_stages(spark):
     assert sorted((r["doc_id"], r["n_tokens"]) for r in cp.run(spark, SF).collect()) == sorted((r["doc_id"], r["n_tokens"]) for r in last)
 
 
+def test_the_last_stage_decodes_too(spark):
+    import corpus_pipeline as cp
+
+    texts = ["Plain words", "  spaces\n\tand é 中 \U0001f600 ", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in cp.encode(spark, docs, SF).collect()}
+    assert [got[k]["decoded_sha256"] for k in range(4)] == [hashlib.sha256((t or "").encode()).hexdigest() for t in texts]
+
+
 def test_registration():
     names = __spark_entry__.queries()
     assert "pipeline" in names and set(__spark_entry__.oracle_sql()) <= set(names)
