@@ -1,23 +1,26 @@
 """Media columns: edited and cropped copies of pictures, found by local descriptors.
 
 A picture is decoded (PGM, or PNG with 8 bits a channel) to grey levels and shrunk to several scales. At each scale
-the strongest corners (Harris response, local maxima) get an orientation, the direction of their patch's centroid of
-brightness, and a descriptor: 256 comparisons of smoothed pixels, at places turned by the orientation. Descriptors
-are posted in Hamming tables, one for each 32 of their bits: whoever agrees in all bits of one meets there. The matches of two pictures then vote: every match
-implies a turn, a scale and a shift, and pictures are copies if enough matches agree with one.
-
-At first a list of at most SHORT postings is compared in full; a longer one is joined to one hub, its smallest
-picture, so a list of n gives at most n * max(1, SHORT / 2) rows. The pictures of the long lists that then still hold
-several components meet in a second round, in blocks of bounded size, a task for each pair of blocks: every two of
-different components are compared by all their matches, and whatever links merges their components at once, so that a
-task sends at most one link for each picture. Every pair with enough matches is thus compared or already within one
-component. The second round's work grows with the square of the pictures that share long lists.
+the strongest corners (Harris response, local maxima; so many for each area) get an orientation, the direction of
+their patch's centroid of brightness, and a descriptor: 256 comparisons of smoothed pixels, at places turned by the
+orientation. Descriptors are posted in Hamming tables, one for each 32 of their bits. Two pictures are candidates if
+at least two corners on either side share a key. All descriptors of candidates are then compared: matches differ in
+at most DIFFERENT bits, every match implies a turn, a scale and a shift, and the pictures are copies if at least
+AGREEING places on either side agree with one of these.
+
+Groups are not expanded into pairs. Every list of a key is first joined to one hub, its smallest picture. Where a
+list then holds several components, its members outside the hub's component meet all its members of other
+components; if there are more than SHORT of them, the list's pictures are compared in blocks instead, a task for each
+pair of blocks, and whatever links merges its components at once. Each candidate pair is thus compared or already
+within one component, so the components are those of all copies. Only the blocks' work grows with the square of the
+pictures that share such long lists, which takes lists that are long by chance, not by copies.
 
 Equal files are one picture from the start. Copies form components; each row gets its component's smallest id.
 
-Defined cases: a null, empty or unreadable picture has no points and is linked with nothing but equal files that are
-not null; a picture without corners likewise; a null id takes no part and is kept with a null component; rows of one
-id count as one picture; an empty table gives an empty result; further columns are ignored.
+Defined cases: a null, empty or unreadable picture (also one of more than PIXELS) has no points and is linked with
+nothing but equal files that are not null; a picture without corners likewise; a null id takes no part and is kept
+with a null component; rows of one id are one node, which has all their pictures; an empty table gives an empty
+result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,19 +37,22 @@ from pyspark.sql import functions as F
 from .minhash_dedup import components
 from .shared import record_batch, stash, tidy
 
-SCALES, POINTS = (1.0, 0.7, 0.5), (18, 8, 6)
-MARGIN, RADIUS, BITS, TABLES = 12, 9, 256, 8
-#: Bits by which matching descriptors may differ; matches that must agree; pixels by which they may be off.
-DIFFERENT, AGREEING, OFF = 48, 6, 3.0
-#: Postings of a list that is compared in full in the first round; pictures of a block of the second, and of a slice.
-SHORT = 48
-BLOCK, SLICE = 2048, 8
+#: Scales, and the corners of each for an area of AREA pixels of the whole picture.
+SCALES, POINTS, AREA = (1.0, 0.7, 0.5), (18, 8, 6), 6400
+MARGIN, RADIUS, BITS, TABLES = 15, 12, 256, 8
+#: Bits by which matching descriptors may differ; places that must agree; pixels by which they may be off.
+DIFFERENT, AGREEING, OFF = 64, 6, 3.0
+#: Members outside the hub's component up to which a list is compared in full; pictures of a block, and of a slice of it.
+SHORT, BLOCK, SLICE = 48, 2048, 8
+PIXELS = 1 << 26
 
 _RNG = np.random.default_rng(7)
 _R, _A = RADIUS * np.sqrt(_RNG.random((BITS, 2))), 2 * np.pi * _RNG.random((BITS, 2))
 _TEST_X, _TEST_Y = _R * np.cos(_A), _R * np.sin(_A)
 _DY, _DX = np.mgrid[-7:8, -7:8]
 _DISC = (_DX**2 + _DY**2 <= 49).astype(np.float32)
+_POINT = np.dtype([("x", "<f4"), ("y", "<f4"), ("angle", "<f4"), ("scale", "<f4"), ("bits", "<u8", (BITS // 64,))])
+_PICTURE = "id bigint, file binary, n_points int, m binary"
 
 
 def decode(data: bytes | None) -> np.ndarray | None:
@@ -56,7 +62,7 @@ def decode(data: bytes | None) -> np.ndarray | None:
             head = data.split(maxsplit=4)[1:4] if data[2:3].isspace() else []
             w, h, top = (int(x) for x in head)
             body = data[len(data) - w * h :]
-            return np.frombuffer(body, np.uint8).reshape(h, w) if top == 255 and w * h and len(body) == w * h else None
+            return np.frombuffer(body, np.uint8).reshape(h, w) if top == 255 and 0 < w * h <= PIXELS and len(body) == w * h else None
         if data and data[:8] == b"\x89PNG\r\n\x1a\n":
             return _png(data)
     except (ValueError, struct.error, zlib.error, IndexError):
@@ -77,7 +83,9 @@ def _png(data: bytes) -> np.ndarray | None:
     if head is None or head[2] != 8 or head[3] not in (0, 2, 4, 6) or head[6]:
         return None
     w, h, step = head[0], head[1], {0: 1, 2: 3, 4: 2, 6: 4}[head[3]]
-    rows = np.frombuffer(zlib.decompress(packed), np.uint8).reshape(h, 1 + w * step)
+    if not 0 < w * h <= PIXELS:
+        return None
+    rows = np.frombuffer(zlib.decompressobj().decompress(packed, h * (1 + w * step)), np.uint8).reshape(h, 1 + w * step)
     out = np.zeros((h, w * step), np.uint8)
     above = np.zeros(w * step, np.int64)
     for y in range(h):
@@ -124,7 +132,8 @@ def _boxed(x: np.ndarray, r: int) -> np.ndarray:
 def describe(images: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """(points (x, y, angle, scale), descriptors (n, 4) of 64 bits) of each of the equally large pictures."""
     found: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in images]
-    for scale, most in zip(SCALES, POINTS, strict=True):
+    area = max(1.0, images.shape[1] * images.shape[2] / AREA)
+    for scale, most in zip(SCALES, (round(p * area) for p in POINTS), strict=True):
         g = _shrunk(images.astype(np.float32), scale)
         n, h, w = g.shape
         if min(h, w) <= 2 * MARGIN:
@@ -161,26 +170,55 @@ def describe(images: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
 
 
 def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("id", pa.int64()), ("no", pa.int32()), ("x", pa.float32()), ("y", pa.float32()), ("angle", pa.float32()), ("scale", pa.float32()), ("bits", pa.list_(pa.int64()))])
+    """From (id, file, image): each picture's points, as packed records."""
+    schema = pa.schema([("id", pa.int64()), ("file", pa.binary()), ("n_points", pa.int32()), ("m", pa.binary())])
     for batch in batches:
         for lo in range(0, batch.num_rows, 64):
-            ids = batch.column(0).slice(lo, 64).to_numpy(zero_copy_only=False)
-            shapes: dict[tuple, list[tuple[int, np.ndarray]]] = {}
-            for i, data in zip(ids, batch.column(1).slice(lo, 64).to_pylist(), strict=True):
+            part = batch.slice(lo, 64)
+            packed, shapes = [b""] * part.num_rows, {}
+            for i, data in enumerate(part.column(2).to_pylist()):
                 if (image := decode(data)) is not None and min(image.shape) > 2 * MARGIN:
                     shapes.setdefault(image.shape, []).append((i, image))
             for group in shapes.values():
-                made = describe(np.stack([x for _, x in group]))
-                points, bits = np.concatenate([p for p, _ in made]), np.concatenate([b for _, b in made])
-                own = np.repeat([i for i, _ in group], [len(p) for p, _ in made])
-                no = np.concatenate([np.arange(len(p), dtype=np.int32) for p, _ in made])
-                ends = np.arange(len(own) + 1, dtype=np.int32) * 4
-                columns = {c: points[:, k].astype(np.float32) for k, c in enumerate(("x", "y", "angle", "scale"))}
-                yield record_batch({"id": own.astype(np.int64), "no": no, "bits": pa.ListArray.from_arrays(ends, pa.array(bits.ravel())), **columns}, schema)
+                step = max(1, (1 << 20) // group[0][1].size)
+                for k in range(0, len(group), step):
+                    for (i, _), (points, bits) in zip(group[k : k + step], describe(np.stack([x for _, x in group[k : k + step]]))):
+                        own = np.empty(len(points), _POINT)
+                        for c, name in enumerate(("x", "y", "angle", "scale")):
+                            own[name] = points[:, c]
+                        own["bits"] = bits.view(np.uint64)
+                        packed[i] = own.tobytes()
+            yield record_batch({"id": part.column(0), "file": part.column(1), "n_points": [len(p) // _POINT.itemsize for p in packed], "m": pa.array(packed, pa.binary())}, schema)
+
+
+def _words(m: bytes) -> np.ndarray:
+    """The points' table words, a column for each table."""
+    return np.ascontiguousarray(np.frombuffer(m, _POINT)["bits"]).view(np.uint32).reshape(-1, TABLES)
+
+
+def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (id, m): a row for each key of a picture, with the first and last of its corners that have the key."""
+    schema = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("first", pa.int32()), ("last", pa.int32())])
+    table = np.arange(TABLES, dtype=np.int64) << 32
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 256):
+            part = batch.slice(lo, 256)
+            words = [_words(m) for m in part.column(1).to_pylist()]
+            n = np.array([len(w) for w in words], np.int64)
+            keys = (np.concatenate([np.zeros((0, TABLES), np.uint32), *words]).astype(np.int64) | table).ravel()
+            row = np.repeat(np.arange(part.num_rows), n * TABLES)
+            corner = np.repeat(np.concatenate([np.zeros(0, np.int32), *(np.arange(k, dtype=np.int32) for k in n)]), TABLES)
+            order = np.lexsort((corner, keys, row))
+            row, keys, corner = row[order], keys[order], corner[order]
+            new = np.ones(len(row), bool)
+            new[1:] = (row[1:] != row[:-1]) | (keys[1:] != keys[:-1])
+            heads = np.flatnonzero(new)
+            tails = np.append(heads[1:], len(row)) - 1
+            yield record_batch({"key": keys[heads], "id": part.column(0).to_numpy(zero_copy_only=False)[row[heads]], "first": corner[heads], "last": corner[tails]}, schema)
 
 
 def agreeing(left: np.ndarray, right: np.ndarray) -> int:
-    """How many matches (x, y, angle, scale on either side) fit the turn, scale and shift that one of them implies."""
+    """How many places (x, y, angle, scale of matches on either side) fit the turn, scale and shift that one match implies."""
     best = 0
     a, b = left[:, 0] + 1j * left[:, 1], right[:, 0] + 1j * right[:, 1]
     turns = np.exp(1j * (right[:, 2] - left[:, 2])) * (left[:, 3] / right[:, 3])
@@ -192,103 +230,79 @@ def agreeing(left: np.ndarray, right: np.ndarray) -> int:
     return best
 
 
-def _consensus(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("agree", pa.int32())])
-    for batch in batches:
-        out = []
-        for a, b, matches in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            sides = [np.array([[m[s][c] for c in ("x", "y", "angle", "scale")] for m in matches]) for s in ("p", "q")]
-            out.append((a, b, agreeing(*sides)))
-        a, b, n = zip(*out) if out else ((), (), ())
-        yield record_batch({"a": list(a), "b": list(b), "agree": list(n)}, schema)
-
-
-def _agreements(points: list[tuple[np.ndarray, np.ndarray]], ends: np.ndarray) -> np.ndarray:
-    """agreeing() for many pairs of pictures at once: of each side (x, y, angle, scale) and place, pair after pair."""
-    (a, a_place), (b, b_place) = points
-    turns = np.exp(1j * (b[:, 2] - a[:, 2])) * (a[:, 3] / b[:, 3])
-    a, b = a[:, 0] + 1j * a[:, 1], b[:, 0] + 1j * b[:, 1]
-    sizes, best, one = np.diff(ends), np.zeros(len(ends) - 1, np.int64), np.uint64(1)
-    order, lo = np.argsort(sizes, kind="stable"), 0
-    while lo < len(order):
-        hi = lo + 1
-        while hi < len(order) and sizes[order[hi]] <= sizes[order[lo]] * 1.25 + 1 and (hi - lo) * sizes[order[hi]] < 50_000:
-            hi += 1
-        own, most = order[lo:hi], sizes[order[hi - 1]]
-        lo = hi
-        at = ends[own][:, None] + np.arange(most)
-        there = np.arange(most) < sizes[own][:, None]
-        at = np.where(there, at, ends[own][:, None])
-        p, q, turn = a[at], b[at], turns[at]
-        p_bit, q_bit = (np.where(there, one << x[at].astype(np.uint64), np.uint64(0)) for x in (a_place, b_place))
-        for k in range(most):
-            off = (p - p[:, k, None]) * turn[:, k, None] + q[:, k, None] - q
-            fits = off.real**2 + off.imag**2 <= OFF * OFF
-            least = np.minimum(*(np.bitwise_count(np.bitwise_or.reduce(np.where(fits, x, np.uint64(0)), axis=1)) for x in (p_bit, q_bit)))
-            best[own] = np.maximum(best[own], least)
-    return best
+def alike(left: bytes, right: bytes, agree: int = AGREEING) -> bool:
+    """Whether two pictures, given by their packed points, are copies: they meet at enough corners and enough places agree."""
+    p, q = np.frombuffer(left, _POINT), np.frombuffer(right, _POINT)
+    if min(len(p), len(q)) < agree:
+        return False
+    a, b = _words(left), _words(right)
+    shared = np.zeros((len(p), len(q)), bool)
+    for t in range(TABLES):
+        shared |= a[:, t, None] == b[None, :, t]
+    if min(shared.any(axis=0).sum(), shared.any(axis=1).sum()) < 2:
+        return False
+    x, y = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for lo in range(0, len(p), 512):
+        apart = np.bitwise_count(p["bits"][lo : lo + 512, None] ^ q["bits"][None]).sum(axis=2)
+        rows, columns = np.nonzero(apart <= DIFFERENT)
+        x.append(rows + lo)
+        y.append(columns)
+    x, y = np.concatenate(x), np.concatenate(y)
+    if min(len(np.unique(x)), len(np.unique(y))) < agree:
+        return False
+    sides = [np.stack([s[c][k].astype(float) for c in ("x", "y", "angle", "scale")], axis=1) for s, k in ((p, x), (q, y))]
+    return agreeing(*sides) >= agree
+
+
+def _verified(agree: int):
+    """From (a, b, ma, mb): the pairs that are copies."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [alike(x.as_py(), y.as_py(), agree) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], schema=schema).filter(pa.array(found, pa.bool_()))
 
-def _places(points: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """The number of each point's rounded place within its picture."""
-    own = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
-    _, first, code = np.unique(np.stack([own, np.rint(points[:, 0]), np.rint(points[:, 1])], axis=1), axis=0, return_index=True, return_inverse=True)
-    before = np.searchsorted(own[first], np.arange(len(ends) - 1))
-    return code.ravel() - before[own]
+    return run
 
 
-def _block_links(same: bool, left: np.ndarray, ids: np.ndarray, comps: np.ndarray, ends: np.ndarray, points: np.ndarray, bits: np.ndarray, agree: int) -> list[tuple[int, int]]:
+def _block_links(same: bool, left: np.ndarray, ids: np.ndarray, comps: np.ndarray, packed: list[bytes], agree: int) -> list[tuple[int, int]]:
     """Links between components: the pictures in ``left`` against the rest, or all if ``same``."""
-    comps, place, words, links = comps.copy(), _places(points, ends), bits.view(np.uint32), []
-    own, n = np.repeat(np.arange(len(ids)), np.diff(ends)), len(ids)
+    words, comps, links, n = [_words(m) for m in packed], comps.copy(), [], len(ids)
+    own = np.repeat(np.arange(n), [len(w) for w in words])
+    ends = np.concatenate([[0], np.cumsum([len(w) for w in words])])
+    words = np.concatenate(words)
     rest = np.arange(len(own)) if same else np.flatnonzero(~left[own])
     orders = [rest[np.argsort(words[rest, t], kind="stable")] for t in range(TABLES)]
-    sorted_words = [words[o, t] for t, o in enumerate(orders)]
+    ordered = [words[o, t] for t, o in enumerate(orders)]
     lefts = np.arange(n) if same else np.flatnonzero(left)
     for lo in range(0, len(lefts), SLICE):
-        pictures = lefts[lo : lo + SLICE]
-        mine = np.concatenate([np.arange(ends[x], ends[x + 1]) for x in pictures])
-        slot = np.zeros(n, np.int64)
-        slot[pictures] = np.arange(len(pictures))
-        found = []
+        mine = np.concatenate([np.arange(ends[x], ends[x + 1]) for x in lefts[lo : lo + SLICE]])
+        met = []
         for t in range(TABLES):
-            begin, end = (np.searchsorted(sorted_words[t], words[mine, t], side) for side in ("left", "right"))
+            begin, end = (np.searchsorted(ordered[t], words[mine, t], side) for side in ("left", "right"))
             count = end - begin
             p = np.repeat(mine, count)
             q = orders[t][np.arange(len(p)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(begin, count)]
             may = comps[own[p]] != comps[own[q]]
             if same:
                 may &= own[q] > own[p]
-            p, q = p[may], q[may]
-            apart = bits[p] ^ bits[q]
-            # each match once, in the first table that it shares
-            may = (np.bitwise_count(apart).sum(axis=1) <= DIFFERENT) & (apart.view(np.uint32)[:, :t] != 0).all(axis=1)
-            found.append((p[may], q[may]))
-        p, q = (np.concatenate([f[side] for f in found]) for side in (0, 1))
-        pair = slot[own[p]] * n + own[q]
-        enough = np.bincount(pair, minlength=1)[pair] >= agree
-        order = np.flatnonzero(enough)[np.argsort(pair[enough], kind="stable")]
-        if not len(order):
-            continue
-        p, q, pair = p[order], q[order], pair[order]
-        heads = np.concatenate([[0], np.flatnonzero(np.diff(pair)) + 1])
-        spread = [np.bitwise_count(np.bitwise_or.reduceat(np.uint64(1) << place[x].astype(np.uint64), heads)) for x in (p, q)]
-        wide = np.minimum(*spread) >= agree
-        sizes = np.diff(np.append(heads, len(pair)))
-        kept = np.repeat(wide, sizes)
-        p, q, heads, sizes = p[kept], q[kept], heads[wide], sizes[wide]
-        ahead = np.concatenate([[0], np.cumsum(sizes)])
-        votes = _agreements([(points[p], place[p]), (points[q], place[q])], ahead)
-        for k in np.flatnonzero(votes >= agree):
-            x, y = own[p[ahead[k]]], own[q[ahead[k]]]
-            if comps[x] != comps[y]:
+            met.append(np.stack([p[may], q[may]], axis=1))
+        met = np.concatenate(met)
+        pair = own[met[:, 0]] * n + own[met[:, 1]]
+        # a pair of pictures stays if it meets at two corners on either side
+        corners = [np.unique(np.stack([pair, met[:, k]], axis=1), axis=0)[:, 0] for k in (0, 1)]
+        (some, c), (_, d) = (np.unique(x, return_counts=True) for x in corners)
+        for both in some[np.minimum(c, d) >= 2]:
+            x, y = divmod(int(both), n)
+            if comps[x] != comps[y] and alike(packed[x], packed[y], agree):
                 links.append((int(ids[x]), int(ids[y])))
                 comps[comps == comps[y]] = comps[x]
     return links
 
 
 def _in_blocks(agree: int):
-    """From rows sorted by (i, j): links between the components of pictures that meet there."""
+    """From (i, j, id, block, comp, m) sorted by (i, j): links between the components of pictures that meet there."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,12 +312,7 @@ def _in_blocks(agree: int):
             rows = pa.Table.from_batches(held).combine_chunks()
             held.clear()
             i, j, ids, block, comps = (rows.column(c).to_numpy() for c in ("i", "j", "id", "block", "comp"))
-            m = rows.column("m").combine_chunks()
-            ends = np.concatenate([[0], np.cumsum(m.value_lengths().to_numpy(zero_copy_only=False))])
-            flat = m.flatten()
-            points = np.stack([flat.field(c).to_numpy(zero_copy_only=False).astype(float) for c in ("x", "y", "angle", "scale")], axis=1)
-            bits = np.ascontiguousarray(flat.field("bits").flatten().to_numpy(zero_copy_only=False).reshape(-1, BITS // 64))
-            made = _block_links(i[0] == j[0], block == i[0], ids, comps, ends, points, bits, agree)
+            made = _block_links(i[0] == j[0], block == i[0], ids, comps, rows.column("m").to_pylist(), agree)
             return record_batch({"a": [min(x) for x in made], "b": [max(x) for x in made]}, schema)
 
         key = None
@@ -322,79 +331,102 @@ def _in_blocks(agree: int):
     return run
 
 
-def _second_round(points: DataFrame, posts: DataFrame, lists: DataFrame, comps: DataFrame, agree: int) -> DataFrame:
-    """(a, b): links between components whose pictures share long lists."""
-    members = posts.join(lists.where(F.col("n") > SHORT).select("key"), "key").select("key", F.shiftright("code", 7).alias("id")).distinct()
-    members = members.join(comps.toDF("id", "comp"), "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
-    mixed = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-    here = stash(members.join(mixed.select("key"), "key", "left_semi").select("id", "comp").distinct(), "members")
-    n_blocks = -(-here.count() // BLOCK)
-    if not n_blocks:
-        return here.select(F.col("id").alias("a"), F.col("id").alias("b"))
-    packed = points.join(here, "id").groupBy("id", "comp").agg(F.collect_list(F.struct("x", "y", "angle", "scale", "bits")).alias("m"))
-    dealt = packed.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n_blocks))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))))
+def _merged(comps: DataFrame, more: DataFrame) -> DataFrame:
+    """``comps`` (node, comp) after further links."""
+    return components(comps.where("node <> comp").select(F.col("comp").alias("a"), F.col("node").alias("b")).unionByName(more))
+
+
+def _links(met: DataFrame, pictures: DataFrame, agree: int) -> DataFrame:
+    """The copies among pairs that meet: ``met`` has a row for each key that a and b share, with the range of either's corners."""
+    enough = (F.min("a_first") < F.max("a_last")) & (F.min("b_first") < F.max("b_last"))
+    pairs = met.groupBy("a", "b").agg(enough.alias("enough")).where("enough").select("a", "b")
+    both = pairs.join(pictures.toDF("a", "ma"), "a").join(pictures.toDF("b", "mb"), "b")
+    return stash(both.select("a", "b", "ma", "mb").mapInArrow(tidy(_verified(agree)), "a long, b long"), "links")
+
+
+def _blocks(pictures: DataFrame, tagged: DataFrame, long: DataFrame, comps: DataFrame, agree: int) -> DataFrame | None:
+    """(a, b): links between components whose pictures share the lists in ``long``."""
+    named = comps.toDF("id", "comp")
+    members = tagged.join(long, "key", "left_semi").select("key", "id").join(named, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
+    mixed = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+    here = stash(members.join(mixed, "key", "left_semi").select("id", "comp").distinct(), "members")
+    n = -(-here.count() // BLOCK)
+    if not n:
+        return None
+    dealt = pictures.select("id", "m").join(here, "id").withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
     dealt = dealt.select(F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", F.col("block").cast("long"), "comp", "m")
-    dealt = dealt.repartition(n_blocks * (n_blocks + 1) // 2, "i", "j").sortWithinPartitions("i", "j", "id")
+    dealt = dealt.repartition(n * (n + 1) // 2, "i", "j").sortWithinPartitions("i", "j", "id")
     return stash(dealt.mapInArrow(tidy(_in_blocks(agree)), "a long, b long"), "links")
 
 
 def copies(media: DataFrame, id_col: str, image_col: str, agree: int = AGREEING) -> DataFrame:
     """(id, n_points, component_id, kept) of each row."""
     rows = media.select(F.col(id_col).cast("long").alias("id"), F.col(image_col).cast("binary").alias("image"))
-    named = rows.where("id IS NOT NULL")
-    files = stash(named.where("image IS NOT NULL").select("id", F.sha2("image", 256).alias("file")), "files")
+    described = stash(rows.select("id", F.unhex(F.sha2("image", 256)).alias("file"), "image").mapInArrow(tidy(_described), _PICTURE), "described")
+    files = described.where("id IS NOT NULL AND file IS NOT NULL")
     reps = files.groupBy("file").agg(F.min("id").alias("rep"))
-    same = files.join(reps, "file").where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
-    single = named.join(reps.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id"])
-    points = stash(single.mapInArrow(_described, "id long, no int, x float, y float, angle float, scale float, bits array<bigint>").withColumn("code", F.shiftleft("id", 7).bitwiseOR(F.col("no").cast("long"))), "points")
-
-    # Postings are two numbers: the key of a table, and a point's code, which sorts by picture.
-    word = lambda t: F.shiftright(F.element_at("bits", t // 2 + 1), 32 * (t % 2)).bitwiseAND(F.lit(0xFFFFFFFF))
-    keys = F.array(*[F.shiftleft(F.lit(t).cast("long"), 32).bitwiseOR(word(t)) for t in range(TABLES)])
-    posts = points.select("code", F.explode(keys).alias("key"))
-    picture = lambda c: F.shiftright(c, 7)
-    lists = posts.groupBy("key").agg(F.min("code").alias("q"), F.max("code").alias("top"), F.count("*").alias("n")).where(picture("q") != picture("top"))
-    to_hub = posts.withColumnRenamed("code", "p").join(lists.where(F.col("n") > SHORT).select("key", "q"), "key").where(picture("p") != picture("q")).select("p", "q")
-    short = posts.join(lists.where(F.col("n") <= SHORT).select("key"), "key").groupBy("key").agg(F.collect_list("code").alias("m"))
-    in_full = short.select(F.explode("m").alias("p"), "m").select("p", F.explode(F.filter("m", lambda c: picture(c) < picture(F.col("p")))).alias("q"))
-    matches = to_hub.unionByName(in_full).distinct()
-    # Pairs of pictures with too few matches end here; a pair has at most a match for each point and table.
-    pairs = matches.groupBy(picture("q").alias("hub"), picture("p").alias("id")).agg(F.collect_list(F.struct("p", "q")).alias("m")).where(F.size("m") >= agree)
-    pairs = stash(pairs.select(F.explode("m").alias("m")).select("m.p", "m.q"), "matches")
-    at = lambda side: points.select(F.col("code").alias(side), F.struct("x", "y", "angle", "scale").alias(f"{side}_at"), F.col("bits").alias(f"{side}_bits"))
-    both = pairs.join(at("p"), "p").join(at("q"), "q")
-    differ = sum((F.bit_count(F.element_at("p_bits", k).bitwiseXOR(F.element_at("q_bits", k))) for k in range(1, 5)), F.lit(0))
-    pairs = both.where(differ <= DIFFERENT).groupBy(picture("q").alias("hub"), picture("p").alias("id")).agg(F.collect_list(F.struct(F.col("p_at").alias("p"), F.col("q_at").alias("q"))).alias("m")).where(F.size("m") >= agree)
-    found = pairs.select("hub", "id", "m").mapInArrow(_consensus, "a long, b long, agree int").where(F.col("agree") >= agree).select("a", "b")
-    comps = components(found.unionByName(same))
-    more = _second_round(points, posts, lists, comps, agree)
+    same = files.select("id", "file").join(reps, "file").where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
+    pictures = stash(files.where(F.col("n_points") >= agree).groupBy("file").agg(F.min("id").alias("id"), F.first("m").alias("m")).select("id", "m"), "pictures")
+
+    posts = pictures.mapInArrow(tidy(_postings), "key bigint, id bigint, first int, last int")
+    lists = posts.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("top")).where("hub <> top").select("key", "hub")
+    shared = stash(posts.join(lists, "key"), "shared")
+    side = lambda name: [F.col("id").alias(name), F.col("first").alias(f"{name}_first"), F.col("last").alias(f"{name}_last")]
+
+    # first every member with its list's hub
+    hubs = shared.where("id = hub").select("key", *side("a"))
+    comps = stash(components(_links(shared.where("id <> hub").select("key", *side("b")).join(hubs, "key"), pictures, agree).unionByName(same)), "components")
+
+    # then, in lists of several components, members outside the hub's with those of other components
+    tagged = shared.join(comps.toDF("id", "comp"), "id", "left").join(comps.toDF("hub", "main"), "hub", "left")
+    tagged = stash(tagged.select("key", "id", "first", "last", F.coalesce("comp", "id").alias("comp"), F.coalesce("main", "hub").alias("main")), "tagged")
+    sizes = tagged.where("comp <> main").groupBy("key").agg(F.count("*").alias("n"))
+    long = sizes.where(F.col("n") > SHORT).select("key")
+    others = tagged.where("comp <> main").join(sizes.where(F.col("n") <= SHORT).select("key"), "key", "left_semi").select("key", F.col("comp").alias("other"), *side("a"))
+    met = others.join(tagged.select("key", "comp", *side("b")), "key").where("comp <> other")
+    swapped = met.select(*[F.when(F.col("a") < F.col("b"), F.col(x)).otherwise(F.col(y)).alias(x) for x, y in ((f"{p}{c}", f"{q}{c}") for p, q in ("ab", "ba") for c in ("", "_first", "_last"))])
+    more = _links(swapped, pictures, agree)
     if not more.isEmpty():
-        comps = components(comps.where("node <> comp").select(F.col("comp").alias("a"), F.col("node").alias("b")).unionByName(more))
-    comps = comps.select(F.col("node").alias("id"), "comp")
-    counts = points.groupBy(F.col("id").alias("rep")).agg(F.count("*").alias("n_points"))
-    sizes = files.join(reps, "file").join(counts, "rep").groupBy("id").agg(F.max("n_points").alias("n_points"))
-    out = rows.select("id").join(comps, "id", "left").join(sizes, "id", "left")
+        comps = stash(_merged(comps, more), "components")
+    if not long.isEmpty() and (last := _blocks(pictures, tagged, long, comps, agree)) is not None and not last.isEmpty():
+        comps = stash(_merged(comps, last), "components")
+
+    sizes = files.groupBy("id").agg(F.max("n_points").alias("n_points"))
+    out = described.select("id").join(comps.toDF("id", "comp"), "id", "left").join(sizes, "id", "left")
     component = F.coalesce("comp", "id")
     return out.select("id", F.coalesce("n_points", F.lit(0)).cast("long").alias("n_points"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
-def rendered(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cell: int = 10) -> DataFrame:
-    """(id, image): a PGM picture of each vector, a square grid of grey cells; null where the vector is null or empty."""
+def _waves(n: int, side: int) -> np.ndarray:
+    """n plane waves over a square, spread evenly over directions, periods of 7 to 14 pixels, and phases."""
+    k = np.arange(n)[:, None, None]
+    turn, period, phase = np.pi * (k * 0.6180339887498949 % 1), 7 * 2 ** (k * 0.7548776662466927 % 1), 2 * np.pi * (k * 0.5698402909980532 % 1)
+    y, x = np.mgrid[0:side, 0:side]
+    return np.cos(2 * np.pi * (np.cos(turn) * x + np.sin(turn) * y) / period + phase).reshape(n, -1)
+
+
+def rendered(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", side: int = 80) -> DataFrame:
+    """(id, image): a PGM picture of each vector, the sum of one plane wave for each component; null where the vector is null or empty.
+
+    Components that are null or not finite count as zero; only a vector's direction matters, not its length.
+    """
     kind = vectors.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waves: dict[int, np.ndarray] = {}
         for batch in batches:
-            images = []
-            for v in batch.column(1).to_pylist():
-                if not v:
-                    images.append(None)
-                    continue
-                side = int(np.ceil(len(v) ** 0.5))
-                grey = np.zeros(side * side)
-                grey[: len(v)] = np.nan_to_num(np.array([0 if x is None else x for x in v], float))
-                grey = np.clip(128 + 400 * grey, 0, 255).astype(np.uint8).reshape(side, side)
-                picture = np.kron(grey, np.ones((cell, cell), np.uint8))
-                images.append(b"P5 %d %d 255\n" % picture.shape[::-1] + picture.tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(images, pa.binary())], names=[id_col, "image"])
+            for lo in range(0, batch.num_rows, 256):
+                part, images = batch.slice(lo, 256), []
+                for v in part.column(1).to_pylist():
+                    if not v:
+                        images.append(None)
+                        continue
+                    x = np.nan_to_num(np.array([0 if c is None else c for c in v], float), posinf=0, neginf=0)
+                    if len(x) not in waves:
+                        waves[len(x)] = _waves(len(x), side)
+                    x /= max(np.abs(x).max(), 1e-300)
+                    picture = np.clip(128 + 60 * (x / max(np.linalg.norm(x), 1e-300) @ waves[len(x)]), 0, 255).astype(np.uint8)
+                    images.append(b"P5 %d %d 255\n" % (side, side) + picture.tobytes())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(images, pa.binary())], names=[id_col, "image"])
 
     return vectors.select(F.col(id_col), F.col(vector_col)).mapInArrow(run, f"`{id_col}` {kind}, image binary")
