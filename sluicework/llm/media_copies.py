@@ -3,15 +3,17 @@
 A picture is decoded (PGM, or PNG with 8 bits a channel) to grey levels and shrunk to several scales. At each scale
 the strongest corners (Harris response, local maxima; so many for each area) get an orientation, the direction of
 their patch's centroid of brightness, and a descriptor: 256 comparisons of smoothed pixels, at places turned by the
-orientation. Descriptors are posted in Hamming tables, one for each 32 of their bits. Two pictures are candidates if
-at least two corners on either side share a key. All descriptors of candidates are then compared: matches differ in
-at most DIFFERENT bits, every match implies a turn, a scale and a shift, and the pictures are copies if at least
-AGREEING places on either side agree with one of these.
+orientation. Descriptors are posted in Hamming tables, each of which takes WORD of their bits, drawn at random, as
+its key. Two pictures are candidates if at least two corners on either side share a key. All descriptors of
+candidates are then compared: matches differ in at most DIFFERENT bits, every match implies a turn, a scale and a
+shift, and the pictures are copies if enough places on either side agree with one of these: AGREEING at least, and
+SHARE of the smaller picture's points.
 
 Groups are not expanded into pairs. Every list of a key is first joined to one hub, its smallest picture. Where a
-list then holds several components, its members outside the hub's component meet all its members of other
-components; if there are more than SHORT of them, the list's pictures are compared in blocks instead, a task for each
-pair of blocks, and whatever links merges its components at once. Each candidate pair is thus compared or already
+list then holds several components that also meet elsewhere, members outside the hub's component meet another member
+of that component; this is done HUBS times. Members that still lie outside then meet all the list's members of other components; if
+there are more than SHORT of them, the list's pictures are compared in blocks instead, a task for each pair of blocks,
+and whatever links merges its components at once. Each candidate pair is thus compared or already
 within one component, so the components are those of all copies. Only the blocks' work grows with the square of the
 pictures that share such long lists, which takes lists that are long by chance, not by copies.
 
@@ -38,12 +40,12 @@ from .minhash_dedup import components
 from .shared import record_batch, stash, tidy
 
 #: Scales, and the corners of each for an area of AREA pixels of the whole picture.
-SCALES, POINTS, AREA = (1.0, 0.7, 0.5), (18, 8, 6), 6400
-MARGIN, RADIUS, BITS, TABLES = 15, 12, 256, 8
-#: Bits by which matching descriptors may differ; places that must agree; pixels by which they may be off.
-DIFFERENT, AGREEING, OFF = 64, 6, 3.0
-#: Members outside the hub's component up to which a list is compared in full; pictures of a block, and of a slice of it.
-SHORT, BLOCK, SLICE = 48, 2048, 8
+SCALES, POINTS, AREA = (1.0, 0.7, 0.5), (32, 14, 8), 6400
+MARGIN, RADIUS, BITS, TABLES, WORD = 15, 12, 256, 11, 40
+#: Bits by which matching descriptors may differ; places that must agree, and their share of the points; pixels by which they may be off.
+DIFFERENT, AGREEING, SHARE, OFF = 64, 6, 0.15, 3.0
+#: Rounds of hubs after the first; members outside the hub's component up to which a list is compared in full; pictures of a block, and of a slice of it.
+HUBS, SHORT, BLOCK, SLICE = 2, 48, 2048, 8
 PIXELS = 1 << 26
 
 _RNG = np.random.default_rng(7)
@@ -51,6 +53,7 @@ _R, _A = RADIUS * np.sqrt(_RNG.random((BITS, 2))), 2 * np.pi * _RNG.random((BITS
 _TEST_X, _TEST_Y = _R * np.cos(_A), _R * np.sin(_A)
 _DY, _DX = np.mgrid[-7:8, -7:8]
 _DISC = (_DX**2 + _DY**2 <= 49).astype(np.float32)
+_DRAWN = np.concatenate([_RNG.permutation(BITS)[:WORD] for _ in range(TABLES)])
 _POINT = np.dtype([("x", "<f4"), ("y", "<f4"), ("angle", "<f4"), ("scale", "<f4"), ("bits", "<u8", (BITS // 64,))])
 _PICTURE = "id bigint, file binary, n_points int, m binary"
 
@@ -180,7 +183,7 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if (image := decode(data)) is not None and min(image.shape) > 2 * MARGIN:
                     shapes.setdefault(image.shape, []).append((i, image))
             for group in shapes.values():
-                step = max(1, (1 << 20) // group[0][1].size)
+                step = max(1, (1 << 18) // group[0][1].size)
                 for k in range(0, len(group), step):
                     for (i, _), (points, bits) in zip(group[k : k + step], describe(np.stack([x for _, x in group[k : k + step]]))):
                         own = np.empty(len(points), _POINT)
@@ -193,19 +196,22 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _words(m: bytes) -> np.ndarray:
     """The points' table words, a column for each table."""
-    return np.ascontiguousarray(np.frombuffer(m, _POINT)["bits"]).view(np.uint32).reshape(-1, TABLES)
+    bits = np.unpackbits(np.ascontiguousarray(np.frombuffer(m, _POINT)["bits"]).view(np.uint8).reshape(-1, BITS // 8), axis=1)
+    out = np.zeros((len(bits), TABLES, 8), np.uint8)
+    out[:, :, : -(-WORD // 8)] = np.packbits(bits[:, _DRAWN].reshape(-1, TABLES, WORD), axis=2)
+    return out.view(np.int64)[:, :, 0]
 
 
 def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From (id, m): a row for each key of a picture, with the first and last of its corners that have the key."""
     schema = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("first", pa.int32()), ("last", pa.int32())])
-    table = np.arange(TABLES, dtype=np.int64) << 32
+    table = np.arange(TABLES, dtype=np.int64) << 40
     for batch in batches:
         for lo in range(0, batch.num_rows, 256):
             part = batch.slice(lo, 256)
             words = [_words(m) for m in part.column(1).to_pylist()]
             n = np.array([len(w) for w in words], np.int64)
-            keys = (np.concatenate([np.zeros((0, TABLES), np.uint32), *words]).astype(np.int64) | table).ravel()
+            keys = (np.concatenate([np.zeros((0, TABLES), np.int64), *words]) | table).ravel()
             row = np.repeat(np.arange(part.num_rows), n * TABLES)
             corner = np.repeat(np.concatenate([np.zeros(0, np.int32), *(np.arange(k, dtype=np.int32) for k in n)]), TABLES)
             order = np.lexsort((corner, keys, row))
@@ -235,6 +241,7 @@ def alike(left: bytes, right: bytes, agree: int = AGREEING) -> bool:
     p, q = np.frombuffer(left, _POINT), np.frombuffer(right, _POINT)
     if min(len(p), len(q)) < agree:
         return False
+    agree = max(agree, SHARE * min(len(p), len(q)))
     a, b = _words(left), _words(right)
     shared = np.zeros((len(p), len(q)), bool)
     for t in range(TABLES):
@@ -339,8 +346,10 @@ def _merged(comps: DataFrame, more: DataFrame) -> DataFrame:
 def _links(met: DataFrame, pictures: DataFrame, agree: int) -> DataFrame:
     """The copies among pairs that meet: ``met`` has a row for each key that a and b share, with the range of either's corners."""
     enough = (F.min("a_first") < F.max("a_last")) & (F.min("b_first") < F.max("b_last"))
-    pairs = met.groupBy("a", "b").agg(enough.alias("enough")).where("enough").select("a", "b")
-    both = pairs.join(pictures.toDF("a", "ma"), "a").join(pictures.toDF("b", "mb"), "b")
+    pairs = stash(met.groupBy("a", "b").agg(enough.alias("enough")).where("enough").select("a", "b"), "pairs")
+    # what is written has a known size: Spark broadcasts it if it is small, else both sides are shuffled
+    ends = stash(pictures.toDF("a", "ma").join(pairs.select("a"), "a", "left_semi"), "ends")
+    both = pictures.toDF("b", "mb").join(pairs, "b").join(ends, "a")
     return stash(both.select("a", "b", "ma", "mb").mapInArrow(tidy(_verified(agree)), "a long, b long"), "links")
 
 
@@ -359,27 +368,60 @@ def _blocks(pictures: DataFrame, tagged: DataFrame, long: DataFrame, comps: Data
     return stash(dealt.mapInArrow(tidy(_in_blocks(agree)), "a long, b long"), "links")
 
 
+def _mixed(shared: DataFrame, comps: DataFrame) -> DataFrame:
+    """Members of lists whose components may hold a candidate pair: ``shared`` with ``comp`` and ``main``, the component of the list's hub.
+
+    Components that meet in a list are counted first, by the range of either's corners, as if each were one picture.
+    Where that gives one corner only, no two pictures of theirs have two. Lists of many components stay as they are.
+    """
+    named = shared.join(comps.toDF("id", "comp"), "id", "left").join(comps.toDF("hub", "main"), "hub", "left")
+    named = named.select(*shared.columns, F.coalesce("comp", "id").alias("comp"), F.coalesce("main", "hub").alias("main"))
+    mixed = named.groupBy("key").agg(F.bool_or(F.col("comp") != F.col("main")).alias("mixed")).where("mixed").select("key")
+    named = stash(named.join(mixed, "key", "left_semi"), "mixed")
+    parts = named.groupBy("key", "comp").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    many = parts.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > SHORT).select("key")
+    side = lambda name: [F.col("comp").alias(name), F.col("first").alias(f"{name}_first"), F.col("last").alias(f"{name}_last")]
+    few = parts.join(many, "key", "left_anti")
+    met = stash(few.select("key", *side("a")).join(few.select("key", *side("b")), "key").where("a < b"), "met")
+    enough = met.groupBy("a", "b").agg(((F.min("a_first") < F.max("a_last")) & (F.min("b_first") < F.max("b_last"))).alias("enough")).where("enough")
+    kept = met.join(enough.select("a", "b"), ["a", "b"]).select("key", F.explode(F.array("a", "b")).alias("comp")).distinct()
+    kept = stash(kept.unionByName(parts.join(many, "key", "left_semi").select("key", "comp")), "kept")
+    return stash(named.join(kept, ["key", "comp"], "left_semi").select(*shared.columns, "comp", "main"), "tagged")
+
+
 def copies(media: DataFrame, id_col: str, image_col: str, agree: int = AGREEING) -> DataFrame:
     """(id, n_points, component_id, kept) of each row."""
     rows = media.select(F.col(id_col).cast("long").alias("id"), F.col(image_col).cast("binary").alias("image"))
-    described = stash(rows.select("id", F.unhex(F.sha2("image", 256)).alias("file"), "image").mapInArrow(tidy(_described), _PICTURE), "described")
-    files = described.where("id IS NOT NULL AND file IS NOT NULL")
-    reps = files.groupBy("file").agg(F.min("id").alias("rep"))
-    same = files.select("id", "file").join(reps, "file").where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
-    pictures = stash(files.where(F.col("n_points") >= agree).groupBy("file").agg(F.min("id").alias("id"), F.first("m").alias("m")).select("id", "m"), "pictures")
+    described = rows.select("id", F.unhex(F.sha2("image", 256)).alias("file"), "image").mapInArrow(tidy(_described), _PICTURE)
+    described = stash(described.withColumn("row", F.monotonically_increasing_id()), "described")
+    files = described.where("id IS NOT NULL AND file IS NOT NULL").select("id", "file", "row", "n_points")
+    reps = files.groupBy("file").agg(F.min(F.struct("id", "row")).alias("rep")).select("file", F.col("rep.id").alias("rep"), F.col("rep.row").alias("own"))
+    again = stash(files.join(reps, "file").where("row <> own").select("id", "row", "rep"), "again")
+    same = again.where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
+    pictures = described.where((F.col("n_points") >= agree) & F.col("id").isNotNull())
+    if not again.isEmpty():
+        pictures = stash(pictures.join(again.select("row"), "row", "left_anti").select("id", "m"), "pictures")
+    pictures = pictures.select("id", "m")
 
     posts = pictures.mapInArrow(tidy(_postings), "key bigint, id bigint, first int, last int")
-    lists = posts.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("top")).where("hub <> top").select("key", "hub")
+    lists = stash(posts.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("top")).where("hub <> top").select("key", "hub"), "lists")
     shared = stash(posts.join(lists, "key"), "shared")
     side = lambda name: [F.col("id").alias(name), F.col("first").alias(f"{name}_first"), F.col("last").alias(f"{name}_last")]
 
-    # first every member with its list's hub
+    # every member with its list's hub, then, in lists of several components, members outside the hub's with another of it
     hubs = shared.where("id = hub").select("key", *side("a"))
-    comps = stash(components(_links(shared.where("id <> hub").select("key", *side("b")).join(hubs, "key"), pictures, agree).unionByName(same)), "components")
-
-    # then, in lists of several components, members outside the hub's with those of other components
-    tagged = shared.join(comps.toDF("id", "comp"), "id", "left").join(comps.toDF("hub", "main"), "hub", "left")
-    tagged = stash(tagged.select("key", "id", "first", "last", F.coalesce("comp", "id").alias("comp"), F.coalesce("main", "hub").alias("main")), "tagged")
+    found = _links(shared.where("id <> hub").select("key", *side("b")).join(hubs, "key"), pictures, agree)
+    comps = stash(components(found.unionByName(same)), "components")
+    tagged = _mixed(shared, comps)
+    for turn in range(HUBS):
+        hubs = tagged.where("comp = main").groupBy("key").agg(F.min_by(F.struct(*side("a")), F.xxhash64("id", F.lit(turn))).alias("h")).select("key", "h.*")
+        found = _links(tagged.where("comp <> main").select("key", *side("b")).join(hubs, "key"), pictures, agree)
+        if found.isEmpty():
+            break
+        comps = stash(_merged(comps, found), "components")
+        tagged = _mixed(tagged.select(shared.columns), comps)
+
+    # then members that are still outside with all members of other components
     sizes = tagged.where("comp <> main").groupBy("key").agg(F.count("*").alias("n"))
     long = sizes.where(F.col("n") > SHORT).select("key")
     others = tagged.where("comp <> main").join(sizes.where(F.col("n") <= SHORT).select("key"), "key", "left_semi").select("key", F.col("comp").alias("other"), *side("a"))
