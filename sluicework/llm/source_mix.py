@@ -9,7 +9,8 @@ No source is ever sorted as a whole: sizes are summed by (source, range of keys)
 finds the range that holds the edge, and only documents of that range are sorted. What results is one limit for each
 source, with which every document decides for itself.
 
-Defined cases: a null or empty text has size 0; a null source is a source of its own, the last; documents without id
+Defined cases: a null, empty or blank text has size 0 and is taken with its neighbours by key, at most ``most`` times, or
+not at all if its source has no words; a null source is a source of its own, the last; documents without id
 draw by a hash of their text; rows with the same id (or no id and the same text) and size are taken together; an
 empty table gives an empty result; further columns are kept by ``mixed`` and ignored by ``mixture``.
 """
@@ -66,7 +67,7 @@ def limits(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float =
     sums = rows.groupBy("__source", _range().alias("range")).agg(F.sum("__size").alias("s"))
     run = Window.partitionBy("__source").orderBy("range")
     sums = sums.withColumn("ahead", F.sum("s").over(run) - F.col("s")).withColumnRenamed("__source", "named")
-    edge = sums.join(targets, F.col("named").eqNullSafe(F.col("__source"))).where("ahead <= left AND left < ahead + s")
+    edge = sums.join(targets, F.col("named").eqNullSafe(F.col("__source"))).where("left > 0 AND ahead <= left AND left < ahead + s")
     edges = stash(edge.select("named", F.col("range").alias("edge"), "ahead", "left"), "edges")
 
     near = _with(rows.withColumn("range", _range()), edges, "named").where("range = edge")
@@ -131,4 +132,4 @@ run AS (
     sum(k.size) OVER (PARTITION BY k.source ORDER BY k.key, k.tie, k.size RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS end_at
   FROM keyed k JOIN planned p ON k.source IS NOT DISTINCT FROM p.source)
 SELECT doc_id, source, size, source_size, target, copies, CAST(size * copies AS BIGINT) AS taken
-FROM (SELECT *, CAST(epochs + CASE WHEN source_size > 0 AND end_at - size / 2 <= room THEN 1 ELSE 0 END AS BIGINT) AS copies FROM run)"""
+FROM (SELECT *, CAST(epochs + CASE WHEN room > 0 AND end_at - size / 2 <= room THEN 1 ELSE 0 END AS BIGINT) AS copies FROM run)"""
