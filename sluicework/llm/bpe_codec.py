@@ -2,37 +2,58 @@
 
 The words of many texts lie in one flat array of symbols. A round looks every adjacent pair up by binary search over
 the sorted pair keys, finds the lowest rank of each word, and merges its occurrences (of overlapping ones, the left);
-words without a known pair are done and leave the array. A word is encoded once for each task, which keeps what it
-has met in a table of bounded size. Very long words merge one lowest pair at a time through a heap.
+words without a known pair are done and leave the array. Words beyond LONG bytes take as many rounds as they have
+distinct ranks; theirs go rank by rank over a linked flat array, and a round only touches the pairs of its rank. A word
+is encoded once for each task, which keeps what it has met, by content, in a table of bounded size.
+
+A text beyond SLICE_CHARS is handled in parts that are cut where a pre-token must end, so the work space is that of one
+part, next to the text and its ids. Only a single word takes space of its own length: some 100 bytes a byte.
 
 Defined cases: a null text counts as empty and has no tokens; special strings inside a text become their special id,
-as the library's default has it; repeated rows encode alike; further columns are ignored.
+as the library's default has it; repeated rows encode alike; an empty table gives an empty result; further columns are
+ignored.
 """
 
 from __future__ import annotations
 
+import codecs
 import hashlib
 import heapq
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .pretokens import ByteBpe, split
+from .pretokens import ByteBpe, parts, split
 from .shared import record_batch, tidy
 
-#: Words that a task keeps, the characters it handles at once, and the bytes beyond which a word goes to the heap.
-KEPT, SLICE_CHARS, LONG = 400_000, 1 << 20, 2048
+#: Words and tokens that a task keeps, the longest of these words, the characters handled at once, and the bytes beyond which a word is linked.
+KEPT, KEPT_TOKENS, KEPT_CHARS, SLICE_CHARS, LONG = 400_000, 4_000_000, 64, 1 << 20, 2048
 _NONE = np.iinfo(np.int64).max
 
 
 class Encoder:
     def __init__(self, path: str):
         self.bpe = ByteBpe(path)
-        self.known: dict[int, tuple[int, ...]] = {}
+        by_rank = np.argsort(self.bpe.ranks, kind="stable")
+        self.left, self.right, self.made = self.bpe.keys[by_rank] // self.bpe.base, self.bpe.keys[by_rank] % self.bpe.base, self.bpe.merged[by_rank]
+        self.forget()
+
+    def forget(self) -> None:
+        """Nothing is known: word -> place; the place's first token and number of tokens in ``flat``."""
+        self.known: dict[str, int] = {}
+        self.heads, self.sizes, self.flat = (np.zeros(0, np.int64) for _ in range(3))
+
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair of symbols, by binary search; _NONE if it doesn't merge."""
+        key = left * self.bpe.base + right
+        at = np.minimum(np.searchsorted(self.bpe.keys, key), len(self.bpe.keys) - 1)
+        return np.where(self.bpe.keys[at] == key, self.bpe.ranks[at], _NONE)
 
     def merge_rounds(self, words: list[bytes]) -> list[np.ndarray]:
         """Token ids of each word."""
@@ -40,18 +61,14 @@ class Encoder:
         short = [i for i, w in enumerate(words) if 0 < len(w) <= LONG]
         for i, w in enumerate(words):
             if len(w) > LONG:
-                out[i] = self._heap(w)
+                out[i] = self._linked_rounds(w)
         if not short:
             return out
         symbols = self.bpe.symbol[np.frombuffer(b"".join(words[i] for i in short), np.uint8)]
         word = np.repeat(np.arange(len(short)), [len(words[i]) for i in short])
         while len(symbols):
             ranks = np.full(len(symbols), _NONE)
-            if len(symbols) > 1:
-                key = symbols[:-1] * self.bpe.base + symbols[1:]
-                at = np.minimum(np.searchsorted(self.bpe.keys, key), len(self.bpe.keys) - 1)
-                hit = (self.bpe.keys[at] == key) & (word[:-1] == word[1:])
-                ranks[:-1][hit] = self.bpe.ranks[at[hit]]
+            ranks[:-1] = np.where(word[:-1] == word[1:], self._ranks(symbols[:-1], symbols[1:]), _NONE)
             heads = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
             least = np.minimum.reduceat(ranks, heads)
             done = least == _NONE
@@ -63,40 +80,71 @@ class Encoder:
                 runs = np.concatenate([[True], np.diff(take) != 1])
                 place = np.arange(len(take)) - np.maximum.accumulate(np.where(runs, np.arange(len(take)), 0))
                 take = take[place % 2 == 0]
-            symbols[take] = self.bpe.merged[at[take]] if len(take) else symbols[take]
+            symbols[take] = self.made[ranks[take]] if len(take) else symbols[take]
             stay = ~np.repeat(done, lengths)
             stay[take + 1] = False
             symbols, word = symbols[stay], word[stay]
         return out
 
-    def _heap(self, data: bytes) -> np.ndarray:
-        sym = self.bpe.symbol[np.frombuffer(data, np.uint8)].tolist()
-        nxt, prv = [*range(1, len(sym)), -1], [-1, *range(len(sym) - 1)]
-        table = {}
-
-        def look(a: int, b: int) -> tuple[int, int]:
-            if (a, b) not in table:
-                key = a * self.bpe.base + b
-                k = int(np.searchsorted(self.bpe.keys, key))
-                found = k < len(self.bpe.keys) and self.bpe.keys[k] == key
-                table[a, b] = (int(self.bpe.ranks[k]), int(self.bpe.merged[k])) if found else (-1, -1)
-            return table[a, b]
-
-        heap = [(look(sym[i], sym[i + 1])[0], i, sym[i], sym[i + 1]) for i in range(len(sym) - 1)]
-        heap = [x for x in heap if x[0] >= 0]
-        heapq.heapify(heap)
-        while heap:
-            _, i, a, b = heapq.heappop(heap)
-            j = nxt[i] if sym[i] == a else -1
-            if j < 0 or sym[j] != b:
+    def _linked_rounds(self, data: bytes) -> np.ndarray:
+        """One long word: all pairs of the lowest rank merge in a round, which then looks up only the pairs that are new."""
+        symbols = self.bpe.symbol[np.frombuffer(data, np.uint8)].copy()
+        n = len(symbols)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        waiting: dict[int, list[np.ndarray]] = {}
+        ready: list[int] = []
+
+        def wait(at: np.ndarray) -> None:
+            """Pairs that start at these places, by rank."""
+            ranks = self._ranks(symbols[at], symbols[after[at]])
+            at, ranks = at[ranks != _NONE], ranks[ranks != _NONE]
+            order = np.argsort(ranks, kind="stable")
+            some, first = np.unique(ranks[order], return_index=True)
+            for r, own in zip(some.tolist(), np.split(at[order], first[1:])):
+                if r not in waiting:
+                    heapq.heappush(ready, r)
+                waiting.setdefault(r, []).append(own)
+
+        wait(np.arange(n - 1))
+        while ready:
+            r = heapq.heappop(ready)
+            at = np.unique(np.concatenate(waiting.pop(r)))
+            at = at[(symbols[at] == self.left[r]) & (after[at] < n)]
+            at = at[symbols[after[at]] == self.right[r]]
+            if len(at) > 1 and self.left[r] == self.right[r]:  # of a run of overlapping pairs, every other one
+                runs = np.concatenate([[True], after[at[:-1]] != at[1:]])
+                place = np.arange(len(at)) - np.maximum.accumulate(np.where(runs, np.arange(len(at)), 0))
+                at = at[place % 2 == 0]
+            if not len(at):
                 continue
-            sym[i], sym[j], nxt[i] = look(a, b)[1], -1, nxt[j]
-            if nxt[j] >= 0:
-                prv[nxt[j]] = i
-            for x in (prv[i], i):
-                if x >= 0 and nxt[x] >= 0 and (r := look(sym[x], sym[nxt[x]])[0]) >= 0:
-                    heapq.heappush(heap, (r, x, sym[x], sym[nxt[x]]))
-        return np.array([s for s in sym if s >= 0], np.int64)
+            gone = after[at]
+            symbols[at], symbols[gone] = self.made[r], -1
+            after[at] = after[gone]
+            inner = at[after[at] < n]
+            before[after[inner]] = inner
+            wait(np.unique(np.concatenate([before[at][before[at] >= 0], inner])))
+        return symbols[symbols >= 0]
+
+    def _places(self, words: list[str]) -> np.ndarray:
+        """Where the tokens of each word are kept; new words are encoded first."""
+        if len(self.known) > KEPT or len(self.flat) > KEPT_TOKENS:
+            self.forget()
+        places = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(places < 0).tolist()
+        if not new:
+            return places
+        fresh = list(dict.fromkeys(words[i] for i in new))
+        made = self.merge_rounds([w.encode() for w in fresh])
+        first = len(self.heads)
+        sizes = np.array([len(x) for x in made], np.int64)
+        self.heads = np.concatenate([self.heads, len(self.flat) + np.cumsum(sizes) - sizes])
+        self.sizes, self.flat = np.concatenate([self.sizes, sizes]), np.concatenate([self.flat, *made])
+        self.known.update(zip(fresh, range(first, first + len(fresh))))
+        places[new] = [self.known[words[i]] for i in new]
+        for w in fresh:
+            if len(w) > KEPT_CHARS:
+                del self.known[w]
+        return places
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Token ids of each text."""
@@ -108,29 +156,32 @@ class Encoder:
                     p = ""
                 pieces.append(p)
                 owner.append(i)
-        found = split(pieces)
-        unique, first, inverse = np.unique(found.hashes, return_index=True, return_inverse=True)
-        fresh = [k for k, h in enumerate(unique.tolist()) if h not in self.known]
-        if len(self.known) + len(fresh) > KEPT:
-            self.known.clear()
-            fresh = list(range(len(unique)))
-        for k, ids in zip(fresh, self.merge_rounds([found[first[k]].encode() for k in fresh]), strict=True):
-            self.known[int(unique[k])] = ids
-        ids = [self.known[h] for h in unique.tolist()]
-        lengths = np.array([len(x) for x in ids], np.int64)
-        flat, heads = np.concatenate([np.zeros(0, np.int64), *ids]), np.concatenate([[0], np.cumsum(lengths)])
-        per = lengths[inverse]
+        words, ahead = split(pieces)
+        places = self._places(words)
+        per = self.sizes[places]
         ends = np.concatenate([[0], np.cumsum(per)])
-        tokens = flat[np.arange(ends[-1]) - np.repeat(ends[:-1], per) + np.repeat(heads[inverse], per)]
-        bounds = ends[found.before]
+        tokens = self.flat[np.arange(ends[-1]) - np.repeat(ends[:-1], per) + np.repeat(self.heads[places], per)]
+        bounds = ends[ahead]
         out: list[list[np.ndarray]] = [[] for _ in texts]
         for k, i in enumerate(owner):
             out[i].append(np.array([special[k]]) if k in special else tokens[bounds[k] : bounds[k + 1]])
         return [x[0] if len(x) == 1 else np.concatenate(x) for x in out]
 
-    def decode(self, ids: np.ndarray) -> str:
+    def stream(self, text: str) -> Iterator[np.ndarray]:
+        """The token ids of a long text, part by part."""
+        for piece in self.bpe.pieces(text):
+            if isinstance(piece, int):
+                yield np.array([piece])
+            else:
+                for part in parts(piece, SLICE_CHARS):
+                    yield self.encode([part])[0] if part not in self.bpe.specials else np.array([self.bpe.specials[part]])
+
+    def bytes(self, ids: np.ndarray) -> bytes:
         of = self.bpe.bytes_of
-        return b"".join([of[i] for i in ids.tolist()]).decode("utf-8", "replace")
+        return b"".join([of[i] for i in ids.tolist()])
+
+    def decode(self, ids: np.ndarray) -> str:
+        return self.bytes(ids).decode("utf-8", "replace")
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -144,32 +195,72 @@ def encoder(path: str) -> Encoder:
 
 
 def slices(column: pa.Array) -> Iterator[tuple[int, int, list[str]]]:
-    """(first row, end row, texts) of about SLICE_CHARS; null counts as empty."""
-    texts = [t or "" for t in column.to_pylist()]
-    lo = size = 0
-    for i, t in enumerate(texts):
-        if size and size + len(t) > SLICE_CHARS:
-            yield lo, i, texts[lo:i]
-            lo, size = i, 0
-        size += len(t) + 1
-    if lo < len(texts):
-        yield lo, len(texts), texts[lo:]
-
-
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids array<int>, decoded_sha256) of each document; the digest is that of the text decoded from the ids."""
-    kind = docs.schema[id_col].dataType.simpleString()
-
+    """(first row, end row, texts) of about SLICE_CHARS, a longer text alone; null counts as empty."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.concatenate([[0], np.cumsum(sizes + 1)])
+    lo = 0
+    while lo < len(column):
+        hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + SLICE_CHARS, "right")) - 1)
+        hi = min(hi, len(column))
+        yield lo, hi, [t or "" for t in column.slice(lo, hi - lo).to_pylist()]
+        lo = hi
+
+
+class _Digest:
+    """The digests of a text's ids and of what they decode to, fed part by part."""
+
+    def __init__(self, own: Encoder, decimal: np.ndarray):
+        self.own, self.decimal, self.n = own, decimal, 0
+        self.ids, self.text, self.utf8 = hashlib.sha256(), hashlib.sha256(), codecs.getincrementaldecoder("utf-8")("replace")
+
+    def add(self, ids: np.ndarray) -> None:
+        if len(ids):
+            self.ids.update((("," if self.n else "") + ",".join(self.decimal[ids].tolist())).encode())
+            self.text.update(self.utf8.decode(self.own.bytes(ids)).encode())
+            self.n += len(ids)
+
+    def read(self) -> tuple[int, str, str]:
+        self.text.update(self.utf8.decode(b"", True).encode())
+        return self.n, self.ids.hexdigest(), self.text.hexdigest()
+
+
+def _encoded(own: Encoder, decimal: np.ndarray, texts: list[str], keep: bool) -> list[tuple[np.ndarray, _Digest]]:
+    """(ids, or none unless ``keep``; digest) of each text of a slice."""
+    long = len(texts) == 1 and len(texts[0]) > SLICE_CHARS
+    out = []
+    for ids in [own.stream(texts[0])] if long else [[x] for x in own.encode(texts)]:
+        digest, kept = _Digest(own, decimal), [np.zeros(0, np.int32)]
+        for part in ids:
+            digest.add(part)
+            if keep:
+                kept.append(part.astype(np.int32))
+        out.append((np.concatenate(kept), digest))
+    return out
+
+
+def _run(path: str, keep: bool, id_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
+        decimal = np.array([str(i) for i in range(own.bpe.base)], object)
         for batch in batches:
-            schema = pa.schema([(id_col, batch.schema.field(0).type), ("ids", pa.list_(pa.int32())), ("decoded_sha256", pa.string())])
+            more = [("ids", pa.list_(pa.int32())), ("decoded_sha256", pa.string())] if keep else [("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
+            schema = pa.schema([(id_col, batch.schema.field(0).type), *more])
             for lo, hi, texts in slices(batch.column(1)):
-                ids = own.encode(texts)
-                ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-                yield record_batch({id_col: batch.column(0).slice(lo, hi - lo), "ids": pa.ListArray.from_arrays(ends, pa.array(np.concatenate(ids).astype(np.int32))), "decoded_sha256": [hashlib.sha256(own.decode(x).encode()).hexdigest() for x in ids]}, schema)
+                made = _encoded(own, decimal, texts, keep)
+                n, ids_sha256, decoded_sha256 = zip(*(digest.read() for _, digest in made))
+                columns = {id_col: batch.column(0).slice(lo, hi - lo), "n_tokens": n, "ids_sha256": ids_sha256, "decoded_sha256": decoded_sha256}
+                if keep:
+                    ends = np.concatenate([[0], np.cumsum([len(x) for x, _ in made])]).astype(np.int32)
+                    columns["ids"] = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([x for x, _ in made])))
+                yield record_batch(columns, schema)
 
-    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(tidy(run, lambda: encoder(path).known.clear()), f"`{id_col}` {kind}, ids array<int>, decoded_sha256 string")
+    return tidy(run, lambda: encoder(path).forget())
+
+
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, ids array<int>, decoded_sha256) of each document; the digest is that of the text decoded from the ids."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(_run(path, True, id_col), f"`{id_col}` {kind}, ids array<int>, decoded_sha256 string")
 
 
 def decode(tokens: DataFrame, path: str, ids_col: str = "ids", out: str = "text") -> DataFrame:
@@ -186,15 +277,4 @@ def decode(tokens: DataFrame, path: str, ids_col: str = "ids", out: str = "text"
 def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256): the round trip of each document."""
     kind = docs.schema[id_col].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(path)
-        decimal = np.array([str(i) for i in range(own.bpe.base)], object)
-        for batch in batches:
-            schema = pa.schema([(id_col, batch.schema.field(0).type), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
-            for lo, hi, texts in slices(batch.column(1)):
-                ids = own.encode(texts)
-                shas = [[hashlib.sha256(x.encode()).hexdigest() for x in made] for made in ((",".join(decimal[i].tolist()) for i in ids), map(own.decode, ids))]
-                yield record_batch({id_col: batch.column(0).slice(lo, hi - lo), "n_tokens": np.array([len(x) for x in ids], np.int64), "ids_sha256": shas[0], "decoded_sha256": shas[1]}, schema)
-
-    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(tidy(run, lambda: encoder(path).known.clear()), f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(_run(path, False, id_col), f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -11,8 +11,9 @@ The model learns from at most ``MAX_TRAIN`` rows (the smallest by a hash of the
 Language, source and id are no inputs of a prediction.
 
 Defined cases: a null text or one without a letter is ``und`` with a score of 0 and not accepted; so is every text if
-there is nothing to learn from; null languages or ids teach nothing; repeated rows are predicted alike; further
-columns are ignored.
+there is nothing to learn from; null languages or ids teach nothing; repeated rows are predicted alike, and rows that
+share an id and language teach once; an empty table gives an empty result; further columns are ignored. Only A-Z are
+lower-cased. A long text is read in windows, whose work space is some 100 MB.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import id_bucket, random_words, record_batch, text_slices
+from .shared import SLICE_BYTES, id_bucket, random_words, record_batch, text_slices, tidy
 
 MAX_TRAIN, BUCKETS, DIM, LONGEST = 2_000, 1 << 14, 16, 4
 REJECT = 0.005
@@ -60,6 +61,17 @@ def subwords(data: np.ndarray, offsets: np.ndarray, buckets: int) -> Iterator[tu
         yield (((hashed * np.uint64(0x9E3779B97F4A7C15)) >> shift)[whole].astype(np.int64), row[:n][whole])
 
 
+def counted(data: np.ndarray, offsets: np.ndarray, buckets: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """subwords() of texts, or of the windows of one long text; windows overlap by what a subword that starts in one may need."""
+    if len(offsets) != 2 or len(data) <= 2 * SLICE_BYTES:
+        yield from subwords(data, offsets, buckets)
+        return
+    for lo in range(0, len(data), SLICE_BYTES):
+        part = data[lo : lo + SLICE_BYTES + LONGEST - 1]
+        for at, row in subwords(part, np.array([0, len(part)]), buckets):
+            yield at[:SLICE_BYTES], row[:SLICE_BYTES]
+
+
 class LanguageModel:
     """``langs`` and, for each bucket, what a subword adds to each language's logit."""
 
@@ -111,7 +123,7 @@ class LanguageModel:
         """(index into langs, score) for each text."""
         n = len(offsets) - 1
         sums, count = np.zeros((n, len(self.langs))), np.zeros(n)
-        for at, row in subwords(data, offsets, self.buckets):
+        for at, row in counted(data, offsets, self.buckets):
             ends = np.searchsorted(row, np.arange(n + 1))
             some = np.flatnonzero(np.diff(ends))
             if len(some):
@@ -122,18 +134,19 @@ class LanguageModel:
 
 
 def _counted(buckets: int):
-    schema = pa.schema([("lang", pa.string()), ("at", pa.list_(pa.int32())), ("n", pa.list_(pa.int32()))])
+    schema = pa.schema([("id", pa.string()), ("lang", pa.string()), ("h", pa.int64()), ("at", pa.list_(pa.int32())), ("n", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, data, offsets in text_slices(batch.column(1)):
+            for lo, hi, data, offsets in text_slices(batch.column(3)):
                 at, n = [], []
                 for i in range(hi - lo):
                     own = data[offsets[i] : offsets[i + 1]]
-                    counts = sum((np.bincount(b, minlength=buckets) for b, _ in subwords(own, np.array([0, len(own)]), buckets)), np.zeros(buckets, np.int64))
+                    counts = sum((np.bincount(b, minlength=buckets) for b, _ in counted(own, np.array([0, len(own)]), buckets)), np.zeros(buckets, np.int64))
                     at.append(np.flatnonzero(counts).astype(np.int32))
                     n.append(counts[at[-1]].astype(np.int32))
-                yield record_batch({"lang": batch.column(0).slice(lo, hi - lo), "at": pa.array(at, pa.list_(pa.int32())), "n": pa.array(n, pa.list_(pa.int32()))}, schema)
+                own = {c: batch.column(k).slice(lo, hi - lo) for k, c in enumerate(("id", "lang", "h"))}
+                yield record_batch({**own, "at": pa.array(at, pa.list_(pa.int32())), "n": pa.array(n, pa.list_(pa.int32()))}, schema)
 
     return run
 
@@ -146,12 +159,13 @@ def held_out(id_col: str = "doc_id", folds: int = 3):
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_rows: int = MAX_TRAIN, **options) -> LanguageModel:
-    """Fit on documents with a language and a letter; at most ``max_rows`` of them."""
+    """Fit on documents with a language and a letter; at most ``max_rows`` of them, and of rows that share an id and language one, the smallest by a hash of its text."""
     model = LanguageModel(**options)
     rows = docs.select(F.col(id_col).alias("__id"), F.col(lang_col).cast("string").alias("__lang"), F.col(text_col).cast("string").alias("__text")).dropna()
     chosen = rows.where(F.col("__text").rlike(LETTER)).select("__id", "__lang").orderBy(F.xxhash64("__id"), "__id", "__lang").limit(max_rows).distinct()
-    taught = rows.join(F.broadcast(chosen), ["__id", "__lang"]).select("__lang", "__text")
-    found = taught.mapInArrow(_counted(model.buckets), "lang string, at array<int>, n array<int>").toArrow().sort_by("lang")
+    taught = rows.join(F.broadcast(chosen), ["__id", "__lang"]).select(F.col("__id").cast("string").alias("id"), F.col("__lang").alias("lang"), F.xxhash64("__text").alias("h"), "__text")
+    taught = taught.mapInArrow(tidy(_counted(model.buckets)), "id string, lang string, h bigint, at array<int>, n array<int>")
+    found = taught.groupBy("id", "lang").agg(F.min_by(F.struct("at", "n"), "h").alias("m")).select("lang", "m.at", "m.n").toArrow()
     rows = sorted(zip(found.column("lang").to_pylist(), found.column("at").to_pylist(), found.column("n").to_pylist(), strict=True))
     order = np.random.default_rng(0).permutation(len(rows))
     return model.fit([(np.array(rows[i][1], np.int64), np.array(rows[i][2], float)) for i in order], [rows[i][0] for i in order])

@@ -17,7 +17,10 @@ is a metric.
 Defined cases: a null or empty text has no shingles and links with nothing; a row without id links with nothing
 and is kept with a null component; rows of one id count as one document; equal sets are linked by their 128-bit
 fingerprints; further columns are ignored. A pair at a similarity of exactly 0.75 misses the match threshold with
-a probability of about 1e-5 (binomial tail, 64 coordinates, 33 matches); more similar pairs, far less.
+a probability of about 1e-5 (binomial tail, 64 coordinates, 33 matches); more similar pairs, far less. Words and
+shingles are compared by 64-bit hashes that mix after every 8 bytes and every word, so regular words don't collide.
+Ties: a group is named by its smallest id. A long text is read in windows; its words, shingles and set take some 30
+bytes a word next to the text. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,8 +36,10 @@ from .shared import mix64, random_words, record_batch, stash, text_slices, tidy,
 
 COORDINATES, MATCHES, SHINGLE = 64, 33, 5
 PERCENT = 75
-#: Members of one hub, and shingles of all of them, that form one block; rows that Spark sends to Python at once.
-BLOCK, BLOCK_SHINGLES, SENT_ROWS = 1024, 1_000_000, 512
+#: Members of one hub, and shingles of all of them, that form one block.
+BLOCK, BLOCK_SHINGLES = 1024, 1_000_000
+#: Shingles handled at once.
+PART = 1 << 20
 
 _PLACES = random_words(64, 5)
 _FLIPS, _FACTORS = random_words(256, 7), random_words(256, 9)
@@ -42,31 +47,43 @@ _FLIPS, _FACTORS = random_words(256, 7), random_words(256, 9)
 
 def _shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """(shingle hashes of the texts one after another, number before each text); repeats are kept."""
-    words, before, _, _ = word_hashes(data, offsets)
+    words, before, _ = word_hashes(data, offsets)
     counts = np.diff(before)
     n = np.where(counts >= size, counts - size + 1, np.minimum(counts, 1))
     ahead = np.concatenate([[0], np.cumsum(n)])
+    rolled = np.empty(max(0, len(words) - size + 1), np.uint64)
+    for lo in range(0, len(rolled), PART):
+        hi = min(lo + PART, len(rolled))
+        own = np.zeros(hi - lo, np.uint64)
+        for j in range(size):  # each step mixes, so that no sum of words cancels
+            own = mix64((own ^ words[lo + j : hi + j]) * _PLACES[j])
+        rolled[lo:hi] = own
+    if len(counts) == 1 and counts[0] >= size:
+        return rolled, ahead
     out = np.empty(ahead[-1], np.uint64)
-    if len(words) >= size:
-        rolled = np.zeros(len(words) - size + 1, np.uint64)
-        for j in range(size):
-            rolled += words[j : len(words) - size + 1 + j] * _PLACES[j]
-        rolled = mix64(rolled)
-        at = np.arange(ahead[-1]) - np.repeat(ahead[:-1], n) + np.repeat(before[:-1], n)
-        full = np.repeat(counts >= size, n)
-        out[full] = rolled[at[full]]
+    at = np.arange(ahead[-1]) - np.repeat(ahead[:-1], n) + np.repeat(before[:-1], n)
+    full = np.repeat(counts >= size, n)
+    out[full] = rolled[at[full]]
     for i in np.flatnonzero((counts > 0) & (counts < size)):
-        own = words[before[i] : before[i + 1]]
-        out[ahead[i]] = mix64(np.array([(own * _PLACES[8 : 8 + len(own)]).sum(dtype=np.uint64) + np.uint64(len(own))], np.uint64))[0]
+        own = np.uint64(counts[i])
+        for j, word in enumerate(words[before[i] : before[i + 1], None]):
+            own = mix64((own ^ word) * _PLACES[8 + j])
+        out[ahead[i]] = own[0]
     return out, ahead
 
 
 def _signatures(shingles: np.ndarray, ahead: np.ndarray, coordinates: int) -> np.ndarray:
     """uint32 minima, a row for each text that has shingles."""
     starts = ahead[:-1][np.diff(ahead) > 0]
-    out = np.empty((len(starts), coordinates), np.uint32)
-    for k in range(coordinates if len(starts) else 0):
-        out[:, k] = np.minimum.reduceat((shingles ^ _FLIPS[k]) * _FACTORS[k], starts) >> np.uint64(32)
+    out = np.full((len(starts), coordinates), np.iinfo(np.uint32).max, np.uint32)
+    for lo in range(0, len(shingles), PART):
+        part = shingles[lo : lo + PART]
+        first = max(0, int(np.searchsorted(starts, lo, "right")) - 1)
+        last = int(np.searchsorted(starts, lo + len(part), "left"))
+        cuts = np.maximum(starts[first:last] - lo, 0)
+        for k in range(coordinates):
+            least = np.minimum.reduceat((part ^ _FLIPS[k]) * _FACTORS[k], cuts) >> np.uint64(32)
+            out[first:last, k] = np.minimum(out[first:last, k], least)
     return out
 
 
@@ -192,12 +209,10 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 _SET = ["f1", "f2", "n_shingles"]
-_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", coordinates: int = COORDINATES, matches: int = MATCHES, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
     """(id, n_shingles, component_id, kept) for each row of ``docs``; see the module's text."""
-    spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     prints = stash(source.mapInArrow(tidy(_prints(shingle, coordinates)), "id long, n_shingles long, f1 long, f2 long, sig array<int>"), "prints")
     whole = prints.where("id IS NOT NULL AND n_shingles > 0")
@@ -253,12 +268,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
     dealt = dealt.select("hub", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "block", "comp", "far").join(sigs, "node").join(sets, "node")
     dealt = dealt.select("hub", "i", "j", "node", "block", "comp", "far", "sig", "set").repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j", "node")
-    before = spark.conf.get(_ROWS)
-    spark.conf.set(_ROWS, SENT_ROWS)
-    try:
-        more = stash(dealt.mapInArrow(tidy(_in_blocks(matches, percent)), "a long, b long"), "links")
-    finally:
-        spark.conf.set(_ROWS, before)
+    more = stash(dealt.mapInArrow(tidy(_in_blocks(matches, percent)), "a long, b long"), "links")
     if not more.isEmpty():
         comps = components(comps.where("node <> comp").select(F.col("comp").alias("a"), F.col("node").alias("b")).unionByName(more))
 
@@ -271,8 +281,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents that near_duplicates() keeps, with all their columns; of repeated rows of an id, one."""
+    """The documents that near_duplicates() keeps, with all their columns; of repeated rows of an id, one: the smallest text by hash."""
     kept = near_duplicates(docs, id_col, text_col, **options).where("kept").select(F.col("id").alias("__kept")).distinct()
     rows = docs.join(kept, docs[id_col].cast("long").eqNullSafe(kept["__kept"]), "left_semi")
-    named = rows.where(F.col(id_col).isNotNull()).dropDuplicates([id_col])
-    return named.unionByName(rows.where(F.col(id_col).isNull()))
+    again = stash(rows.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__again")).agg(F.count("*").alias("n")).where("n > 1").select("__again"), "again")
+    if again.isEmpty():
+        return rows
+    repeated = F.col(id_col).isNotNull() & (F.col(id_col) == F.col("__again"))
+    once = rows.join(again, repeated, "left_anti")
+    rest = rows.join(again, F.col(id_col) == F.col("__again"), "left_semi").withColumn("__order", F.xxhash64(F.col(text_col).cast("string"), *[F.to_json(F.struct(F.col(f"`{c}`"))) for c in docs.columns]))
+    first = rest.groupBy(F.col(id_col).alias("__first")).agg(F.min("__order").alias("__least"))
+    rest = rest.join(first, (F.col(id_col) == F.col("__first")) & (F.col("__order") == F.col("__least"))).select(docs.columns).dropDuplicates([id_col])
+    return once.unionByName(rest)

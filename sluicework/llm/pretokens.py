@@ -10,14 +10,13 @@ a parallel prefix scan, and a second run from the now known states yields the st
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
-from dataclasses import dataclass
+from collections.abc import Iterator
 
 import numpy as np
 import regex
 
-from .shared import mix64, span_hashes
-
 _CHUNK = 64
 # classes of characters: blank, other white space, letters (those of contractions apart), numbers, marks, ', end of text
 _BLANK, _WHITE, _LETTER, _NUMBER, _MARK, _QUOTE, _ONE, _R, _V, _E, _L, _END = range(12)
@@ -113,24 +112,25 @@ def starts_of(kinds: np.ndarray) -> np.ndarray:
     return here[: len(kinds)]
 
 
-@dataclass
-class Split:
-    """Pre-tokens of a slice of texts: their hashes, the number before each text, and where they stand in ``joined``."""
+#: A place where a pre-token ends whatever stands before and after: what follows a letter or digit here belongs to none before it.
+_CUT = re.compile(r"(?<=[^\W_])(?=[ \n,.;:!?\u3001\u3002\uFF01\uFF0C\uFF1A\uFF1B\uFF1F])")
 
-    hashes: np.ndarray
-    before: np.ndarray
-    starts: np.ndarray
-    ends: np.ndarray
-    joined: str
 
-    def __getitem__(self, i: int) -> str:
-        return self.joined[self.starts[i] : self.ends[i]]
+def parts(text: str, size: int) -> Iterator[str]:
+    """A text in parts of about ``size`` characters that split into pre-tokens as the whole does."""
+    lo = 0
+    while len(text) - lo > 2 * size and (found := _CUT.search(text, lo + size)):
+        yield text[lo : found.start()]
+        lo = found.start()
+    yield text[lo:] if lo else text
 
 
-def split(texts: list[str]) -> Split:
-    """The pre-tokens of each text, as the public pattern finds them."""
+def split(texts: list[str]) -> tuple[list[str], np.ndarray]:
+    """(the pre-tokens of all texts, the number of them before each text), as the public pattern finds them."""
     if "classes" not in _MADE:
         _MADE["classes"] = _classes()
+    if not texts:
+        return [], np.zeros(1, np.int64)
     joined = "\0".join(texts) + "\0"
     points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
     ends = np.cumsum([len(t) + 1 for t in texts]) - 1
@@ -140,8 +140,8 @@ def split(texts: list[str]) -> Split:
     stop = np.append(at[1:], len(points))
     real = kinds[at] != _END
     at, stop = at[real], stop[real]
-    hashes = span_hashes(mix64(points.astype(np.uint64) + np.uint64(1)), at, stop)
-    return Split(hashes, np.concatenate([[0], np.searchsorted(at, ends)]), at, stop, joined)
+    words = [joined[a:b] for a, b in zip(at.tolist(), stop.tolist())]
+    return words, np.concatenate([[0], np.searchsorted(at, ends)])
 
 
 class ByteBpe:

@@ -10,7 +10,8 @@ the corpus; every document is scored. Labels, language, source and id are no fea
 
 Defined cases: a null text counts as empty and gets a score like any other; null labels or ids teach nothing; with
 no labels, or labels of one kind only, every score is their smoothed mean (0.5 without any); repeated rows score
-alike; further columns are ignored.
+alike, and rows that share an id and label teach once; an empty table gives an empty result; further columns are
+ignored. A long text is read in windows; its words take some 30 bytes each next to the text.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import id_bucket, record_batch, release, text_slices, tidy, word_hashes
+from .shared import fold_case, id_bucket, mix64, record_batch, release, run_hashes, text_slices, tidy, windows, word_spans
 
 MAX_TRAIN, BINS, PAIR_BINS, PAIRS = 20_000, 32, 8, 10
 THRESHOLD = 0.3
@@ -48,33 +49,44 @@ def _kinds() -> np.ndarray:
 
 
 _KIND = _kinds()
+_MARKED = np.isin(np.arange(12), (_BANG, _DOT, _COMMA, _SYMBOL, _BAR, _MARK))
 
 
-def measure(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """A row of FEATURES for each of the concatenated texts."""
+def _sums(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(sums of bytes and words for each text, hashes of words, words before each text, lengths of words) of one window."""
     n = len(offsets) - 1
     row = np.repeat(np.arange(n), np.diff(offsets))
     kinds = _KIND[data]
-    counts = np.bincount(row * 12 + kinds, minlength=n * 12).reshape(n, 12).astype(float)
-    size = np.maximum(np.diff(offsets), 1).astype(float)
-    marks = np.isin(kinds, (_BANG, _DOT, _COMMA, _SYMBOL, _BAR, _MARK))
+    marks = _MARKED[kinds]
     doubled = np.zeros(len(data), bool)
     if len(data) > 1:
         doubled[1:] = marks[1:] & (data[1:] == data[:-1]) & (row[1:] == row[:-1])
+    starts, ends, before = word_spans(data, offsets)
+    of, lengths = np.repeat(np.arange(n), np.diff(before)), ends - starts
+    edge = np.concatenate([[0], np.cumsum(marks)])
+    upper = np.concatenate([[0], np.cumsum(kinds == _UPPER)])
+    per_text = [np.bincount(row * 12 + kinds, minlength=n * 12).reshape(n, 12)]
+    per_text += [np.bincount(row, weights=x, minlength=n)[:, None] for x in (marks, doubled)]
+    per_text += [np.bincount(of, weights=x, minlength=n)[:, None] for x in (lengths, lengths <= 3, lengths >= 15, (upper[ends] - upper[starts]) * 2 > lengths, edge[ends] > edge[starts])]
+    return np.concatenate(per_text, axis=1).astype(float), run_hashes(fold_case(data), starts, ends), before, lengths
+
 
-    hashes, before, starts, ends = word_hashes(data, offsets)
+def measure(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """A row of FEATURES for each of the concatenated texts; long data go window by window."""
+    n = len(offsets) - 1
+    sums, before, hashes, lengths = np.zeros((n, 19)), np.zeros(n + 1, np.int64), [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for part, ends_of, _ in windows(data, offsets):
+        own, h, ahead, sizes = _sums(part, ends_of)
+        sums += own
+        before += ahead
+        hashes.append(h)
+        lengths.append(sizes)
+    hashes, lengths = np.concatenate(hashes), np.concatenate(lengths)
+    counts, (marked, doubled, letters_in, short, long, capital, with_marks) = sums[:, :12], sums[:, 12:].T
+    size = np.maximum(np.diff(offsets), 1).astype(float)
     words = np.diff(before).astype(float)
     some = np.maximum(words, 1)
-    of = np.repeat(np.arange(n), np.diff(before))
-    lengths = ends - starts
-    per_word = lambda x: np.bincount(of, weights=x, minlength=n) / some
-    edge = np.concatenate([[0], np.cumsum(marks)])
-    upper = np.concatenate([[0], np.cumsum(kinds == _UPPER)])
-    capital = (upper[ends] - upper[starts]) * 2 > lengths
-    same = np.zeros(len(hashes), bool)
-    if len(hashes) > 1:
-        same[1:] = (hashes[1:] == hashes[:-1]) & (of[1:] == of[:-1])
-    distinct, commonest, pairs, longest = (np.zeros(n) for _ in range(4))
+    same, distinct, commonest, pairs, longest = (np.zeros(n) for _ in range(5))
     for i in range(n):
         own = hashes[before[i] : before[i + 1]]
         if len(own):
@@ -83,18 +95,19 @@ def measure(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
             distinct[i], commonest[i] = len(cuts) - 1, np.diff(cuts).max()
             longest[i] = lengths[before[i] : before[i + 1]].max()
             if len(own) > 1:
-                two = np.sort(own[1:] * np.uint64(3) + own[:-1])
+                same[i] = np.count_nonzero(own[1:] == own[:-1])
+                two = np.sort(mix64(own[1:] * np.uint64(3) + own[:-1]))
                 pairs[i] = (1 + np.count_nonzero(two[1:] != two[:-1])) / len(two)
     share = counts / size[:, None]
     at = dict(
-        bytes=np.log1p(np.diff(offsets)), words=np.log1p(words), word_length=per_word(lengths),
+        bytes=np.log1p(np.diff(offsets)), words=np.log1p(words), word_length=letters_in / some,
         letters=share[:, _UPPER] + share[:, _LOWER] + share[:, _HIGH], upper=share[:, _UPPER], digits=share[:, _DIGIT],
-        spaces=share[:, _SPACE], newlines=share[:, _BREAK], marks=np.bincount(row, weights=marks, minlength=n) / size,
+        spaces=share[:, _SPACE], newlines=share[:, _BREAK], marks=marked / size,
         high_bytes=share[:, _HIGH], exclamations=share[:, _BANG], periods=share[:, _DOT], commas=share[:, _COMMA],
-        symbols=share[:, _SYMBOL], bars=share[:, _BAR], doubled_marks=np.bincount(row, weights=doubled, minlength=n) / size,
-        distinct_words=distinct / some, commonest_word=commonest / some, repeated_next=per_word(same), distinct_pairs=pairs,
-        short_words=per_word(lengths <= 3), long_words=per_word(lengths >= 15), capital_words=per_word(capital),
-        words_with_marks=per_word(edge[ends] > edge[starts]), line_words=words / (counts[:, _BREAK] + 1), longest_word=np.log1p(longest),
+        symbols=share[:, _SYMBOL], bars=share[:, _BAR], doubled_marks=doubled / size,
+        distinct_words=distinct / some, commonest_word=commonest / some, repeated_next=same / some, distinct_pairs=pairs,
+        short_words=short / some, long_words=long / some, capital_words=capital / some,
+        words_with_marks=with_marks / some, line_words=words / (counts[:, _BREAK] + 1), longest_word=np.log1p(longest),
     )
     return np.stack([at[f] for f in FEATURES], axis=1)
 
@@ -197,20 +210,22 @@ class AdditiveModel:
 
 
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("y", pa.int32()), ("x", pa.list_(pa.float64()))])
+    schema = pa.schema([("id", pa.string()), ("y", pa.int32()), ("h", pa.int64()), ("x", pa.list_(pa.float64()))])
     for batch in batches:
-        for lo, hi, data, offsets in text_slices(batch.column(1)):
+        for lo, hi, data, offsets in text_slices(batch.column(3)):
             x = measure(data, offsets)
             ends = np.arange(hi - lo + 1, dtype=np.int32) * len(FEATURES)
-            yield record_batch({"y": batch.column(0).slice(lo, hi - lo), "x": pa.ListArray.from_arrays(ends, pa.array(x.ravel()))}, schema)
+            own = {c: batch.column(k).slice(lo, hi - lo) for k, c in enumerate(("id", "y", "h"))}
+            yield record_batch({**own, "x": pa.ListArray.from_arrays(ends, pa.array(x.ravel()))}, schema)
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = MAX_TRAIN, **options) -> AdditiveModel:
-    """Fit on the labelled documents; ``labels`` holds (id, label). At most ``max_rows`` labels are used."""
+    """Fit on the labelled documents; ``labels`` holds (id, label). At most ``max_rows`` labels are used, and of rows that share an id and label one, the smallest by a hash of its text."""
     taught = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__y")).dropna()
     taught = taught.orderBy(F.xxhash64("__id"), "__id", "__y").limit(max_rows)
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text")).join(F.broadcast(taught), "__id").select("__y", "__text")
-    found = rows.mapInArrow(tidy(_measured), "y int, x array<double>").toArrow()
+    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text")).join(F.broadcast(taught), "__id")
+    rows = rows.select(F.col("__id").cast("string").alias("id"), F.col("__y").alias("y"), F.xxhash64("__text").alias("h"), "__text")
+    found = rows.mapInArrow(tidy(_measured), "id string, y int, h bigint, x array<double>").groupBy("id", "y").agg(F.min_by("x", "h").alias("x")).toArrow()
     x = found.column("x").combine_chunks().flatten().to_numpy().reshape(-1, len(FEATURES))
     y = found.column("y").to_numpy().astype(float)
     order = np.lexsort((*x.T, y))  # the same model however the rows arrive

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -49,10 +50,11 @@ def id_bucket(col: Column, mod: int) -> Column:
 
 
 def text_slices(column: pa.Array, max_bytes: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, bytes, offsets) for runs of rows of about ``max_bytes``; null counts as empty."""
+    """(first row, end row, bytes, offsets) for runs of rows of about ``max_bytes``, a longer text alone; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = column.cast(pa.large_string()).fill_null("")
+    column = column.cast(pa.large_string())
+    column = column.fill_null("") if column.null_count else column
     n = len(column)
     if n == 0:
         return
@@ -67,6 +69,30 @@ def text_slices(column: pa.Array, max_bytes: int = SLICE_BYTES) -> Iterator[tupl
         lo = hi
 
 
+def windows(data: np.ndarray, offsets: np.ndarray, size: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """(bytes, offsets, start) of consecutive parts of about ``size`` (SLICE_BYTES), cut before white space, so that no word is split.
+
+    The offsets of a part are those of all texts, moved and clipped to it. Only a single word longer than ``size`` makes
+    a longer part.
+    """
+    size = size or SLICE_BYTES
+    if len(data) <= 2 * size:
+        yield data, offsets, 0
+        return
+    lo = 0
+    while lo < len(data):
+        hi = min(lo + size, len(data))
+        while hi < len(data):
+            ahead = data[hi : hi + 65536]
+            found = np.flatnonzero((ahead == 32) | ((ahead >= 9) & (ahead <= 13)))
+            if len(found):
+                hi += int(found[0])
+                break
+            hi += len(ahead)
+        yield data[lo:hi], np.clip(offsets, lo, hi) - lo, lo
+        lo = hi
+
+
 def release() -> None:
     """Give the system back what a worker has freed: workers are reused, and one stage's heap would add to the next's."""
     pa.default_memory_pool().release_unused()
@@ -103,35 +129,26 @@ def random_words(n: int, seed: int) -> np.ndarray:
     return mix64(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed)) | np.uint64(1)
 
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_POWERS: dict[str, np.ndarray] = {}
-_BYTE_VALUES = random_words(256, 11)
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64; kept up to a few million places."""
-    if "up" not in _POWERS or len(_POWERS["up"]) < n:
-        size = max(n, 1 << 16)
-        made = []
-        for base in (_BASE, _BASE_INVERSE):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            made.append(np.cumprod(steps, dtype=np.uint64))
-        if size > 1 << 22:
-            return made[0], made[1]
-        _POWERS["up"], _POWERS["down"] = made
-    return _POWERS["up"], _POWERS["down"]
+_LANES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Bytes of a run up to which it is hashed in lanes of 8; longer runs by BLAKE2, one by one.
+LANED = 64
 
 
-def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each span of ``values`` (uint64 a place): equal for equal contents wherever they stand."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    up, down = _powers(len(values) + 1)
-    sums = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * up[: len(values)], out=sums[1:])
-    return mix64((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of each run of bytes. Runs of up to 8 bytes and equal length never collide, others by chance only."""
+    lengths = ends - starts
+    out = mix64(lengths.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    lanes = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    at, k = np.flatnonzero(lengths <= LANED), 0
+    while len(at):
+        left = lengths[at] - 8 * k
+        part = lanes[starts[at] + 8 * k] & _LANES[np.minimum(left, 8)]
+        out[at] = mix64((out[at] ^ part) * np.uint64(0xD6E8FEB86659FD93))
+        at, k = at[left > 8], k + 1
+    for i in np.flatnonzero(lengths > LANED):
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]], digest_size=8).digest(), "little")
+    return out
 
 
 def fold_case(data: np.ndarray) -> np.ndarray:
@@ -154,10 +171,15 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash of each lower-cased word, words before each text, starts, ends)."""
-    starts, ends, before = word_spans(data, offsets)
-    return span_hashes(_BYTE_VALUES[fold_case(data)], starts, ends), before, starts, ends
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of each lower-cased word, words before each text, length of each word); long data go window by window."""
+    hashes, lengths, before = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], np.zeros(len(offsets), np.int64)
+    for part, ends_of, _ in windows(data, offsets):
+        starts, ends, ahead = word_spans(part, ends_of)
+        hashes.append(run_hashes(fold_case(part), starts, ends))
+        lengths.append(ends - starts)
+        before += ahead
+    return np.concatenate(hashes), before, np.concatenate(lengths)
 
 
 def record_batch(columns: dict[str, object], schema: pa.Schema) -> pa.RecordBatch:

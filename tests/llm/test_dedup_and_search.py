@@ -1,5 +1,7 @@
+import math
 import random
 import re
+from fractions import Fraction
 from itertools import combinations
 
 import pytest
@@ -68,6 +70,21 @@ def test_repeated_and_null_ids(spark):
     assert sorted(str(r["doc_id"]) for r in kept) == ["10", "7", "None"]
 
 
+def test_regular_words_do_not_link(spark):
+    word = lambda n, a, b: "".join(b if i.bit_count() % 2 else a for i in range(n))
+    texts = [word(n, *ab) for n in (1024, 4096) for ab in ("ab", "ba")]
+    texts += [" ".join(word(1024, *("ab" if (k + j).bit_count() % 2 else "ba")) for j in range(8)) for k in range(4)]
+    rows = list(enumerate(texts))
+    got = {r["id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows)
+
+
+def test_a_repeated_id_keeps_one_text_for_good(spark):
+    rows = [(7, "a b c d e f g h", "x"), (7, "q r s t u v w x", "y"), (7, "a b c d e f g h", "x"), (9, "z", "z")]
+    seen = {tuple(sorted(map(tuple, minhash_dedup.one_of_each_group(spark.createDataFrame(order, "doc_id long, text string, size string")).collect()))) for order in (rows, rows[::-1], rows[1:] + rows[:1])}
+    assert len(seen) == 1 and [r[0] for r in seen.pop()] == [7, 9]
+
+
 def test_empty_table(spark):
     assert minhash_dedup.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     assert exact_topk.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("id") % 2 == 0).count() == 0
@@ -81,16 +98,32 @@ def test_top_k_equals_brute_force_with_ties(spark, block):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit("clash"))
     got = exact_topk.nearest(df, F.col("id") % 50 == 0, k=10, query_block=block).collect()
 
-    def whole(x):
-        return int(max(-(2**40), min(2**40, x * 1024)) // 1)
+    assert {tuple(r) for r in got} == best(rows, 50) and len(got) == len(best(rows, 50))
+
 
-    ints = {i: [whole(x) for x in v] for i, v in rows if v and all(x is not None and abs(x) < float("inf") for x in v)}
+def best(rows, every, k=10):
+    """The rows that a search must give, in Python's integers; only what no long can hold is cut off."""
+    ints = [(i, [math.floor(Fraction(x) * 1024) for x in v]) for i, v in rows if v and all(x is not None and abs(x) < float("inf") for x in v)]
     want = set()
-    for q in ints:
-        if q % 50 == 0:
-            scored = sorted((-max(exact_topk._FLOOR, min(exact_topk._CEIL, sum(a * b for a, b in zip(ints[q], v)))), i) for i, v in ints.items() if i != q)
-            want |= {(q, k + 1, i, -s) for k, (s, i) in enumerate(scored[:10])}
-    assert {tuple(r) for r in got} == want and len(got) == len(want)
+    for n, (q, own) in enumerate(ints):
+        if q % every == 0:
+            scored = sorted((-max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(own, v)))), i) for m, (i, v) in enumerate(ints) if m != n)
+            want |= {(q, r + 1, i, -s) for r, (s, i) in enumerate(scored[:k])}
+    return want
+
+
+def test_large_components_and_repeated_ids(spark):
+    rows = [(0, [1.0]), (1, [2.0**31]), (2, [2.0**32]), (3, [2.0**33]), (4, [-(2.0**43) - 0.5]), (5, [3e15 + 0.5]), (6, [1e300]), (7, [-1e300])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {tuple(r) for r in exact_topk.nearest(df, F.col("id") == 0).collect()}
+    assert got == best(rows, 10) and (0, 4, 2, 2**52) in got
+    rng = random.Random(6)
+    rows = [(rng.randrange(40), [rng.uniform(-1e9, 1e9) for _ in range(3)]) for _ in range(300)]
+    got = [tuple(r) for r in exact_topk.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id") % 10 == 0, query_block=7).collect()]
+    assert set(got) == best(rows, 10) and len(got) == 10 * sum(i % 10 == 0 for i, _ in rows)
+    rows = [(0, [1.0]), (0, [2.0]), (1, [3.0])]
+    got = sorted(tuple(r) for r in exact_topk.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id") == 0).collect())
+    assert got == [(0, 1, 1, 3 << 20), (0, 1, 1, 6 << 20), (0, 2, 0, 2 << 20), (0, 2, 0, 2 << 20)]
 
 
 def test_fewer_candidates_than_k(spark):

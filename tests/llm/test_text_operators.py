@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import __spark_entry__
-from sluicework.llm import bpe_codec, language_id, quality_gam, secret_scan, source_mix, token_counts, url_filter
+from sluicework.llm import bpe_codec, language_id, minhash_dedup, quality_gam, secret_scan, shared, source_mix, token_counts, url_filter
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 SF = "/root/testdata/sf0.001"
@@ -42,10 +43,62 @@ def test_encoder_and_transducer_equal_the_library(text):
     assert enc.decode(got) == lib.decode(want, skip_special_tokens=False) == text
 
 
-def test_heap_and_rounds_agree():
+def test_linked_and_flat_rounds_agree():
     enc, rng = bpe_codec.encoder(PATH), random.Random(1)
-    words = ["".join(rng.choice("abeinorst中") for _ in range(rng.randrange(1, 300))).encode() for _ in range(60)] + [b"a" * 999]
-    assert all(a.tolist() == enc._heap(w).tolist() for a, w in zip(enc.merge_rounds(words), words))
+    words = ["".join(rng.choice("abeinorst中") for _ in range(rng.randrange(1, 300))).encode() for _ in range(60)] + [b"a" * 999, b"a", "中".encode()]
+    assert all(a.tolist() == enc._linked_rounds(w).tolist() for a, w in zip(enc.merge_rounds(words), words))
+
+
+def thue_morse(n, a, b):
+    return "".join(b if i.bit_count() % 2 else a for i in range(n))
+
+
+REGULAR = [thue_morse(n, *ab) for n in (64, 1024, 4096) for ab in ("ab", "ba", "xy", "yx")]
+
+
+def test_regular_words_are_kept_apart(library):
+    want = [library.encode(t, add_special_tokens=False).ids for t in REGULAR]
+    assert [x.tolist() for x in bpe_codec.encoder(PATH).encode(REGULAR)] == want
+    assert token_counts.counter(PATH).count(REGULAR).tolist() == [len(x) for x in want]
+    data = np.frombuffer("".join(REGULAR).encode(), np.uint8)
+    ends = np.cumsum([len(t) for t in REGULAR])
+    assert len(set(shared.run_hashes(data, ends - [len(t) for t in REGULAR], ends).tolist())) == len(REGULAR)
+
+
+def long_text(size=5_000_000):
+    rng = random.Random(4)
+    words = ["the", "Ünder", "中文字。", "don't", "x" * 90, "1234", "!!", "<|endoftext|>", "AKIA" + "Q" * 16, "\n", "we'll", "\t "]
+    return " ".join(rng.choice(words) + rng.choice("abcdefgh") * rng.randrange(3) for _ in range(size // 9))
+
+
+def test_a_long_text_is_read_in_windows(spark, library):
+    """Every text operator gives for a text of some 5 MB, handled in parts, what it gives for it as a whole."""
+    text = long_text()
+    ids = library.encode(text, add_special_tokens=False).ids
+    docs = spark.createDataFrame([(1, text, "en", "s", 1), (2, "x" * 3_000_000, "en", "s", 1), (3, "a b", "de", "s", 1)], DOCS)
+    got = {r["doc_id"]: r for r in bpe_codec.digests(docs, PATH).collect()}
+    assert (got[1]["n_tokens"], got[1]["ids_sha256"], got[1]["decoded_sha256"]) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
+    assert got[2]["n_tokens"] == len(library.encode("x" * 3_000_000, add_special_tokens=False).ids)
+    assert {r["doc_id"]: r["n_tokens"] for r in token_counts.count_tokens(docs, PATH).collect()} == {i: got[i]["n_tokens"] for i in got}
+    data = np.frombuffer(text.encode(), np.uint8)
+    one = np.array([0, len(data)])
+    parts = [x for x, _, _ in shared.windows(data, one)]
+    assert len(parts) > 3 and b"".join(x.tobytes() for x in parts) == text.encode()
+    whole = shared.word_spans(data, one)
+    words = [w.lower() for w in re.findall(rb"[^\x20\x09-\x0D]+", text.encode())]
+    hashes, before, lengths = shared.word_hashes(data, one)
+    assert len(hashes) == before[-1] == len(words) == len(whole[0]) and lengths.tolist() == [len(w) for w in words]
+    assert len(set(zip(hashes.tolist(), words))) == len(set(words)) == len(set(hashes.tolist()))
+    rows = quality_gam.measure(data, one)
+    model = language_id.LanguageModel()
+    model.langs, model.logits, model.bias = ["a", "b"], np.random.default_rng(0).normal(size=(model.buckets, 2)).astype(np.float32), np.zeros(2)
+    best, p = model.predict(data, one)
+    for module in (shared, language_id):
+        module.SLICE_BYTES, kept = 1 << 30, module.SLICE_BYTES
+        assert np.allclose(quality_gam.measure(data, one), rows) and np.allclose(model.predict(data, one)[1], p, atol=1e-4)
+        module.SLICE_BYTES = kept
+    n = {r["id"]: r["n_shingles"] for r in minhash_dedup.near_duplicates(docs).collect()}
+    assert n == {1: len({tuple(words[i : i + 5]) for i in range(len(words) - 4)}), 2: 1, 3: 1}
 
 
 def test_codec_and_counts_on_hard_rows(hard, library):
@@ -123,6 +176,14 @@ def test_mixture_meets_targets(spark):
     assert source_mix.mixture(docs.limit(0)).count() == 0
 
 
+def test_blank_texts_are_taken_twice_at_most(spark):
+    rows = [(i, " " * (i % 7), None, "full", 0) for i in range(40)] + [(100 + i, "a b", None, "full", 0) for i in range(3)] + [(200 + i, "w " * 50, None, "z", 0) for i in range(60)]
+    docs = spark.createDataFrame([*rows, (300, " ", None, None, 0)], DOCS)
+    got = source_mix.mixture(docs).collect()
+    assert {r["copies"] for r in got if r["source"] == "full"} == {2} and max(r["copies"] for r in got) == 2
+    assert next(r for r in got if r["doc_id"] == 300)["taken"] == 0
+
+
 def test_quality_separates_held_out_labels(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     got = quality_gam.judge(docs, labels).join(labels, "doc_id").where("held_out").collect()
