@@ -293,3 +293,20 @@ def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     first = rest.groupBy(F.col(id_col).alias("__first")).agg(F.min("__order").alias("__least"))
     rest = rest.join(first, (F.col(id_col) == F.col("__first")) & (F.col("__order") == F.col("__least"))).select(docs.columns).dropDuplicates([id_col])
     return once.unionByName(rest)
+
+
+def near_duplicates_sql(percent: int = PERCENT, shingle: int = SHINGLE) -> str:
+    """The rows of ``near_duplicates`` over documents, in DuckDB SQL: shared shingles, then reachability."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return rf"""
+WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+lists AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {shingle} THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - {shingle} + 2), lambda i: array_to_string(w[i:i + {shingle - 1}], ' '))) END AS s FROM words),
+shingles AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM lists),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS c FROM shingles a JOIN shingles b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM common WHERE 100 * c >= {percent} * (na + nb - c)),
+ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id, doc_id AS seen FROM documents UNION SELECT r.doc_id, w.b FROM reach r JOIN ways w ON w.a = r.seen),
+least AS (SELECT doc_id, min(seen) AS component_id FROM reach GROUP BY doc_id)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM lists JOIN least USING (doc_id)"""

@@ -64,4 +64,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_filter": url_filter.judge_sql(), "op4_source_mix": source_mix.mixture_sql(), "op7_exact_topk": exact_topk.nearest_sql()}
+    return {"op2_minhash_dedup": minhash_dedup.near_duplicates_sql(), "op8_secret_scan": secret_scan.scan_sql(), "op3_url_filter": url_filter.judge_sql(), "op4_source_mix": source_mix.mixture_sql(), "op7_exact_topk": exact_topk.nearest_sql()}

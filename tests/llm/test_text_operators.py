@@ -1,7 +1,9 @@
 import hashlib
 import random
 import re
+import time
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -136,6 +138,52 @@ def test_secret_scan_equals_brute_force(spark, hard):
     assert "hunter2hunter2" not in " ".join(r["text"] or "" for r in clean.collect())
 
 
+def test_many_hits_take_linear_time(spark):
+    """10^5 hits in one text of 3 MB, scanned and redacted; the old way copied what it had for each of them."""
+    text = "é".join("token=abcdefgh%05d " % k + "f" * 32 for k in range(50_000))
+    docs = spark.createDataFrame([(1, text), (2, "no"), (1, text), (3, None)], "doc_id long, text string")
+    began = time.perf_counter()
+    got = {r["doc_id"]: r for r in secret_scan.scan(docs).collect()}
+    clean = {r["doc_id"]: r["text"] for r in secret_scan.redacted(docs).collect()}
+    assert time.perf_counter() - began < 120
+    assert got[1]["n_assign"] == got[1]["n_hex"] == 50_000 and got[1]["base_sha256"] == hashlib.sha256(base_spans(text).encode()).hexdigest()
+    assert clean == {1: "é".join(["[SECRET] [SECRET]"] * 50_000), 2: "no", 3: None}
+
+
+def test_redaction_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(secret_scan, "_BLOCK", 7)  # many blocks
+    rng = random.Random(9)
+    bits = ["token=", "secret: ", "abcdefgh", "0123456789abcdef" * 2, "AKIA" + "Z9" * 8, " ", "é", "😀", "x", "=", "'", "api_key="]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(30))) for _ in range(300)]
+    docs = spark.createDataFrame([(k % 250, t) for k, t in enumerate(texts)], "doc_id long, text string")
+
+    def brute(text):
+        out, at = "", 0
+        for a, b in sorted((m.start(), m.end()) for _, p, n in BASE for m in re.finditer(p, text) if len(m[1]) >= n):
+            if a >= at:
+                out += text[at:a] + "[SECRET]"
+            at = max(at, b)
+        return out + text[at:]
+
+    got = sorted((r["doc_id"], r["text"]) for r in secret_scan.redacted(docs, secret_scan.BASE).collect())
+    assert got == sorted((k % 250, brute(t)) for k, t in enumerate(texts))
+
+
+def rows_of(con, sql, df):
+    columns = ", ".join(f'"{c}"' for c in df.columns)
+    return sorted(map(tuple, df.collect()), key=str), sorted(con.sql(f"SELECT {columns} FROM ({sql})").fetchall(), key=str)
+
+
+@pytest.mark.parametrize("name", ["op2_minhash_dedup", "op3_url_filter", "op4_source_mix", "op7_exact_topk", "op8_secret_scan"])
+def test_query_equals_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "embeddings", "pages"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    ours, theirs = rows_of(con, __spark_entry__.oracle_sql()[name], __spark_entry__.queries()[name](spark, SF))
+    plain = lambda rows: [tuple(float(f"{x:.9g}") if isinstance(x, float) else x for x in r) for r in rows]
+    assert plain(ours) == plain(theirs)
+
+
 def test_private_keys_go_with_their_body(spark):
     body = "\n".join("MIIEpAIBAAKCAQEA7bq+/" * 3 for _ in range(60)) + "\nAb9/Q=="
     key = lambda kind: f"-----BEGIN {kind}-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00\n\n{body}\n-----END {kind}-----"
