@@ -39,7 +39,43 @@ from .shared import record_batch, tidy
 
 LIMIT = 1024
 #: States and distinct words that a worker keeps, the longest of these words, and the bytes of a chunk.
-STATES, KEPT, KEPT_CHARS, CHUNK = 60_000, 400_000, 64, 64
+STATES, KEPT, KEPT_CHARS, CHUNK = 250_000, 600_000, 64, 64
+
+
+class _Moves:
+    """Transitions (state and byte -> next state, change in tokens) in an open hash table that is read and filled by arrays."""
+
+    def __init__(self, size: int = 1 << 12):
+        self.n, self.shift = 0, np.uint64(64 - size.bit_length() + 1)
+        self.keys, self.to, self.out = np.full(size, -1, np.int64), np.zeros(size, np.int32), np.zeros(size, np.int32)
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def look(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(next states, -1 where there is none; changes in tokens)."""
+        at = self._slots(keys)
+        left = np.flatnonzero((self.keys[at] != keys) & (self.keys[at] >= 0))
+        while len(left):
+            at[left] = (at[left] + 1) % len(self.keys)
+            left = left[(self.keys[at[left]] != keys[left]) & (self.keys[at[left]] >= 0)]
+        return np.where(self.keys[at] == keys, self.to[at], -1), self.out[at]
+
+    def add(self, keys: np.ndarray, moves: np.ndarray) -> None:
+        """New keys, each once."""
+        if 2 * (self.n + len(keys)) > len(self.keys):
+            old = self.keys >= 0
+            kept = self.keys[old], np.stack([self.to[old], self.out[old]], axis=1)
+            self.__init__(1 << int(4 * (self.n + len(keys))).bit_length())
+            self.add(*kept)
+        self.n += len(keys)
+        at, left = self._slots(keys), np.arange(len(keys))
+        while len(left):
+            free = left[self.keys[at[left]] < 0]
+            won = free[np.unique(at[free], return_index=True)[1]]
+            self.keys[at[won]], self.to[at[won]], self.out[at[won]] = keys[won], moves[won, 0], moves[won, 1]
+            left = left[self.keys[at[left]] != keys[left]]
+            at[left] = (at[left] + 1) % len(self.keys)
 
 
 class CountingTransducer:
@@ -57,7 +93,7 @@ class CountingTransducer:
         """Only the start state: nothing read, and a token may begin here."""
         self.states = [(b"", ((0, -1, 0),))]
         self.number = {self.states[0]: 0}
-        self.to, self.out = np.full((1024, 256), -1, np.int32), np.zeros((1024, 256), np.int16)
+        self.moves = _Moves()
 
     def _encode(self, data: bytes) -> list[int]:
         ids = self.bpe.symbol[np.frombuffer(data, np.uint8)].tolist()
@@ -98,16 +134,13 @@ class CountingTransducer:
 
     def _step(self, state: np.ndarray, byte: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(next states, changes in tokens) of many runs at once; transitions met for the first time are compiled."""
-        nxt = self.to[state, byte]
-        if (nxt < 0).any():
-            for key in np.unique(state[nxt < 0].astype(np.int64) << 8 | byte[nxt < 0]).tolist():
-                to, emitted = self._move(key >> 8, key & 255)
-                if len(self.states) > len(self.to):
-                    self.to = np.concatenate([self.to, np.full_like(self.to, -1)])
-                    self.out = np.concatenate([self.out, np.zeros_like(self.out)])
-                self.to[key >> 8, key & 255], self.out[key >> 8, key & 255] = to, emitted
-            nxt = self.to[state, byte]
-        return nxt, self.out[state, byte]
+        keys = state.astype(np.int64) << 8 | byte
+        nxt, out = self.moves.look(keys)
+        if (missing := nxt < 0).any():
+            fresh = np.unique(keys[missing])
+            self.moves.add(fresh, np.array([self._move(k >> 8, k & 255) for k in fresh.tolist()]))
+            nxt[missing], out[missing] = self.moves.look(keys[missing])
+        return nxt, out
 
     def run(self, words: list[bytes]) -> np.ndarray:
         """The number of tokens of each word; words must not be empty."""
