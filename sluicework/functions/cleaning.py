@@ -62,6 +62,49 @@ def canonical(c: Column, names: Mapping[str, str]) -> Column:
     return F.coalesce(F.element_at(table, key), F.upper(F.trim(c)))
 
 
+# Spellings (upper case, letters, digits and $ only) and what they stand for.
+CURRENCIES = {"$": "USD", "US$": "USD", "USDOLLAR": "USD", "USDOLLARS": "USD", "DOLLAR": "USD", "DOLLARS": "USD", "EURO": "EUR", "EUROS": "EUR", "POUND": "GBP", "POUNDS": "GBP", "POUNDSTERLING": "GBP", "STERLING": "GBP", "YEN": "JPY", "C$": "CAD", "CA$": "CAD", "A$": "AUD"}
+TRANSACTION_TYPES = {"DB": "DEBIT", "DR": "DEBIT", "WITHDRAWAL": "DEBIT", "PURCHASE": "DEBIT", "PAYMENT": "DEBIT", "CR": "CREDIT", "DEPOSIT": "CREDIT", "REFUND": "CREDIT", "XFER": "TRANSFER", "TRF": "TRANSFER", "WIRE": "TRANSFER"}
+COUNTRIES = {"USA": "US", "UNITEDSTATES": "US", "UNITEDSTATESOFAMERICA": "US", "AMERICA": "US", "840": "US", "GBR": "GB", "UK": "GB", "UNITEDKINGDOM": "GB", "GREATBRITAIN": "GB", "ENGLAND": "GB", "826": "GB", "CAN": "CA", "CANADA": "CA", "124": "CA", "DEU": "DE", "GERMANY": "DE", "276": "DE", "FRA": "FR", "FRANCE": "FR", "250": "FR", "MEX": "MX", "MEXICO": "MX", "484": "MX", "AUS": "AU", "AUSTRALIA": "AU", "36": "AU", "JPN": "JP", "JAPAN": "JP", "392": "JP"}
+INSURERS = {"BCBS": "Blue Cross Blue Shield", "BLUECROSS": "Blue Cross Blue Shield", "BLUESHIELD": "Blue Cross Blue Shield", "BLUECROSSBLUESHIELD": "Blue Cross Blue Shield", "BLUECROSSANDBLUESHIELD": "Blue Cross Blue Shield", "UHC": "UnitedHealthcare", "UNITED": "UnitedHealthcare", "UNITEDHEALTH": "UnitedHealthcare", "UNITEDHEALTHCARE": "UnitedHealthcare", "AETNA": "Aetna", "CIGNA": "Cigna", "HUMANA": "Humana", "KAISER": "Kaiser Permanente", "KAISERPERMANENTE": "Kaiser Permanente", "ANTHEM": "Anthem", "MEDICARE": "Medicare", "MEDICAID": "Medicaid"}
+STATES = dict(
+    AL="Alabama", AK="Alaska", AZ="Arizona", AR="Arkansas", CA="California", CO="Colorado", CT="Connecticut", DE="Delaware", DC="District of Columbia",
+    FL="Florida", GA="Georgia", HI="Hawaii", ID="Idaho", IL="Illinois", IN="Indiana", IA="Iowa", KS="Kansas", KY="Kentucky", LA="Louisiana", ME="Maine",
+    MD="Maryland", MA="Massachusetts", MI="Michigan", MN="Minnesota", MS="Mississippi", MO="Missouri", MT="Montana", NE="Nebraska", NV="Nevada",
+    NH="New Hampshire", NJ="New Jersey", NM="New Mexico", NY="New York", NC="North Carolina", ND="North Dakota", OH="Ohio", OK="Oklahoma", OR="Oregon",
+    PA="Pennsylvania", RI="Rhode Island", SC="South Carolina", SD="South Dakota", TN="Tennessee", TX="Texas", UT="Utah", VT="Vermont", VA="Virginia",
+    WA="Washington", WV="West Virginia", WI="Wisconsin", WY="Wyoming",
+)
+
+
+def to_currency(c: Column) -> Column:
+    """A three-letter code."""
+    return canonical(c, CURRENCIES)
+
+
+def to_transaction_type(c: Column) -> Column:
+    """DEBIT, CREDIT or TRANSFER."""
+    return canonical(c, TRANSACTION_TYPES)
+
+
+def to_country(c: Column) -> Column:
+    """A two-letter code, from names and from codes of three letters or digits."""
+    return canonical(c, COUNTRIES)
+
+
+def to_insurer(c: Column) -> Column:
+    """A known insurer's name; others in title case."""
+    named = canonical(c, INSURERS)
+    return F.when(named == F.upper(F.trim(c)), F.when(named.isin(*INSURERS.values()), named).otherwise(title_case(c))).otherwise(named)
+
+
+def to_state(c: Column) -> Column:
+    """A two-letter abbreviation, from names and their beginnings of four letters or more with a point or without."""
+    key = F.regexp_replace(F.upper(F.trim(c)), r"[^A-Z]", "")
+    hits = [F.when((F.length(key) >= 4) & F.lit(name.upper().replace(" ", "")).startswith(key), F.lit(code)) for code, name in STATES.items()]
+    return F.coalesce(*hits, F.when(F.length(key) == 2, key), F.upper(F.trim(c)))
+
+
 def nearest_word(c: Column, words: Sequence[str], most: int = 2) -> Column:
     """The word within ``most`` edits, the nearest first, or the value in title case."""
     pairs = F.array_sort(F.filter(F.array(*[F.struct(F.levenshtein(F.lower(F.trim(c)), F.lit(w.lower())).alias("d"), F.lit(w).alias("w")) for w in words]), lambda p: p["d"] <= most))

@@ -4,9 +4,15 @@ from __future__ import annotations
 
 import ast
 
-# Modules and names that no record function may touch.
-BANNED_MODULES = frozenset("asyncio builtins ctypes ftplib http importlib multiprocessing os pathlib pickle requests shutil signal smtplib socket subprocess sys tempfile threading urllib".split())
-BANNED_NAMES = frozenset("__import__ breakpoint compile delattr eval exec exit getattr globals input locals open quit setattr vars".split())
+# Modules and names that no record function may touch.
+BANNED_MODULES = frozenset({
+    "asyncio", "builtins", "ctypes", "ftplib", "http", "importlib", "multiprocessing", "os", "pathlib", "pickle", "requests",
+    "shutil", "signal", "smtplib", "socket", "subprocess", "sys", "tempfile", "threading", "urllib",
+})
+BANNED_NAMES = frozenset({
+    "__import__", "breakpoint", "compile", "delattr", "eval", "exec", "exit", "getattr", "globals", "input", "locals", "open", "quit",
+    "setattr", "vars",
+})
 
 
 def violations(code: str) -> list[str]:

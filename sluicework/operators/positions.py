@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -13,12 +15,19 @@ _OWN: list[str] = []
 
 
 def written(df: DataFrame) -> DataFrame:
-    """``df``, written to the folder in spark.checkpoint.dir (a temporary one where that is unset) and read again."""
+    """``df``, written to the folder in spark.checkpoint.dir and read again; the folder's owner clears it.
+
+    Where that is unset, a local session gets a temporary folder, which goes when Python ends; a cluster is refused, as
+    its executors share no local folder.
+    """
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         if not _OWN:
-            _OWN.append("file://" + tempfile.mkdtemp(prefix="sluicework-"))
+            _OWN.append("file://" + (made := tempfile.mkdtemp(prefix="sluicework-")))
+            atexit.register(shutil.rmtree, made, ignore_errors=True)
         base = _OWN[0]
     path = f"{base.rstrip('/')}/positions-{uuid.uuid4().hex}"
     df.write.parquet(path)

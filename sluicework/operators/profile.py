@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,7 +11,7 @@ from pyspark.sql import types as T
 KINDS = {"string": "str", "boolean": "bool"}
 
 
-def _kind(t: T.DataType) -> str:
+def kind(t: T.DataType) -> str:
     if isinstance(t, T.IntegralType):
         return "int"
     if isinstance(t, (T.FractionalType, T.DecimalType)):
@@ -62,18 +64,20 @@ def schema_profile(df: DataFrame, order: str, sample_size: int = 10) -> DataFram
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
         seen = F.transform(F.slice(F.array_sort(F.collect_list(F.when(c.isNotNull(), F.struct(F.col(order).alias("p"), c.cast("string").alias("v"))))), 1, 3), lambda x: x["v"])
-        wide[f.name] = [F.when(F.count(c) > 0, F.lit(_kind(f.dataType))).otherwise("unknown"), F.coalesce(F.bool_or(c.isNull()), F.lit(False)), seen]
+        wide[f.name] = [F.when(F.count(c) > 0, F.lit(kind(f.dataType))).otherwise("unknown"), F.coalesce(F.bool_or(c.isNull()), F.lit(False)), seen]
     return _long(head, wide, ["type", "nullable", "samples"], ["string", "boolean", "array<string>"])
 
 
 def json_schema_profile(raw: DataFrame, raw_col: str, order: str, sample_size: int = 10) -> DataFrame:
     """The same for JSON records of changing shape: absent keys are no nulls, several types make ``mixed``."""
     head = raw.select(F.col(order).alias("p"), F.try_parse_json(raw_col).alias("v")).where("v IS NOT NULL AND schema_of_variant(v) LIKE 'OBJECT%'").orderBy("p").limit(sample_size)
-    head.createOrReplaceTempView("__sluice_head")
-    cells = raw.sparkSession.sql("SELECT p, e.pos, e.key AS field, e.value AS value FROM __sluice_head, LATERAL variant_explode(v) AS e")
+    view = f"__head_{uuid.uuid4().hex}"
+    head.createTempView(view)
+    cells = raw.sparkSession.sql(f"SELECT p, e.pos, e.key AS field, e.value AS value FROM {view}, LATERAL variant_explode(v) AS e")
+    raw.sparkSession.catalog.dropTempView(view)
     name = F.schema_of_variant("value")
-    kind = F.when(name == "VOID", None).when(name == "STRING", "str").when(name == "BOOLEAN", "bool").when(name == "BIGINT", "int").when(name.rlike("^(DECIMAL|DOUBLE|FLOAT)"), "float").when(name.startswith("ARRAY"), "list").when(name.startswith("OBJECT"), "dict").otherwise("unknown")
-    cells = cells.select("p", "pos", "field", kind.alias("kind"), F.is_variant_null("value").alias("null"), F.to_json("value").alias("text"))
+    which = F.when(name == "VOID", None).when(name == "STRING", "str").when(name == "BOOLEAN", "bool").when(name == "BIGINT", "int").when(name.rlike("^(DECIMAL|DOUBLE|FLOAT)"), "float").when(name.startswith("ARRAY"), "list").when(name.startswith("OBJECT"), "dict").otherwise("unknown")
+    cells = cells.select("p", "pos", "field", which.alias("kind"), F.is_variant_null("value").alias("null"), F.to_json("value").alias("text"))
     kinds = F.collect_set("kind")
     seen = F.transform(F.slice(F.array_sort(F.collect_list(F.when(~F.col("null"), F.struct("p", "text")))), 1, 3), lambda x: x["text"])
     out = cells.groupBy("field").agg(F.min(F.struct("p", "pos")).alias("first"), F.when(F.size(kinds) == 0, "unknown").when(F.size(kinds) > 1, "mixed").otherwise(F.element_at(kinds, 1)).alias("type"), F.bool_or("null").alias("nullable"), seen.alias("samples"))

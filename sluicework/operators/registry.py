@@ -14,7 +14,11 @@ from pyspark.sql.window import Window
 from . import guard
 
 # Words of a function's name that tell its domain.
-DOMAINS = ("date", "time", "phone", "email", "address", "name", "price", "currency", "amount", "status", "category", "type", "id", "code", "country", "state", "zip", "url", "weight", "quantity", "tag", "text")
+DOMAINS = (
+    "date", "phone", "email", "name", "address", "money", "status", "id",
+    "price", "amount", "time", "url", "zip", "state", "country", "city",
+    "number", "code", "format", "text", "string", "value",
+)
 NO_CONTEXT = "(no functions yet)"
 
 
@@ -70,23 +74,22 @@ def salient_tag(name: str, tags: set[str], weights: dict[str, float]) -> str:
     return next((p for p in name.lower().split("_") if p in DOMAINS), "misc")
 
 
-def rebalanced(groups: dict[str, list[Function]], least: int = 2, most: int = 40) -> dict[str, list[Function]]:
-    """Groups over ``most`` are split; members of groups under ``least`` join the group whose tags are most alike."""
-    kept, orphans = {}, []
-    for tag, members in groups.items():
-        if len(members) < least:
-            orphans += members
-        for k in range(0, len(members) if len(members) >= least else 0, most):
-            kept[tag if k == 0 else f"{tag}_{k // most + 1}"] = list(members[k : k + most])
-    for f in orphans:
-        mine = extract_tags(f.docstring)
+def similarity(a: set[str], b: set[str]) -> float:
+    """Jaccard's; 0 for two empty sets."""
+    return len(a & b) / max(len(a | b), 1)
 
-        def alike(tag: str) -> float:
-            theirs = set().union(*(extract_tags(g.docstring) for g in kept[tag]))
-            return len(mine & theirs) / len(mine | theirs) if mine | theirs else 0.0
 
-        kept.setdefault(max(kept, key=alike) if kept else "misc", []).append(f)
-    return kept
+def rebalanced(groups: dict[str, list[Function]], least: int = 2, most: int = 40) -> dict[str, list[Function]]:
+    """No group is over ``most``, nor under ``least`` if another can take its members: the one whose united tags are most alike."""
+    large = {tag: members for tag, members in groups.items() if len(members) >= least}
+    out = {f"{tag}_{n}" if n > 1 else tag: members[k : k + most] for tag, members in large.items() for n, k in enumerate(range(0, len(members), most), 1)}
+    united = {tag: set().union(*(extract_tags(f.docstring) for f in members)) for tag, members in out.items()}
+    for f in (f for tag, members in groups.items() if tag not in large for f in members):
+        own = extract_tags(f.docstring)
+        home = max(united, key=lambda tag: similarity(own, united[tag]), default="misc")
+        out.setdefault(home, []).append(f)
+        united.setdefault(home, set()).update(own)
+    return out
 
 
 def by_salience(functions: Sequence[Function], least: int = 2, most: int = 40) -> dict[str, list[Function]]:
@@ -121,9 +124,9 @@ def salient_tags(tags: DataFrame, item: str, tag: str) -> DataFrame:
 
 
 def keep_first_rows(df: DataFrame, key: Column, order: str) -> DataFrame:
-    """The first row of each key: by a minimum, then a semi join, so hot keys combine before the shuffle."""
-    first = df.groupBy(key.alias("__k")).agg(F.min(order).alias(order)).select(order)
-    return df.join(first, order, "left_semi")
+    """The first row of each key by ``order``, nulls last; of equal orders, the least by all columns. Minima combine before the shuffle, so hot keys don't sort."""
+    row = F.struct(F.col(order).isNull().alias("null"), F.col(order).alias("at"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+    return df.groupBy(key.alias("__k")).agg(F.min(row).alias("__m")).select("__m.row.*")
 
 
 def split_groups(df: DataFrame, tag: str, order: str, least: int, most: int) -> DataFrame:

@@ -50,6 +50,16 @@ def holdout(df: DataFrame, chunk: str, order: str, ratio: float = 0.2) -> DataFr
     return df.withColumn("is_holdout", place > n - F.greatest(F.lit(1), F.floor(n * ratio)))
 
 
+def holdout_by_position(chunks: DataFrame, size: int, ratio: float = 0.2) -> DataFrame:
+    """holdout() for rows that carry chunk_index and pos_in_chunk: all chunks but the last have ``size`` rows, so nothing is shuffled."""
+    if ratio <= 0:
+        return chunks.withColumn("is_holdout", F.lit(False))
+    last = chunks.agg(F.max(F.struct("chunk_index", "pos_in_chunk")).alias("__last"))
+    n = F.when(F.col("chunk_index") < F.col("__last.chunk_index"), F.lit(size)).otherwise(F.col("__last.pos_in_chunk") + 1)
+    held = F.col("pos_in_chunk") >= n - F.greatest(F.lit(1), F.floor(n * ratio))
+    return chunks.crossJoin(F.broadcast(last)).withColumn("is_holdout", held).drop("__last")
+
+
 def holdout_sentences(text: Column, ratio: float = 0.2) -> tuple[Column, Column, Column]:
     """(sentences, kept text, held-out text): the last sentences of a text; one alone is not split."""
     parts = F.split(F.trim(text), SENTENCE_END)

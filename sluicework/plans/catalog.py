@@ -140,7 +140,7 @@ WITH c AS (SELECT o_orderkey, (row_number() OVER (ORDER BY o_orderkey) - 1) // 5
 SELECT o_orderkey, chunk_index, row_number() OVER (PARTITION BY chunk_index ORDER BY o_orderkey) > count(*) OVER (PARTITION BY chunk_index) - greatest(1, floor(count(*) OVER (PARTITION BY chunk_index) * 0.2)) AS is_holdout FROM c""")
 def holdout_records(spark, sf_dir):
     chunks = chunking.row_chunks(_t(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", size=50)
-    return sampling.holdout(chunks.drop("pos_in_chunk"), "chunk_index", "o_orderkey", 0.2)
+    return sampling.holdout_by_position(chunks, 50, 0.2).drop("pos_in_chunk")
 
 
 @_query("""
@@ -155,7 +155,7 @@ def holdout_sentences(spark, sf_dir):
 @_query("SELECT chunk_index, o_orderkey FROM (SELECT o_orderkey, (row_number() OVER (ORDER BY o_orderkey) - 1) // 50 AS chunk_index FROM orders) QUALIFY row_number() OVER (PARTITION BY chunk_index ORDER BY o_orderkey) <= 3")
 def chunk_samples(spark, sf_dir):
     chunks = chunking.row_chunks(_t(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", size=50)
-    return sampling.first_of_chunk(chunks, "chunk_index", "o_orderkey").select("chunk_index", "o_orderkey")
+    return chunks.where(F.col("pos_in_chunk") < 3).select("chunk_index", "o_orderkey")
 
 
 # -- cleaning rules ---------------------------------------------------------------------------------------------------
@@ -261,18 +261,6 @@ def group_rebalance(spark, sf_dir):
     return registry.split_groups(_t(spark, sf_dir, "part").select("p_partkey", "p_brand"), "p_brand", "p_partkey", 2, 40).select("p_partkey", "balanced")
 
 
-@_query("""
-WITH t AS (SELECT p_partkey, list_distinct(string_split(p_name, ' ')) AS tags FROM part),
-g AS (SELECT p_partkey AS gid, tags AS gtags FROM t WHERE p_partkey <= 50),
-x AS (SELECT t.p_partkey, gid, len(list_intersect(tags, gtags)) AS n, len(tags) AS a, len(gtags) AS b FROM t, g WHERE p_partkey > 50)
-SELECT o.p_partkey, m.gid, round(m.j, 6) AS jaccard FROM t o LEFT JOIN (
-  SELECT p_partkey, gid, n::DOUBLE / (a + b - n) AS j FROM x WHERE n > 0 QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY j DESC, gid) = 1) m USING (p_partkey) WHERE o.p_partkey > 50""")
-def jaccard_assign(spark, sf_dir):
-    t = _t(spark, sf_dir, "part").select("p_partkey", F.array_distinct(F.split("p_name", " ")).alias("tags"))
-    groups = t.where("p_partkey <= 50").toDF("gid", "gtags")
-    return registry.most_alike(t.where("p_partkey > 50"), groups, "p_partkey", "tags", "gid", "gtags").withColumn("jaccard", F.round("jaccard", 6))
-
-
 def assign_orphans(parts: DataFrame, least: int = 2) -> DataFrame:
     """Parts of a brand, type and size with fewer than ``least`` members, each with the surviving group of the most similar united tags."""
     kind = ["p_brand", "p_type", "p_size"]
@@ -282,9 +270,21 @@ def assign_orphans(parts: DataFrame, least: int = 2) -> DataFrame:
     return registry.most_alike(orphans, groups.where(F.col("n") >= least).select("gid", "gtags"), "p_partkey", "tags", "gid", "gtags").withColumn("jaccard", F.round("jaccard", 6))
 
 
-@_query()
-def jaccard_assign_all(spark, sf_dir):
-    """As jaccard_assign, with groups and orphans from the whole table; SQL would need their cross product."""
+@_query("""
+WITH k AS (SELECT *, concat_ws('|', coalesce(p_brand, ''), coalesce(p_type, ''), coalesce(CAST(p_size AS VARCHAR), '')) AS kind FROM part),
+g AS (SELECT kind, min(p_partkey) AS gid, count(DISTINCT p_partkey) AS n FROM k GROUP BY kind),
+t AS (SELECT p_partkey, gid, n, unnest(list_distinct(string_split(p_name, ' '))) AS tag FROM k JOIN g USING (kind)),
+u AS (SELECT DISTINCT gid, tag FROM t WHERE n >= 2),
+o AS (SELECT p_partkey, tag FROM t WHERE n < 2),
+sizes AS (SELECT gid, count(*) AS b FROM u GROUP BY gid),
+own AS (SELECT p_partkey, count(*) AS a FROM o GROUP BY p_partkey),
+shared AS (SELECT p_partkey, u.gid, count(*) AS c FROM o JOIN u USING (tag) GROUP BY ALL),
+best AS (
+  SELECT p_partkey, gid, c::DOUBLE / (a + b - c) AS j FROM shared JOIN sizes USING (gid) JOIN own USING (p_partkey)
+  QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY j DESC, gid) = 1)
+SELECT own.p_partkey, best.gid, round(best.j, 6) AS jaccard FROM own LEFT JOIN best USING (p_partkey)""")
+def jaccard_assign(spark, sf_dir):
+    """Parts of small groups, each with the surviving group of the most similar tags; groups and orphans come from the whole table."""
     return assign_orphans(_t(spark, sf_dir, "part"))
 
 

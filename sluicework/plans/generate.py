@@ -6,18 +6,25 @@ import ast
 import contextlib
 import json
 import os
+import re
 from collections.abc import Callable, Sequence
 from dataclasses import asdict, dataclass, field, replace
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..operators import chunking, guard, profile, registry, rules
+from ..errors import OutputError
+from ..operators import chunking, guard, profile, registry, rules, sampling
+from ..operators.positions import numbered, written
 from ..operators.registry import Function
 from ..sources import readers, writers
 from . import model
 
 VERSION = 1
+#: Held-out samples that are kept for the gate of merged functions.
+SEEN = 50
 
 
 @dataclass
@@ -37,6 +44,15 @@ class Config:
     state_file: str | None = None
     output_path: str = "cleaning_functions.py"
     report_path: str | None = None
+    sampling: str = "sequential"
+    stratify_field: str | None = None
+    seed: int = 42
+
+    def __post_init__(self) -> None:
+        if self.sampling not in ("sequential", "random", "stratified"):
+            raise ValueError(f"unknown sampling: {self.sampling}")
+        if self.sampling != "sequential" and self.kind == "text":
+            raise ValueError("texts are read in order: sampling must be sequential")
 
     @property
     def kind(self) -> str:
@@ -55,6 +71,9 @@ class Cleaner:
     on_progress: Callable[[dict], None] | None = None
     functions: list[Function] = field(default_factory=list)
     done: int = -1
+    seen: list = field(default_factory=list)
+    known: int = 0
+    total: int | None = None
 
     def __post_init__(self) -> None:
         self.timed = self.backend if isinstance(self.backend, model.Timed) else model.Timed(self.backend)
@@ -67,7 +86,7 @@ class Cleaner:
     # -- data ---------------------------------------------------------------------------------------------------------
 
     def records(self) -> DataFrame:
-        """(raw, place) of the records, in a fixed order."""
+        """(raw, place) of the records; a place is the file, the block's offset and the row within it, so splits don't change the order."""
         path = self.config.file_path
         if path.endswith(".jsonl"):
             raw = readers.jsonl_raw(self.spark, path)
@@ -75,19 +94,33 @@ class Cleaner:
             raw = readers.json_raw(self.spark, path)
         else:
             raw = readers.open_dataset(self.spark, path, "structured").select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("raw"))
-        return raw.withColumn("place", F.monotonically_increasing_id())
+        return raw.withColumn("place", F.struct(F.input_file_name().alias("file"), F.input_file_block_start().alias("offset"), F.monotonically_increasing_id().alias("row")))
+
+    def ordered(self) -> DataFrame:
+        """(raw, chunk_index, pos_in_chunk) in the order that the sampling asks for."""
+        c = self.config
+        if c.sampling == "sequential" or (c.sampling == "stratified" and c.stratify_field is None):
+            return chunking.row_chunks(self.records(), "place", size=c.size)
+        rows = numbered(self.records(), "place", name="__at").drop("place")
+        if c.sampling == "random":
+            rows = sampling.shuffled(rows, "__at", c.seed)
+        else:
+            value = F.try_variant_get(F.try_parse_json("raw"), f'$["{c.stratify_field}"]', "string")
+            rows = sampling.interleaved(rows.withColumn("__field", value), "__at", "__field", c.seed).drop("__field")
+        return rows.withColumn("chunk_index", F.floor(F.col("pos") / c.size)).withColumn("pos_in_chunk", F.col("pos") % c.size).drop("__at", "pos")
 
     def chunks(self):
-        """(index, samples): one chunk at a time comes to the driver."""
+        """(index, samples) of the chunks after the last one done: one at a time comes to the driver."""
         c = self.config
         if c.kind == "text":
             docs = readers.documents(self.spark, c.file_path)
             cut = chunking.sentence_chunks(docs, "path", "text", c.size, min(c.overlap, c.size - 1)).orderBy("path", "chunk_index")
             for k, row in enumerate(cut.toLocalIterator()):
-                yield k, [row["chunk"]]
+                if k > self.done:
+                    yield k, [row["chunk"]]
             return
-        rows = chunking.row_chunks(self.records(), "place", size=c.size)
-        held, at = [], 0
+        rows = self.ordered().where(F.col("chunk_index") > self.done)
+        held, at = [], self.done + 1
         for row in rows.orderBy("chunk_index", "pos_in_chunk").select("chunk_index", "raw").toLocalIterator():
             if row["chunk_index"] != at:
                 yield at, held
@@ -122,7 +155,7 @@ class Cleaner:
             self._tell("dry_run_complete")
             return []
         if len(self.functions) >= self.config.optimize_from:
-            self.functions = consolidated(self.functions, self.timed, self._tell)
+            self.functions = consolidated(self.functions, self.timed, self._tell, samples=self.seen)
         write_module(self.functions, self.config.output_path, self.config.kind)
         if self.config.report_path:
             with open(self.config.report_path, "w", encoding="utf-8") as f:
@@ -131,14 +164,19 @@ class Cleaner:
         return self.functions
 
     def _chunk(self, k: int, samples: list, schema: str) -> None:
-        n = max(1, int(len(samples) * self.config.holdout_ratio)) if self.config.holdout_ratio > 0 and self.config.kind == "structured" else 0
+        if self.config.kind == "text":  # the last sentences are held out
+            samples = [s for text in samples for s in re.split(sampling.SENTENCE_END, text.strip())]
+        n = max(1, int(len(samples) * self.config.holdout_ratio)) if self.config.holdout_ratio > 0 and (self.config.kind == "structured" or len(samples) > 1) else 0
         shown, held = samples[: len(samples) - n], samples[len(samples) - n :] or samples
+        if self.config.kind == "text":
+            shown, held = [" ".join(shown)], [" ".join(held)]
+        self.seen = [*self.seen, *held][-SEEN:]
         text = "\n".join(s if isinstance(s, str) else json.dumps(s, ensure_ascii=False) for s in shown)
         feedback, written = "", set()
         for i in range(1 if self.config.dry_run else self.config.max_iterations):
             self._tell("iteration", chunk_index=k, iteration=i)
             listing = registry.context(self.functions, self.config.context_budget)
-            answer = self.timed.generate(model.cleaning_prompt(text, self.config.instructions, listing, schema, self.config.kind, feedback))
+            answer = self._ask(model.cleaning_prompt(text, self.config.instructions, listing, schema, self.config.kind, feedback))
             try:
                 found = model.parse_analysis(answer)
             except model.ParseError as e:
@@ -162,9 +200,21 @@ class Cleaner:
                 self.functions = registry.keep_first([*self.functions, made])
                 self._tell("function_generated", chunk_index=k, function=made.name)
 
+    def _ask(self, prompt: str) -> str:
+        answer = self.timed.generate(prompt)
+        self._tell("llm_call", ms=round(self.timed.times[-1], 2))
+        return answer
+
+    def _chunks_in_all(self) -> int:
+        if self.total is None:
+            self.total = -(-self.records().count() // self.config.size) if self.config.kind == "structured" else 0
+        return self.total
+
     def _saturated(self, done: int) -> bool:
+        window, known = self.config.saturation_every, len(self.functions)
+        recent, self.known = known - self.known, known
         try:
-            answer = model.parse_saturation(self.timed.generate(model.saturation_prompt(registry.context(self.functions), done, done)))
+            answer = model.parse_saturation(self._ask(model.saturation_prompt(registry.context(self.functions), done, max(done, self._chunks_in_all()), recent, window)))
         except Exception:  # noqa: BLE001  any failure means: go on
             return False
         self._tell("saturation_check", saturated=answer)
@@ -191,24 +241,25 @@ class Cleaner:
         return cls(spark, replace(config, state_file=state_file), backend, functions=[Function(*f) for f in state["functions"]], done=state["done"])
 
 
-def consolidated(functions: Sequence[Function], backend: model.Backend, tell=lambda kind, **more: None, rounds: int = 5) -> list[Function]:
-    """Groups by salience, merged by the model; merged functions pass the gate, unlisted ones are kept."""
+def consolidated(functions: Sequence[Function], backend: model.Backend, tell=lambda kind, **more: None, rounds: int = 5, samples: Sequence = ()) -> list[Function]:
+    """Groups by salience, merged by the model. Merged functions pass all gates on ``samples``; of the originals only those go that a merged function says it replaces, or whose name it takes."""
     out: list[Function] = []
     tell("optimize_start", functions=len(functions))
     for tag, members in registry.by_salience(functions).items():
         members = list(members)
-        for k in range(rounds):
+        for _ in range(rounds):
             listing = "\n\n".join(f"{f.name}\n{f.docstring}\n{f.code}" for f in members)
             try:
-                merged, kept, complete = model.parse_consolidation(backend.generate(model.consolidation_prompt(tag, listing)))
+                answer = backend.generate(model.consolidation_prompt(tag, listing))
+                (merged, kept, complete), replaced = model.parse_consolidation(answer), model.parse_replaced(answer)
             except Exception:  # noqa: BLE001  any failure means: keep what there is
                 break
-            new = [f for f in map(lambda m: Function(*m), merged) if not guard.violations(f.code)]
-            names = {f.name for f in new}
-            left = [f for f in members if f.name in kept and f.name not in names] if new or kept else members
+            made = [Function(*m) for m in merged]
+            new = [f for f in made if rules.validate(rules.PyRule(f.name, f.code), samples) is None]
+            gone = {f.name for f in new} | (replaced - set(kept) if len(new) == len(made) else set())
             before = len(members)
-            members = new + left + ([f for f in members if f.name not in names and f.name not in kept] if not new else [])
-            if complete or (k and len(members) >= before):
+            members = new + [f for f in members if f.name not in gone]
+            if complete or len(members) >= before:
                 break
         out += members
         tell("optimize_group", tag=tag, functions=len(members))
@@ -234,21 +285,59 @@ def write_module(functions: Sequence[Function], path: str, kind: str = "structur
         f.write(text.lstrip("\n"))
 
 
-def apply_module(spark: SparkSession, path: str, module: str, output: str | None = None) -> str:
-    """Run a module's ``clean_data`` over all records of a file and write them; the gate comes first."""
+def _reshaped(cleaned: DataFrame, schema: T.StructType, evolve: bool) -> DataFrame:
+    """Cleaned JSON as a table. A field keeps its type as long as its values do; with ``evolve`` others widen and new ones join, else they are an error."""
+    rows = written(cleaned.select("raw"))
+    inferred = _inferred(rows)
+    kinds = {"int", "float", "str", "bool", "list", "dict"}
+    own, fields, changed = {f.name: f for f in schema.fields}, [], []
+    for f in inferred.fields:
+        old, new = profile.kind(own[f.name].dataType) if f.name in own else None, profile.kind(f.dataType)
+        if old is None or (old in kinds and old != new and not (old == "float" and new == "int")):
+            changed.append(f.name)
+    for f in schema.fields:
+        fields.append(inferred[f.name] if f.name in changed else f)
+    fields += [inferred[name] for name in changed if name not in own]
+    if changed and not evolve:
+        raise OutputError(f"the rules add fields or change their types: {sorted(changed)}; allow it with evolve")
+    typed = rows.select("raw", F.from_json("raw", T.StructType(fields)).alias("r"))
+    lost = [F.count_if(F.col("r").getField(f.name).isNull() & F.get_json_object("raw", f'$["{f.name}"]').isNotNull()).alias(f.name) for f in fields]
+    if bad := [name for name, n in typed.agg(*lost).first().asDict().items() if n]:
+        raise OutputError(f"values that don't fit the type of their field: {sorted(bad)}")
+    return typed.select("r.*")
+
+
+def _inferred(rows: DataFrame) -> T.StructType:
+    """The fields of JSON records, with the widest type of each; what was null in all is a string."""
+    merged = rows.select(F.schema_of_variant_agg(F.parse_json("raw"))).first()[0] or ""
+    text = merged.replace("OBJECT<", "STRUCT<").replace("VOID", "STRING").replace("VARIANT", "STRING")
+    return T.StructType.fromDDL(text[len("STRUCT<") : -1]) if text.startswith("STRUCT<") and len(text) > len("STRUCT<>") else T.StructType([])
+
+
+def apply_module(spark: SparkSession, path: str, module: str, output: str | None = None, evolve: bool = False, on_progress: Callable[[dict], None] | None = None) -> str:
+    """Run a module's ``clean_data`` over all records of a file and write them; the gate comes first.
+
+    JSON lines stay lines, an array becomes a folder of arrays, one object stays an object. CSV keeps its header and
+    Parquet its schema: what the rules add or change is an error, or joins the output with ``evolve``.
+    """
+    tell = on_progress or (lambda event: None)
     with open(module, encoding="utf-8") as f:
         rule = rules.PyRule("clean_data", f.read())
     output = output or writers.default_output(path)
+    tell({"type": "apply_start", "path": path, "output": output})
     if readers.mode_of(path) == "text":
         writers.write_dataset(rules.apply_to_text(readers.documents(spark, path), [rule]), output)
+        tell({"type": "apply_complete", "output": output})
         return output
-    cleaner = Cleaner(spark, Config(path), model.Scripted([""]))
-    cleaned = rules.apply_to_json(cleaner.records().select("raw"), [rule])
-    if path.endswith((".jsonl", ".json")):
+    cleaned = rules.apply_to_json(Cleaner(spark, Config(path), model.Scripted([""])).records().select("raw"), [rule])
+    if path.endswith(".json") and spark.read.text(path, wholetext=True).where(F.ltrim("value").startswith("{")).limit(1).count():
+        cleaned.select("raw").write.mode("overwrite").text(output)
+    elif path.endswith((".jsonl", ".json")):
         writers.write_dataset(cleaned, output)
     else:
         schema = readers.open_dataset(spark, path, "structured").schema
-        writers.write_dataset(cleaned.select(F.from_json("raw", schema).alias("r")).select("r.*"), output)
+        writers.write_dataset(_reshaped(cleaned, schema, evolve), output)
+    tell({"type": "apply_complete", "output": output})
     return output
 
 
@@ -260,4 +349,4 @@ def report(path: str, functions: Sequence[Function], chunks: int, latency: dict,
     if compared:
         lines += ["", "| Field | Nulls before | after | Change |", "| --- | --- | --- | --- |"]
         lines += [f"| {r['field']} | {r['null_count_before']} | {r['null_count_after']} | {profile.format_change(r['null_count_before'], r['null_count_after'])} |" for r in compared]
-    return "\n".join(lines) + "\n"
+    return "\n".join([*lines, "", f"Written {datetime.now(UTC):%Y-%m-%d %H:%M} UTC"]) + "\n"

@@ -9,13 +9,11 @@ import re
 import time
 import urllib.request
 import xml.etree.ElementTree as ET
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 from typing import Protocol
 
-
-class ParseError(ValueError):
-    """An answer that can't be used; its text goes back to the model."""
+from ..errors import ParseError
 
 
 class Backend(Protocol):
@@ -46,7 +44,7 @@ class Http:
 
     def generate(self, prompt: str) -> str:
         body = json.dumps({"model": self.model, "max_tokens": self.max_tokens, "temperature": self.temperature, "messages": [{"role": "user", "content": prompt}]})
-        key = self.api_key or os.environ.get("OPENAI_API_KEY") or "not-needed"
+        key = self.api_key or os.environ.get("SLUICEWORK_API_KEY") or "not-needed"
         request = urllib.request.Request(f"{self.base_url.rstrip('/')}/chat/completions", body.encode(), {"Content-Type": "application/json", "Authorization": f"Bearer {key}"})
         with urllib.request.urlopen(request, timeout=600) as answer:  # noqa: S310
             return json.load(answer)["choices"][0]["message"]["content"] or ""
@@ -104,12 +102,12 @@ Answer in XML: <cleaning_analysis><issues_detected><issue id="1" solved="false">
 def consolidation_prompt(group: str, listing: str) -> str:
     return f"""Merge redundant cleaning functions of the group {group}; keep what is distinct.
 {listing}
-Answer in XML: <consolidation><merged_functions><function><name/><docstring/><code/></function></merged_functions>
+Answer in XML: <consolidation><merged_functions><function><name/><docstring/><code/><replaces>a, b</replaces></function></merged_functions>
 <kept_unchanged><function_name/></kept_unchanged><complete>true|false</complete></consolidation>"""
 
 
-def saturation_prompt(listing: str, done: int, total: int) -> str:
-    return f"""{done} of {total} chunks are done. Functions so far:
+def saturation_prompt(listing: str, done: int, total: int, recent: int = 0, window: int = 0) -> str:
+    return f"""{done} of {total} chunks are done; the last {window} gave {recent} new functions. Functions so far:
 {listing}
 Are further chunks unlikely to need new functions? Answer in XML:
 <saturation><saturated>true|false</saturated><confidence>high|medium|low</confidence></saturation>"""
@@ -165,6 +163,12 @@ def parse_analysis(answer: str) -> Analysis:
     return Analysis(issues, _function(node) if node is not None and node.findtext("name") else None, clean)
 
 
+def parse_replaced(answer: str) -> set[str]:
+    """The names that merged functions say they replace."""
+    nodes = _tree(answer, "consolidation").iterfind("merged_functions/function/replaces")
+    return {name for n in nodes for x in (n.text or "").split(",") if (name := x.strip())}
+
+
 def parse_consolidation(answer: str) -> tuple[list[tuple[str, str, str]], list[str], bool]:
     """(merged functions, names kept, whether it is complete)."""
     root = _tree(answer, "consolidation")
@@ -178,5 +182,3 @@ def parse_saturation(answer: str) -> bool:
     sure = (root.findtext("confidence") or "low").strip().lower() in ("high", "medium")
     return sure and (root.findtext("saturated") or "").strip().lower() == "true"
 
-
-Callback = Callable[[dict], None]

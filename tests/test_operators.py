@@ -31,6 +31,9 @@ def one(spark, value, expr):
         (C.to_list, "None", []), (C.to_tags, "A, b,a ", ["a", "b"]), (C.street, "5 Main St.", "5 Main Street"),
         (lambda c: C.nearest_word(c, ["Electronics", "Home"]), "elctronicss", "Electronics"),
         (lambda c: C.canonical(c, {"US$": "USD"}), "us$", "USD"), (lambda c: C.prefixed(c, "REF"), "ref123", "REF-123"),
+        (C.to_currency, " us dollar", "USD"), (C.to_currency, "eur", "EUR"), (C.to_transaction_type, "withdrawal", "DEBIT"),
+        (C.to_country, "United States", "US"), (C.to_country, "gb", "GB"), (C.to_state, "Calif.", "CA"), (C.to_state, "new york", "NY"),
+        (C.to_state, "tx", "TX"), (C.to_insurer, "BlueCross", "Blue Cross Blue Shield"), (C.to_insurer, "acme health", "Acme Health"),
         (C.html_text, "<p>a &amp; b<script>x</script></p>", "a & b"),
     ],
 )
@@ -151,7 +154,11 @@ def test_generation_gates_resumes_and_applies(spark, tmp_path):
 def test_consolidation_keeps_what_the_model_forgets():
     fs = [Function(f"f{i}", "Tags: t", f"def f{i}(r): return r") for i in range(3)]
     reply = "<consolidation><merged_functions><function><name>g</name><docstring>Tags: t</docstring><code>def g(r): return r</code></function></merged_functions><kept_unchanged><function_name>f2</function_name></kept_unchanged><complete>true</complete></consolidation>"
-    assert {"g", "f2"} <= {f.name for f in generate.consolidated(fs, model.Scripted([reply]))}
+    assert {f.name for f in generate.consolidated(fs, model.Scripted([reply]))} == {"g", "f0", "f1", "f2"}  # nothing says what g replaces
+    named = reply.replace("</code></function>", "</code><replaces>f0, f1</replaces></function>")
+    assert {f.name for f in generate.consolidated(fs, model.Scripted([named]))} == {"g", "f2"}
+    unstable = named.replace("return r</code>", "return r + 1</code>")
+    assert {f.name for f in generate.consolidated(fs, model.Scripted([unstable]), samples=[{}])} == {"f0", "f1", "f2"}
     assert len(generate.consolidated(fs, model.Scripted(["junk"]))) == 3
 
 
@@ -169,3 +176,69 @@ def test_orphans_meet_every_surviving_group(spark):
         j, gid = min((-len(tags & t) / len(tags | t), g) for g, t in groups.items())
         want[i] = (gid, round(-j, 6)) if j else (None, None)
     assert got == want and got[900] == (None, None) and max(g for g, _ in got.values() if g) > 50
+
+
+def test_first_rows_with_repeated_and_null_orders(spark):
+    df = spark.createDataFrame([(1, "A"), (1, "B"), (0, "B"), (None, "C"), (None, "A"), (2, None)], "at int, k string")
+    got = registry.keep_first_rows(df, F.col("k"), "at").collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(1, "A"), (0, "B"), (None, "C"), (2, None)], key=str)
+
+
+def module(tmp_path, body):
+    (tmp_path / "m.py").write_text(f"def clean_data(data):\n    {body}\n    return data\n")
+    return str(tmp_path / "m.py")
+
+
+def test_apply_keeps_or_evolves_the_schema(spark, tmp_path):
+    rows = [(1, "x", 1.5), (2, None, None)]
+    spark.createDataFrame(rows, "n int, s string, d double").write.parquet(str(tmp_path / "a.parquet"))
+    path, out = str(tmp_path / "a.parquet"), str(tmp_path / "o.parquet")
+    generate.apply_module(spark, path, module(tmp_path, "data['n'] += 1"), out)
+    got = spark.read.parquet(out)
+    assert got.schema.simpleString() == "struct<n:int,s:string,d:double>" and sorted(tuple(r) for r in got.collect()) == [(2, "x", 1.5), (3, None, None)]
+    for body in ("data['n'] = 'text'", "data['new'] = 1"):
+        with pytest.raises(generate.OutputError):
+            generate.apply_module(spark, path, module(tmp_path, body), out)
+    generate.apply_module(spark, path, module(tmp_path, "data['n'] = 'text'; data['new'] = 1"), out, evolve=True)
+    got = spark.read.parquet(out)
+    assert {(f.name, f.dataType.simpleString()) for f in got.schema} == {("n", "string"), ("s", "string"), ("d", "double"), ("new", "bigint")}
+    assert {(r["n"], r["new"]) for r in got.collect()} == {("text", 1)}
+    (tmp_path / "a.csv").write_text("a,b\n1,\nx,2\n")
+    with pytest.raises(generate.OutputError):
+        generate.apply_module(spark, str(tmp_path / "a.csv"), module(tmp_path, "data['c'] = 'y'"), str(tmp_path / "o.csv"))
+    generate.apply_module(spark, str(tmp_path / "a.csv"), module(tmp_path, "data['a'] = data['a'] * 2"), str(tmp_path / "o.csv"))
+    assert sorted(tuple(r) for r in readers.csv(spark, str(tmp_path / "o.csv")).collect()) == [("11", ""), ("xx", "2")]
+
+
+def test_apply_keeps_arrays_and_objects(spark, tmp_path):
+    events = []
+    for name, text, want in (("a", '[{"a": 1}, {"a": 2}]', [{"a": 2}, {"a": 3}]), ("b", ' {"a": 1}', {"a": 2})):
+        (tmp_path / f"{name}.json").write_text(text)
+        out = generate.apply_module(spark, str(tmp_path / f"{name}.json"), module(tmp_path, "data['a'] += 1"), on_progress=events.append)
+        files = [r["value"] for r in spark.read.text(out, wholetext=True).collect()]
+        assert [json.loads(f) for f in files if json.loads(f)] == [want]
+    assert [e["type"] for e in events] == ["apply_start", "apply_complete"] * 2
+
+
+@pytest.mark.parametrize("how", ["random", "stratified"])
+def test_the_loop_samples_as_it_is_told(spark, tmp_path, how):
+    data = tmp_path / "x.jsonl"
+    data.write_text("".join(json.dumps({"i": i, "k": "ab"[i >= 6]}) + "\n" for i in range(12)) + "no json\n")
+    cleaner = generate.Cleaner(spark, generate.Config(str(data), chunk_size=4, sampling=how, stratify_field="k"), model.Scripted([CLEAN]))
+    chunks = dict(cleaner.chunks())
+    assert sorted(r["i"] for c in chunks.values() for r in c) == list(range(12)) and chunks == dict(cleaner.chunks())
+    assert [r["i"] for r in chunks[0]] != [0, 1, 2, 3] and (how == "random" or {r["k"] for r in chunks[0]} == {"a", "b"})
+    cleaner.done = 0
+    assert list(cleaner.chunks()) == [(k, c) for k, c in chunks.items() if k]
+    with pytest.raises(ValueError):
+        generate.Config("x.txt", sampling=how)
+
+
+def test_texts_hold_their_last_sentences_out(spark, tmp_path):
+    (tmp_path / "x.txt").write_text("One is here. Two is here. Three is here. Four is HERE.")
+    rule = "def low(text):\n    if 'Four' in text:\n        raise ValueError('held out')\n    return text"
+    config = generate.Config(str(tmp_path / "x.txt"), output_path=str(tmp_path / "m.py"), max_iterations=2)
+    backend, events = model.Scripted([answer("low", rule), CLEAN]), []
+    assert generate.Cleaner(spark, config, backend, events.append).run() == []
+    assert "Four" not in backend.prompts[0] and "Three" in backend.prompts[0]
+    assert {"validation_failed", "llm_call"} <= {e["type"] for e in events}
