@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
 import functools
 import hashlib
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -23,12 +25,19 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one where that is unset (local runs and tests)."""
+    """The folder in spark.checkpoint.dir, which its owner clears.
+
+    Where that is unset, a local session gets a temporary folder, which goes when Python ends; a cluster is refused, as
+    its executors share no local folder.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     if "dir" not in _OWN:
-        _OWN["dir"] = "file://" + tempfile.mkdtemp(prefix="sluicework-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        _OWN["dir"] = "file://" + (made := tempfile.mkdtemp(prefix="sluicework-"))
+        atexit.register(shutil.rmtree, made, ignore_errors=True)
     return _OWN["dir"]
 
 

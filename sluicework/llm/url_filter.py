@@ -1,11 +1,14 @@
-"""URL filter: a weighted vocabulary of strict and soft terms, counted by Aho-Corasick with boundary checks.
+"""URL filter: a weighted vocabulary of strict, soft and weak terms, counted by Aho-Corasick with boundary checks.
 
-A term counts where it stands in the lower-cased URL without a letter or digit at either side. A strict term weighs
-``LIMIT``, a soft term 1; each distinct term counts once; a URL whose weight reaches ``LIMIT`` is blocked: one strict
-hit or two distinct soft hits. Host rules override the vocabulary; the longest fitting rule wins.
+A term counts where it stands in the lower-cased URL without a letter or digit at either side; escapes of letters and
+digits (``%63asino``) are undone first. A strict term weighs ``LIMIT``, a soft one half of it, a weak one a quarter;
+each distinct term counts once; a URL whose weight reaches ``LIMIT`` is blocked: one strict hit, or two distinct soft
+hits, or as much in weak ones. Host rules override the vocabulary; the longest fitting rule wins, of equally long ones
+the last by code points.
 
 Defined cases: a null URL, or one without ``://``, has an empty host and path and fits no rule; a null URL is
-allowed, any other is judged by its terms. Repeated rows are judged one by one; further columns are ignored.
+allowed, any other is judged by its terms. Repeated rows are judged one by one; a long URL is read whole; an empty
+table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -17,15 +20,28 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LIMIT = 2
-STRICT = ("adult", "casino", "escort", "gambling", "malware", "phishing", "porn", "viagra", "warez", "xxx")
-SOFT = ("ads", "bet", "bets", "bonus", "cheap", "crack", "farm", "free", "jackpot", "loan", "nude", "pill", "pills", "poker", "popup", "sexy", "slots", "spam", "track", "tracker", "win", "winner")
+LIMIT = 4
+#: English, German, French and Spanish terms as they stand in URLs.
+STRICT = (
+    "adult", "casino", "escort", "escorts", "gambling", "gluecksspiel", "hardcore", "hentai", "keygen", "malware", "milf",
+    "phishing", "porn", "porno", "pornos", "viagra", "cialis", "warez", "xxx", "xvideos", "sexshop", "sexe", "putas", "onlinecasino",
+    "tragaperras", "spielautomaten", "ransomware",
+)
+SOFT = (
+    "ads", "bet", "bets", "betting", "bonus", "cheap", "crack", "cracked", "farm", "free", "jackpot", "loan", "loans", "nude", "nudes", "pill",
+    "pills", "poker", "popup", "sexy", "slot", "slots", "spam", "track", "tracker", "win", "winner", "torrent", "wette", "wetten", "kredit",
+    "gratis", "nackt", "pari", "paris-sportifs", "gratuit", "nue", "machines-a-sous", "apuesta", "apuestas", "desnuda", "prestamo", "premio",
+    "gewinnspiel", "roulette", "blackjack", "lottery", "lotto", "clickbait", "doorway",
+)
+WEAK = ("affiliate", "banner", "click", "coupon", "deal", "deals", "discount", "angebot", "rabatt", "oferta", "promo", "popunder", "redirect", "sponsored", "utm-spam", "download-now", "hot", "dating", "singles")
+#: Escapes of letters and digits, in lower case, in the order in which they are undone.
+ESCAPES = tuple((f"%{code:02x}", chr(code).lower()) for code in (*range(48, 58), *range(65, 91), *range(97, 123)))
 #: (host and path, verdict)
 RULES = (("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block"))
 
 
-def vocabulary(strict: tuple[str, ...] = STRICT, soft: tuple[str, ...] = SOFT, limit: int = LIMIT) -> dict[str, int]:
-    return {t: 1 for t in soft} | {t: limit for t in strict}
+def vocabulary(strict: tuple[str, ...] = STRICT, soft: tuple[str, ...] = SOFT, weak: tuple[str, ...] = WEAK, limit: int = LIMIT) -> dict[str, int]:
+    return {t: limit // 4 for t in weak} | {t: limit // 2 for t in soft} | {t: limit for t in strict}
 
 
 def url_weight(weights: dict[str, int]):
@@ -44,6 +60,9 @@ def url_weight(weights: dict[str, int]):
         def one(url: str | None) -> int:
             if not url:
                 return 0
+            if "%" in url:
+                for escape, plain in ESCAPES:
+                    url = url.replace(escape, plain)
             hits = {}
             for end, (term, w) in machine.iter(url):
                 start = end - len(term)
@@ -80,13 +99,16 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
 def judge_sql(rules: tuple[tuple[str, str], ...] = RULES, weights: dict[str, int] | None = None, limit: int = LIMIT) -> str:
     """The same rows in DuckDB SQL."""
     fits = lambda t: f"(host = '{t.partition('/')[0]}' OR ends_with(host, '.{t.partition('/')[0]}')) AND starts_with(path, '/{t.partition('/')[2]}')"
-    order = sorted(rules, key=lambda x: (-len(x[0]), x[0]))
+    order = sorted(rules, key=lambda x: (len(x[0]), x[0]), reverse=True)
+    low = f"translate(coalesce(url, ''), '{_UPPER}', '{_LOWER}')"
+    for escape, plain in ESCAPES:
+        low = f"replace({low}, '{escape}', '{plain}')"
     rule = "CASE " + " ".join(f"WHEN {fits(t)} THEN '{t}'" for t, _ in order) + " END"
     said = "CASE " + " ".join(f"WHEN {fits(t)} THEN '{v}'" for t, v in order) + " END"
     weight = " + ".join(f"CASE WHEN regexp_matches(low, '(^|[^a-z0-9]){t}($|[^a-z0-9])') THEN {w} ELSE 0 END" for t, w in (weights or vocabulary()).items())
     return f"""
 WITH cut AS (
-  SELECT page_id, url, translate(coalesce(url, ''), '{_UPPER}', '{_LOWER}') AS low,
+  SELECT page_id, url, {low} AS low,
     CASE WHEN contains(url, '://') THEN regexp_extract(url, '^(?s:.*?)://([^?#]*)', 1) ELSE '' END AS rest
   FROM pages),
 parts AS (

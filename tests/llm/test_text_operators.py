@@ -261,6 +261,8 @@ def test_url_verdicts(spark):
         (1, "https://www.Example.com/en/7x", "example.com/en/7", "allow"), (2, "http://a.com/en/5?q", "com/en/", "block"), (3, "http://b.example.net/de/81", "example.net/de/8", "block"),
         (4, "http://net/de/", "net/de/", "allow"), (5, "http://anet/de/1", None, "allow"), (6, "http://x.org/casino", None, "block"), (7, "http://casinos.org/", None, "allow"),
         (8, "http://x.org/free-bets", None, "block"), (9, "http://x.org/free/free", None, "allow"), (10, None, None, "allow"), (11, "no url", None, "allow"), (12, "", None, "allow"), (13, "ftp://h?x://y/en/", None, "allow"), (13, "ftp://h#/en/", None, "allow"),
+        (14, "http://x.org/%63asin%6F", None, "block"), (15, "http://x.org/gluecksspiel", None, "block"), (16, "http://x.org/hot/deals/promo", None, "allow"),
+        (17, "http://x.org/hot/deals/promo/free", None, "block"), (18, "http://x.org/%2563asino", None, "allow"), (19, "http://x.org/" + "a/" * 200_000 + "casino", None, "block"),
     ]
     df = spark.createDataFrame([r[:2] for r in rows], "page_id long, url string").withColumn("host", F.lit("clash"))
     got = url_filter.judge_urls(df).collect()
