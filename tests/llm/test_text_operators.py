@@ -289,6 +289,24 @@ def test_pipeline_equals_its_stages(spark):
     assert sorted((r["doc_id"], r["n_tokens"]) for r in cp.run(spark, SF).collect()) == sorted((r["doc_id"], r["n_tokens"]) for r in last)
 
 
+def test_stages_on_hard_rows(spark, hard):
+    import corpus_pipeline as cp
+
+    rows = [(10, "token=abcdefgh1", None, None, None), (10, "token=abcdefgh1", None, None, None), (11, "a b c d e f", "en", "s", 3), (12, "a b c d e f", "en", "s", 3), (None, None, None, None, None)]
+    docs = hard.unionByName(spark.createDataFrame(rows, DOCS).withColumns({"ids": F.lit(0), "score": F.lit("clash")}))
+    assert cp.quality(spark, docs, SF).columns == cp.COLUMNS and cp.quality(spark, docs.limit(0), SF).count() == 0
+    kept = cp.near_dedup(spark, docs, SF)
+    assert sorted(r["doc_id"] for r in kept.where("doc_id IS NOT NULL").collect()) == [1, 2, 3, 4, 10, 11] and kept.where("doc_id IS NULL").count() == 2
+    assert {(r["text"], r["n_chars"]) for r in cp.secrets(spark, docs, SF).where("doc_id = 10").collect()} == {("[SECRET]", 8)}
+    assert {r["text"] for r in cp.secrets(spark, docs, SF).where("doc_id = 3").collect()} == {None}
+    taken = cp.mix(spark, docs, SF).groupBy("doc_id", "text").count().collect()
+    assert taken and all(r["count"] <= 4 for r in taken)
+    encoded = cp.encode(spark, docs, SF).collect()
+    assert len(encoded) == docs.count() and all(len(r["ids"]) == r["n_tokens"] for r in encoded)
+    for _, stage in cp.STAGES[1:]:
+        assert stage(spark, docs.limit(0), SF).count() == 0
+
+
 def test_the_last_stage_decodes_too(spark):
     import corpus_pipeline as cp
 
