@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import guard
+from .positions import numbered
 
 # Words of a function's name that tell its domain.
 DOMAINS = (
@@ -130,11 +131,12 @@ def keep_first_rows(df: DataFrame, key: Column, order: str) -> DataFrame:
 
 
 def split_groups(df: DataFrame, tag: str, order: str, least: int, most: int) -> DataFrame:
-    """``df`` with ``balanced``: groups over ``most`` rows get suffixes, rows of groups under ``least`` null."""
-    place = F.row_number().over(Window.partitionBy(tag).orderBy(order)) - 1
-    part = F.floor(place / most) + 1
-    n = F.count("*").over(Window.partitionBy(tag))
-    return df.withColumn("balanced", F.when(n >= least, F.when(part == 1, F.col(tag)).otherwise(F.concat(F.col(tag), F.lit("_"), part.cast("string")))))
+    """``df`` with ``balanced``: groups over ``most`` rows get suffixes, rows of groups under ``least`` null. Hot groups are numbered over ranges."""
+    rows = numbered(df, tag, order, name="__g")
+    groups = rows.groupBy(F.col(tag).alias("__t")).agg(F.min("__g").alias("__a"), F.count("*").alias("__n"))
+    part = F.floor((F.col("__g") - F.col("__a")) / most) + 1
+    name = F.when(part == 1, F.col(tag)).otherwise(F.concat(F.col(tag), F.lit("_"), part.cast("string")))
+    return rows.join(groups, F.col(tag).eqNullSafe(F.col("__t"))).withColumn("balanced", F.when(F.col("__n") >= least, name)).drop("__g", "__t", "__a", "__n")
 
 
 def most_alike(orphans: DataFrame, groups: DataFrame, item: str, tags: str, group: str, group_tags: str) -> DataFrame:

@@ -36,9 +36,10 @@ def interleaved(df: DataFrame, key: str, field: str | None, seed: int = 42) -> D
     if field is None:
         return numbered(df, key)
     rows = df.withColumn("__s", F.coalesce(F.col(field).cast("string"), F.lit(MISSING))).withColumn("__d", draw(F.col(key), seed))
-    first = rows.groupBy("__s").agg(F.min(key).alias("__f"))
-    rows = rows.withColumn("__r", F.row_number().over(Window.partitionBy("__s").orderBy("__d", key))).join(first, "__s")
-    return numbered(rows, "__r", "__f").drop("__s", "__d", "__r", "__f")
+    rows = numbered(rows, "__s", "__d", key, name="__g")  # a hot stratum is spread over ranges, not sorted in one task
+    first = rows.groupBy("__s").agg(F.min(key).alias("__f"), F.min("__g").alias("__start"))
+    rows = rows.join(first, "__s").withColumn("__r", F.col("__g") - F.col("__start"))
+    return numbered(rows, "__r", "__f").drop("__s", "__d", "__g", "__start", "__r", "__f")
 
 
 def holdout(df: DataFrame, chunk: str, order: str, ratio: float = 0.2) -> DataFrame:
