@@ -33,8 +33,10 @@ def main(argv: list[str] | None = None, backend: model.Backend | None = None) ->
             p.add_argument("--state-file")
             p.add_argument("--sampling", default="sequential", choices=("sequential", "random", "stratified"))
             p.add_argument("--stratify-field")
+            p.add_argument("--auto-parse", action="store_true", help="have the model write a parser for an unknown suffix")
         if verb == "apply":
             p.add_argument("-f", "--functions", required=True)
+            p.add_argument("--parser", help="a file with the parser of the data")
             p.add_argument("--evolve", action="store_true", help="let rules add fields and change types")
         else:
             p.add_argument("--model", default="default")
@@ -48,14 +50,15 @@ def main(argv: list[str] | None = None, backend: model.Backend | None = None) ->
     spark = SparkSession.builder.appName("sluicework").getOrCreate()
     try:
         if a.verb == "apply":
-            print(generate.apply_module(spark, a.file, a.functions, a.output, a.evolve))
+            parser_code = instructions(f"@{a.parser}") if a.parser else ""
+            print(generate.apply_module(spark, a.file, a.functions, a.output, a.evolve, parser=parser_code))
             return 0
         used = backend or model.Http(a.model, a.base_url)
         if a.verb == "resume":
             runner = generate.Cleaner.resume(spark, a.file, used)
         else:
             more = {"output_path": a.output} if getattr(a, "output", None) else {}
-            runner = generate.Cleaner(spark, generate.Config(a.file, instructions(a.instructions), a.mode, a.chunk_size, state_file=a.state_file, dry_run=a.verb == "analyze", sampling=a.sampling, stratify_field=a.stratify_field, **more), used, print)
+            runner = generate.Cleaner(spark, generate.Config(a.file, instructions(a.instructions), a.mode, a.chunk_size, state_file=a.state_file, dry_run=a.verb == "analyze", sampling=a.sampling, stratify_field=a.stratify_field, auto_parse=a.auto_parse, **more), used, print)
         runner.run()
     except (OSError, TimeoutError) as e:
         print(f"error: {e}", file=sys.stderr)

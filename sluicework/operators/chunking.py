@@ -42,7 +42,7 @@ def paragraphs(text: str, size: int, overlap: int) -> list[str]:
         nonlocal open_
         if open_.strip():
             out.append(open_)
-        tail = open_[len(open_) - overlap :] if overlap else ""
+        tail = open_[-overlap:] if overlap else ""
         open_ = ""
         return tail
 

@@ -9,10 +9,9 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from . import guard
-from .positions import numbered
+from .positions import numbered, running, written
 
 # Words of a function's name that tell its domain.
 DOMAINS = (
@@ -105,9 +104,11 @@ def by_salience(functions: Sequence[Function], least: int = 2, most: int = 40) -
 
 
 def within_budget(df: DataFrame, group: str, order: str, cost: Column, budget: int) -> DataFrame:
-    """The newest rows of each group whose costs together fit the budget."""
-    run = F.sum(cost).over(Window.partitionBy(group).orderBy(F.desc(order)))
-    return df.withColumn("used", run).where(F.col("used") <= budget)
+    """The newest rows of each group whose costs (null: 0) together fit the budget. Hot groups are summed over ranges."""
+    rows = running(df.withColumn("__cost", F.coalesce(cost.cast("long"), F.lit(0))), group, F.desc(order), value=F.col("__cost"), name="used")
+    before = rows.groupBy(F.col(group).alias("__g")).agg(F.min(F.col("used") - F.col("__cost")).alias("__a"))
+    rows = rows.join(before, F.col(group).eqNullSafe(F.col("__g"))).withColumn("used", F.col("used") - F.col("__a"))
+    return rows.where(F.col("used") <= budget).drop("__g", "__a", "__cost")
 
 
 def tag_weights(tags: DataFrame, item: str, tag: str) -> DataFrame:
@@ -149,8 +150,10 @@ def most_alike(orphans: DataFrame, groups: DataFrame, item: str, tags: str, grou
 
 
 def saturation(df: DataFrame, chunk: str, key: str, window: int) -> DataFrame:
-    """(chunk, fresh, recent): keys first seen in each chunk, and over the last ``window`` chunks."""
+    """(chunk, fresh, recent): keys first seen in each chunk, and over the last ``window`` chunks, as a difference of running sums."""
     chunks = df.select(chunk).distinct()
     first = df.groupBy(key).agg(F.min(chunk).alias(chunk)).groupBy(chunk).agg(F.count("*").alias("fresh"))
     rows = chunks.join(first, chunk, "left").na.fill(0, ["fresh"])
-    return rows.withColumn("recent", F.sum("fresh").over(Window.orderBy(chunk).rowsBetween(1 - window, 0)))
+    rows = written(numbered(running(rows, chunk, value=F.col("fresh"), name="__r"), chunk, name="__q"))
+    earlier = rows.select((F.col("__q") + window).alias("__q"), F.col("__r").alias("__e"))
+    return rows.join(earlier, "__q", "left").withColumn("recent", F.col("__r") - F.coalesce("__e", F.lit(0))).drop("__q", "__r", "__e")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +11,10 @@ from pyspark.sql import functions as F
 
 from ..functions import cleaning as C
 from ..operators import chunking, profile, registry, rules, sampling
+from ..operators.positions import scratch
+from ..sources import readers
+from ..streaming.apply import stream_jsonl
+from . import generate
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -108,12 +114,41 @@ def char_chunks(spark, sf_dir):
     return chunking.char_chunks(_t(spark, sf_dir, "documents").select("doc_id", "text"), "text", 400).select("doc_id", "chunk_index", "chunk")
 
 
-@_query()
+@_query(r"""
+WITH RECURSIVE parts AS (
+  SELECT doc_id, text, list_filter(string_split(regexp_replace(text, '(\. |! |\? |\n)', '\1' || chr(31), 'g'), chr(31)), lambda x: x <> '') AS p FROM documents WHERE length(text) > 0),
+folded AS (
+  SELECT doc_id, text, list_reduce(list_prepend({'done': []::VARCHAR[], 'held': ''}, list_transform(p, lambda x: {'done': []::VARCHAR[], 'held': x})), lambda a, x:
+    CASE WHEN length(a.held || x.held) >= 12 THEN {'done': list_append(a.done, a.held || x.held), 'held': ''} ELSE {'done': a.done, 'held': a.held || x.held} END) AS r FROM parts),
+pieces AS (SELECT doc_id, text, CASE WHEN r.held <> '' THEN list_append(r.done, r.held) ELSE r.done END AS s FROM folded),
+ends AS (SELECT doc_id, text, len(s) AS n, list_transform(range(0, len(s) + 1), lambda i: CAST(coalesce(list_sum(list_transform(s[1:i], lambda x: length(x))), 0) AS BIGINT)) AS e FROM pieces),
+steps AS (
+  SELECT doc_id, 0::BIGINT AS chunk_index, 0::BIGINT AS a, CAST(least(n, greatest(1, len(list_filter(e, lambda z: z < 1000)) - 1)) AS BIGINT) AS b FROM ends
+  UNION ALL
+  SELECT doc_id, chunk_index + 1, nxt, CAST(least(n, greatest(nxt + 1, len(list_filter(e, lambda z: z < e[nxt + 1] + 1000)) - 1)) AS BIGINT) FROM (
+    SELECT s.*, n, e, CAST(greatest(a + 1, least(b, len(list_filter(e, lambda z: z < e[b + 1] - 200)))) AS BIGINT) AS nxt FROM steps s JOIN ends USING (doc_id) WHERE b < n))
+SELECT doc_id, chunk_index, substr(text, e[a + 1] + 1, e[b + 1] - e[a + 1]) AS chunk, e[a + 1] AS start_index, e[b + 1] AS end_index, e[b + 1] - e[a + 1] AS token_count FROM steps JOIN ends USING (doc_id)""")
 def sentence_chunks(spark, sf_dir):
     return chunking.sentence_chunks(_t(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-@_query()
+@_query(r"""
+WITH units AS (
+  SELECT doc_id, flatten(list_transform(list_filter(string_split(regexp_replace(text, '\n\n+', chr(30), 'g'), chr(30)), lambda p: trim(p) <> ''), lambda p:
+    CASE WHEN length(p) <= 1000 THEN [{'done': []::VARCHAR[], 'held': p, 'joint': chr(10) || chr(10)}]
+    ELSE list_transform(string_split(regexp_replace(p, '([.!?])\s+', '\1' || chr(31), 'g'), chr(31)), lambda s:
+      CASE WHEN length(s) <= 1000 THEN {'done': []::VARCHAR[], 'held': s, 'joint': ' '}
+      ELSE {'done': list_filter(list_transform(range(0, length(s), 800), lambda k: substr(s, k + 1, 1000)), lambda w: trim(w) <> ''), 'held': '', 'joint': NULL} END) END)) AS u
+  FROM documents WHERE length(text) > 0),
+folded AS (
+  SELECT doc_id, list_reduce(list_prepend({'done': []::VARCHAR[], 'held': '', 'joint': ''}, u), lambda a, x:
+    CASE WHEN x.joint IS NULL THEN {'done': list_concat(a.done, CASE WHEN trim(a.held) <> '' THEN [a.held] ELSE []::VARCHAR[] END, x.done), 'held': '', 'joint': ''}
+    WHEN a.held = '' THEN {'done': a.done, 'held': x.held, 'joint': ''}
+    WHEN length(a.held) + length(x.joint) + length(x.held) <= 1000 THEN {'done': a.done, 'held': a.held || x.joint || x.held, 'joint': ''}
+    ELSE {'done': list_concat(a.done, CASE WHEN trim(a.held) <> '' THEN [a.held] ELSE []::VARCHAR[] END),
+      'held': CASE WHEN least(200, length(a.held)) + length(x.joint) + length(x.held) <= 1000 THEN right(a.held, 200) || x.joint || x.held ELSE x.held END, 'joint': ''} END) AS r FROM units),
+chunks AS (SELECT doc_id, CASE WHEN trim(r.held) <> '' THEN list_append(r.done, r.held) ELSE r.done END AS c FROM folded)
+SELECT doc_id, k - 1 AS chunk_index, c[k] AS chunk, CAST(length(c[k]) AS BIGINT) AS token_count FROM (SELECT doc_id, c, unnest(range(1, len(c) + 1)) AS k FROM chunks)""")
 def paragraph_chunks(spark, sf_dir):
     return chunking.paragraph_chunks(_t(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -214,6 +249,90 @@ def rule_library(spark, sf_dir):
     return rules.apply_rules(dirty, [rules.ExprRule(f, f, e) for f, e in made])
 
 
+_SPELT = {
+    "category": (["electronics", "Electronis", "Home & Gardn", "toys"], ["Electronics", "Electronics", "Home & Garden", "Toys"]),
+    "weight": (["2 kg", "500 g", "10 lbs", "3 lb"], [2.0, 0.5, 4.5359237, 1.36077711]),
+    "stock": (["12", "-3", "0", "77"], [12, 0, 0, 77]),
+    "fee": (["N/A", "$1.50", "1,250.00", "$ 7"], [0.0, 1.5, 1250.0, 7.0]),
+    "description": (["BIG  red BALL...", "a  b", "One two", "tiny BOX..."], ["Big Red Ball", "A B", "One Two", "Tiny Box"]),
+    "phone": (["555-123-4567", "(555) 123 4567", "+1 555.123.4567", "5551234567"], ["(555) 123-4567"] * 4),
+    "gender": (["male", " F", "Female", "m"], ["M", "F", "F", "M"]),
+    "blood": (["AB positive", "o neg", "A+", "B-"], ["AB+", "O-", "A+", "B-"]),
+    "allergies": (["dust; pollen", "None", "nuts, milk,eggs", " "], [["dust", "pollen"], [], ["nuts", "milk", "eggs"], []]),
+    "person": (["Dr. jane doe", "MR JOHN ROE", "ann lee", "mrs. eve fox"], ["Jane Doe", "John Roe", "Ann Lee", "Eve Fox"]),
+    "street": (["1 Main St.", "2 Oak Ave", "3 Elm Blvd.", "4 Hill Rd"], ["1 Main Street", "2 Oak Avenue", "3 Elm Boulevard", "4 Hill Road"]),
+    "currency": (["us dollars", "EUR", "$", "Pound"], ["USD", "EUR", "USD", "GBP"]),
+    "movement": (["Withdrawal", "cr", "DEBIT", "wire"], ["DEBIT", "CREDIT", "DEBIT", "TRANSFER"]),
+    "country": (["U.K.", "usa", "DE", "Mexico"], ["GB", "US", "DE", "MX"]),
+    "state": (["Calif.", "TX", "new york", "Washington"], ["CA", "TX", "NY", "WA"]),
+    "insurer": (["bcbs", "United Health", "aetna", "acme care"], ["Blue Cross Blue Shield", "UnitedHealthcare", "Aetna", "Acme Care"]),
+}
+
+_KINDS = {"weight": "::DOUBLE[]", "fee": "::DOUBLE[]", "stock": "::BIGINT[]"}
+
+
+@_query("SELECT p_partkey, " + ", ".join(f"({str(right)}{_KINDS.get(name, '')})[p_partkey % 4 + 1] AS {name}" for name, (_, right) in _SPELT.items()) + " FROM part")
+def rule_library_spellings(spark, sf_dir):
+    """Each part gets one of four spellings of every kind; the rules bring the values back."""
+    at = (F.col("p_partkey") % 4 + 1).cast("int")
+    dirty = _t(spark, sf_dir, "part").select("p_partkey", *[F.element_at(F.array(*map(F.lit, spelt)), at).alias(name) for name, (spelt, _) in _SPELT.items()])
+    made = {
+        "category": lambda c: C.nearest_word(c, ["Electronics", "Home & Garden", "Toys"]), "weight": lambda c: F.round(C.to_kilograms(c), 8), "stock": C.to_count, "fee": C.to_fee,
+        "description": C.description, "phone": C.to_phone, "gender": C.initial, "blood": C.blood_type, "allergies": C.to_list, "person": C.person_name, "street": C.street,
+        "currency": C.to_currency, "movement": C.to_transaction_type, "country": C.to_country, "state": C.to_state, "insurer": C.to_insurer,
+    }
+    return rules.apply_rules(dirty, [rules.ExprRule(f, f, e) for f, e in made.items()])
+
+
+_SEGMENT = "def clean_data(data):\n    data['c_mktsegment'] = data['c_mktsegment'].lower()\n    return data\n"
+
+
+def _applied(spark, df: DataFrame, suffix: str, write: Callable[[DataFrame, str], None]) -> DataFrame:
+    """``df`` written as a file of the suffix, cleaned by a module, and read again."""
+    path = f"{scratch(spark, 'apply')}{suffix}"
+    write(df, path)
+    with tempfile.TemporaryDirectory() as folder:  # the module, which the driver alone reads
+        module = os.path.join(folder, "rules.py")
+        with open(module, "w", encoding="utf-8") as f:
+            f.write(_SEGMENT)
+        return readers.open_dataset(spark, generate.apply_module(spark, path, module))
+
+
+_CUSTOMER = ["c_custkey", "c_name", "c_mktsegment", "c_acctbal"]
+
+
+@_query("SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, lower(c_mktsegment) AS c_mktsegment FROM customer")
+def apply_csv(spark, sf_dir):
+    df = _t(spark, sf_dir, "customer").select(*_CUSTOMER[:3])
+    return _applied(spark, df, ".csv", lambda d, p: d.write.option("header", True).csv(p))
+
+
+@_query("SELECT c_custkey, c_name, lower(c_mktsegment) AS c_mktsegment, c_acctbal FROM customer")
+def apply_parquet(spark, sf_dir):
+    return _applied(spark, _t(spark, sf_dir, "customer").select(*_CUSTOMER), ".parquet", lambda d, p: d.write.parquet(p))
+
+
+@_query("SELECT CAST(c_custkey AS BIGINT) AS c_custkey, c_name, lower(c_mktsegment) AS c_mktsegment, c_acctbal FROM customer")
+def apply_jsonl(spark, sf_dir):
+    return _applied(spark, _t(spark, sf_dir, "customer").select(*_CUSTOMER), ".jsonl", lambda d, p: d.select(F.to_json(F.struct("*"))).write.text(p)).select(*_CUSTOMER)
+
+
+@_query("SELECT CAST(c_custkey AS BIGINT) AS c_custkey, c_name, c_mktsegment FROM customer")
+def xml_parse(spark, sf_dir):
+    path = f"{scratch(spark, 'xml')}.xml"
+    _t(spark, sf_dir, "customer").select(*_CUSTOMER[:3]).write.option("rowTag", "item").option("rootTag", "items").xml(path)
+    return readers.open_dataset(spark, path).select(*_CUSTOMER[:3])
+
+
+@_query("SELECT CAST(p_partkey AS BIGINT) AS id, p_name AS name FROM part")
+def parser_run(spark, sf_dir):
+    """A parser, such as a model writes, over files of a format that no reader knows."""
+    path = f"{scratch(spark, 'parse')}.pairs"
+    _t(spark, sf_dir, "part").select(F.concat_ws("=", "p_partkey", "p_name")).write.text(path)
+    code = "def parse_file(text):\n    pairs = [line.split('=', 1) for line in text.splitlines() if line]\n    return [{'id': int(k), 'name': v} for k, v in pairs]\n"
+    return readers.parsed_by(spark, path, code).select(F.get_json_object("raw", "$.id").cast("long").alias("id"), F.get_json_object("raw", "$.name").alias("name"))
+
+
 @_query("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
 def json_field(spark, sf_dir):
     return _t(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
@@ -228,6 +347,15 @@ def py_rule_apply(spark, sf_dir):
     return rules.apply_rules(rows, [PY_RULE]).select("event_id", F.get_json_object("raw", "$.k").cast("long").alias("k"))
 
 
+@_query("SELECT event_id, CAST(CASE WHEN k < 1000 THEN k * 2 + 1000 ELSE k END AS BIGINT) AS k FROM (SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events)")
+def stream_apply(spark, sf_dir):
+    """The rule of ``py_rule_apply`` over JSON lines, as a stream that ends when all files are read."""
+    source, target, checkpoint = (scratch(spark, f"stream-{x}") for x in ("source", "target", "checkpoint"))
+    _t(spark, sf_dir, "events").select(F.to_json(F.struct("event_id", F.get_json_object("props", "$.k").cast("long").alias("k")))).write.text(source)
+    stream_jsonl(spark, source, [PY_RULE], target, checkpoint).awaitTermination()
+    return spark.read.schema("event_id long, k long").json(target)
+
+
 # -- the registry's operators, on tables ------------------------------------------------------------------------------
 
 

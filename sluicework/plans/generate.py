@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import ast
 import contextlib
+import csv
+import io
 import json
 import os
 import re
 from collections.abc import Callable, Sequence
 from dataclasses import asdict, dataclass, field, replace
 from datetime import UTC, datetime
+from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +26,8 @@ from ..sources import readers, writers
 from . import model
 
 VERSION = 1
+#: Characters of a file that are shown for a parser to be written.
+HEAD = 4096
 #: Held-out samples that are kept for the gate of merged functions.
 SEEN = 50
 
@@ -47,6 +52,9 @@ class Config:
     sampling: str = "sequential"
     stratify_field: str | None = None
     seed: int = 42
+    auto_parse: bool = False
+    parser: str = ""
+    track_metrics: bool = False
 
     def __post_init__(self) -> None:
         if self.sampling not in ("sequential", "random", "stratified"):
@@ -56,7 +64,9 @@ class Config:
 
     @property
     def kind(self) -> str:
-        return readers.mode_of(self.file_path) if self.mode == "auto" else self.mode
+        if self.mode != "auto":
+            return self.mode
+        return "structured" if self.parser or (self.auto_parse and readers.unknown(self.file_path)) else readers.mode_of(self.file_path)
 
     @property
     def size(self) -> int:
@@ -74,6 +84,7 @@ class Cleaner:
     seen: list = field(default_factory=list)
     known: int = 0
     total: int | None = None
+    header: list[str] | None = None
 
     def __post_init__(self) -> None:
         self.timed = self.backend if isinstance(self.backend, model.Timed) else model.Timed(self.backend)
@@ -88,6 +99,8 @@ class Cleaner:
     def records(self) -> DataFrame:
         """(raw, place) of the records; a place is the file, the block's offset and the row within it, so splits don't change the order."""
         path = self.config.file_path
+        if self.config.parser:
+            return readers.parsed_by(self.spark, path, self.config.parser).select("raw", F.struct("file", F.lit(0).cast("long").alias("offset"), F.col("row").cast("long").alias("row")).alias("place"))
         if path.endswith(".jsonl"):
             raw = readers.jsonl_raw(self.spark, path)
         elif path.endswith(".json"):
@@ -129,6 +142,75 @@ class Cleaner:
                 held.append(json.loads(row["raw"]))
         if held:
             yield at, held
+        elif at == 0 and self._header():  # a header without rows is a chunk, too
+            yield 0, []
+
+    def _header(self) -> list[str]:
+        """The columns of a CSV file, else none."""
+        if self.header is None:
+            c = self.config
+            sheet = c.kind == "structured" and not c.parser and c.file_path.lower().endswith(".csv")
+            self.header = readers.csv(self.spark, c.file_path).columns if sheet else []
+        return self.header
+
+    def _shown(self, samples: list) -> str:
+        """A chunk as the model sees it: CSV with its header, other records as JSON lines, texts as they are."""
+        if header := self._header():
+            out = io.StringIO()
+            sheet = csv.DictWriter(out, header, lineterminator="\n")
+            sheet.writeheader()
+            sheet.writerows(samples)
+            return out.getvalue()
+        return "\n".join(s if isinstance(s, str) else json.dumps(s, ensure_ascii=False) for s in samples)
+
+    def learn_parser(self) -> None:
+        """For a suffix without a reader, have the model write a parser; it must pass the gate and find records in every file."""
+        c = self.config
+        if not c.auto_parse or c.parser or c.kind == "text" or not readers.unknown(c.file_path):
+            return
+        self._tell("parser_generation_start", path=c.file_path)
+        sample = self.spark.read.text(c.file_path, wholetext=True).select(F.left("value", F.lit(HEAD))).first()[0]
+        feedback = ""
+        for _ in range(c.max_iterations):
+            answer = self._ask(model.parser_prompt(sample, feedback))
+            try:
+                code = model.parse_parser(answer)
+                found = readers.parsed_by(self.spark, c.file_path, code).count()
+            except Exception as e:  # noqa: BLE001  whatever the answer or its code does wrong goes back to the model
+                feedback = str(e)[-500:]
+                continue
+            if found:
+                self.config = replace(c, parser=code)
+                self._tell("parser_generation_complete", records=found)
+                return
+            feedback = "parse_file finds no records"
+        raise model.ParseError(f"no usable parser for {c.file_path}: {feedback}")
+
+    # -- metrics ------------------------------------------------------------------------------------------------------
+
+    def _table(self, path: str) -> DataFrame:
+        if self.config.parser and path == self.config.file_path:
+            rows = written(self.records().select("raw"))
+            return rows.select(F.from_json("raw", _inferred(rows)).alias("r")).select("r.*")
+        return readers.open_dataset(self.spark, path, "structured")
+
+    def improvement(self, cleaned: str | None = None) -> dict | None:
+        """Profiles by field: None unless metrics are tracked over records; those before; with a cleaned output also those after and both compared."""
+        if not self.config.track_metrics or self.config.kind == "text":
+            return None
+        plain = lambda df: sorted((r.asDict() for r in df.collect()), key=lambda r: r["field"])  # noqa: E731  a row for each field
+        before = self._table(self.config.file_path)
+        if cleaned is None:
+            return {"before": plain(profile.quality_profile(before))}
+        after = self._table(cleaned)
+        return {"before": plain(profile.quality_profile(before)), "after": plain(profile.quality_profile(after)), "compared": plain(profile.quality_compare(before, after))}
+
+    def write_report(self, cleaned: str | None = None) -> None:
+        """The report; with a cleaned output and tracked metrics also what changed in each field."""
+        if self.config.report_path:
+            compared = (self.improvement(cleaned) or {}).get("compared") if cleaned else None
+            with open(self.config.report_path, "w", encoding="utf-8") as f:
+                f.write(report(self.config.file_path, self.functions, self.done + 1, self.timed.summary(), compared))
 
     def schema(self) -> str:
         if self.config.kind == "text":
@@ -138,6 +220,7 @@ class Cleaner:
     # -- loop ---------------------------------------------------------------------------------------------------------
 
     def run(self) -> list[Function]:
+        self.learn_parser()
         schema = self.schema()
         for k, samples in self.chunks():
             if k <= self.done:
@@ -157,9 +240,10 @@ class Cleaner:
         if len(self.functions) >= self.config.optimize_from:
             self.functions = consolidated(self.functions, self.timed, self._tell, samples=self.seen)
         write_module(self.functions, self.config.output_path, self.config.kind)
-        if self.config.report_path:
-            with open(self.config.report_path, "w", encoding="utf-8") as f:
-                f.write(report(self.config.file_path, self.functions, self.done + 1, self.timed.summary()))
+        if self.config.parser:
+            with open(parser_path(self.config.output_path), "w", encoding="utf-8") as f:
+                f.write(self.config.parser + "\n")
+        self.write_report()
         self._tell("complete", functions=len(self.functions))
         return self.functions
 
@@ -171,7 +255,7 @@ class Cleaner:
         if self.config.kind == "text":
             shown, held = [" ".join(shown)], [" ".join(held)]
         self.seen = [*self.seen, *held][-SEEN:]
-        text = "\n".join(s if isinstance(s, str) else json.dumps(s, ensure_ascii=False) for s in shown)
+        text = self._shown(shown)
         feedback, written = "", set()
         for i in range(1 if self.config.dry_run else self.config.max_iterations):
             self._tell("iteration", chunk_index=k, iteration=i)
@@ -285,6 +369,11 @@ def write_module(functions: Sequence[Function], path: str, kind: str = "structur
         f.write(text.lstrip("\n"))
 
 
+def parser_path(module: str) -> str:
+    """Where the parser of a module's data lies: ``m.py`` -> ``m_parser.py``."""
+    return f"{module.removesuffix('.py')}_parser.py"
+
+
 def _reshaped(cleaned: DataFrame, schema: T.StructType, evolve: bool) -> DataFrame:
     """Cleaned JSON as a table. A field keeps its type as long as its values do; with ``evolve`` others widen and new ones join, else they are an error."""
     rows = written(cleaned.select("raw"))
@@ -314,25 +403,26 @@ def _inferred(rows: DataFrame) -> T.StructType:
     return T.StructType.fromDDL(text[len("STRUCT<") : -1]) if text.startswith("STRUCT<") and len(text) > len("STRUCT<>") else T.StructType([])
 
 
-def apply_module(spark: SparkSession, path: str, module: str, output: str | None = None, evolve: bool = False, on_progress: Callable[[dict], None] | None = None) -> str:
+def apply_module(spark: SparkSession, path: str, module: str, output: str | None = None, evolve: bool = False, on_progress: Callable[[dict], None] | None = None, parser: str = "") -> str:
     """Run a module's ``clean_data`` over all records of a file and write them; the gate comes first.
 
     JSON lines stay lines, an array becomes a folder of arrays, one object stays an object. CSV keeps its header and
-    Parquet its schema: what the rules add or change is an error, or joins the output with ``evolve``.
+    Parquet its schema: what the rules add or change is an error, or joins the output with ``evolve``. Records that the
+    code of a ``parser`` finds become JSON lines.
     """
     tell = on_progress or (lambda event: None)
     with open(module, encoding="utf-8") as f:
         rule = rules.PyRule("clean_data", f.read())
-    output = output or writers.default_output(path)
+    output = output or (str(PurePosixPath(path).with_suffix(".cleaned.jsonl")) if parser else writers.default_output(path))
     tell({"type": "apply_start", "path": path, "output": output})
-    if readers.mode_of(path) == "text":
+    if not parser and readers.mode_of(path) == "text":
         writers.write_dataset(rules.apply_to_text(readers.documents(spark, path), [rule]), output)
         tell({"type": "apply_complete", "output": output})
         return output
-    cleaned = rules.apply_to_json(Cleaner(spark, Config(path), model.Scripted([""])).records().select("raw"), [rule])
-    if path.endswith(".json") and spark.read.text(path, wholetext=True).where(F.ltrim("value").startswith("{")).limit(1).count():
+    cleaned = rules.apply_to_json(Cleaner(spark, Config(path, parser=parser), model.Scripted([""])).records().select("raw"), [rule])
+    if not parser and path.endswith(".json") and spark.read.text(path, wholetext=True).where(F.ltrim("value").startswith("{")).limit(1).count():
         cleaned.select("raw").write.mode("overwrite").text(output)
-    elif path.endswith((".jsonl", ".json")):
+    elif parser or path.endswith((".jsonl", ".json")):
         writers.write_dataset(cleaned, output)
     else:
         schema = readers.open_dataset(spark, path, "structured").schema

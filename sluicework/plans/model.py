@@ -99,6 +99,14 @@ Answer in XML: <cleaning_analysis><issues_detected><issue id="1" solved="false">
 {f"Your last answer failed: {feedback}" if feedback else ""}"""
 
 
+def parser_prompt(sample: str, feedback: str = "") -> str:
+    return f"""You write a parser in Python for a file that begins like this:
+{sample}
+Write parse_file(text: str) -> list[dict], which gets the whole file's text and returns its records with flat, named fields.
+Use the standard library only; don't open files. Answer in XML: <parser><code>...</code></parser>
+{f"Your last answer failed: {feedback}" if feedback else ""}"""
+
+
 def consolidation_prompt(group: str, listing: str) -> str:
     return f"""Merge redundant cleaning functions of the group {group}; keep what is distinct.
 {listing}
@@ -177,6 +185,14 @@ def parse_consolidation(answer: str) -> tuple[list[tuple[str, str, str]], list[s
     return merged, kept, (root.findtext("complete") or "").strip().lower() == "true"
 
 
+def parse_parser(answer: str) -> str:
+    """The code of a parser, which must define parse_file."""
+    code = _code((_tree(answer, "parser").findtext("code") or "").strip())
+    if not any(isinstance(n, ast.FunctionDef) and n.name == "parse_file" for n in ast.parse(code).body):
+        raise ParseError("the code doesn't define parse_file")
+    return code
+
+
 def parse_saturation(answer: str) -> bool:
     root = _tree(answer, "saturation")
     sure = (root.findtext("confidence") or "low").strip().lower() in ("high", "medium")

@@ -11,6 +11,7 @@ from ..functions.cleaning import html_text
 
 STRUCTURED = (".jsonl", ".csv", ".json", ".parquet", ".xml")
 PAGES = (".html", ".htm")
+TEXTS = (".txt", ".md")
 
 
 def mode_of(path: str) -> str:
@@ -18,6 +19,11 @@ def mode_of(path: str) -> str:
     return "structured" if PurePosixPath(path).suffix.lower() in STRUCTURED else "text"
 
 
+def unknown(path: str) -> bool:
+    """Whether no reader is made for the suffix; such files are texts unless a parser is written for them."""
+    return PurePosixPath(path).suffix.lower() not in (*STRUCTURED, *PAGES, *TEXTS)
+
+
 def jsonl_raw(spark: SparkSession, path: str) -> DataFrame:
     """(raw) of each line that isn't blank."""
     return spark.read.text(path).select(F.trim("value").alias("raw")).where("raw <> ''")
@@ -67,7 +73,7 @@ def open_dataset(spark: SparkSession, path: str, mode: str = "auto", row_tag: st
 
 
 def parsed_by(spark: SparkSession, path: str, code: str, name: str = "parse_file") -> DataFrame:
-    """(raw) of the records that a guarded function ``name(text) -> list of records`` finds in each file."""
+    """(file, row, raw) of the records that a guarded function ``name(text) -> list of records`` finds in each file."""
     import json
 
     from ..operators.rules import PyRule
@@ -77,6 +83,10 @@ def parsed_by(spark: SparkSession, path: str, code: str, name: str = "parse_file
 
     @F.udf("array<string>")
     def run(text: str):
-        return [json.dumps(r, ensure_ascii=False) for r in rule.compiled()(text)]
+        found = rule.compiled()(text)
+        if not isinstance(found, list) or not all(isinstance(r, dict) for r in found):
+            raise TypeError(f"{name} must return a list of dicts")
+        return [json.dumps(r, ensure_ascii=False) for r in found]
 
-    return spark.read.text(path, wholetext=True).select(F.explode(run("value")).alias("raw"))
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), run("value").alias("rows"))
+    return files.select("file", F.posexplode("rows").alias("row", "raw"))

@@ -6,8 +6,9 @@ from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from sluicework import cli
 from sluicework.functions import cleaning as C
-from sluicework.operators import chunking, guard, profile, registry, rules, sampling
+from sluicework.operators import chunking, guard, positions, profile, registry, rules, sampling
 from sluicework.operators.registry import Function
 from sluicework.plans import catalog, generate, model
 from sluicework.sources import readers, writers
@@ -234,6 +235,81 @@ def test_the_loop_samples_as_it_is_told(spark, tmp_path, how):
         generate.Config("x.txt", sampling=how)
 
 
+def test_a_short_chunk_is_repeated_whole():
+    assert chunking.paragraphs("abcdefg\n\n" + "x" * 9, 20, 8) == ["abcdefg\n\n" + "x" * 9]
+    assert chunking.paragraphs("abcdefg\n\n" + "x" * 15, 20, 12) == ["abcdefg", "x" * 15]
+
+
+PARSER = "<parser><code>def parse_file(text):\n    return [{'a': x} for x in text.split('|')]</code></parser>"
+
+
+def test_a_parser_is_written_gated_and_used(spark, tmp_path):
+    (tmp_path / "x.bar").write_text("x|y|z")
+    config = generate.Config(str(tmp_path / "x.bar"), chunk_size=2, auto_parse=True, output_path=str(tmp_path / "m.py"), state_file=str(tmp_path / "s.json"), schema_sample=3)
+    unsafe, wrong, none = PARSER.replace("return", "import os; return"), PARSER.replace("[{'a': x}", "[x"), PARSER.replace("text.split('|')", "[]")
+    backend, events = model.Scripted(["junk", unsafe, wrong, none, PARSER, answer("up", RULE), CLEAN]), []
+    made = generate.Cleaner(spark, config, backend, events.append).run()
+    assert [f.name for f in made] == ["up"] and "x|y|z" in backend.prompts[0] and "must return" in backend.prompts[3] and '{"a": "x"}' in backend.prompts[5]
+    assert [e["records"] for e in events if e["type"] == "parser_generation_complete"] == [3]
+    assert generate.Cleaner.resume(spark, str(tmp_path / "s.json"), model.Scripted([CLEAN])).config.parser
+    code = (tmp_path / "m_parser.py").read_text()
+    out = generate.apply_module(spark, str(tmp_path / "x.bar"), str(tmp_path / "m.py"), parser=code)
+    assert out.endswith("x.cleaned.jsonl") and sorted(r["value"] for r in spark.read.text(out).collect()) == [f'{{"a": "{c}"}}' for c in "XYZ"]
+    with pytest.raises(model.ParseError):
+        generate.Cleaner(spark, generate.Config(str(tmp_path / "x.bar"), auto_parse=True, max_iterations=2), model.Scripted(["junk"])).run()
+    assert generate.Config("x.bar").kind == "text"
+
+
+def test_metrics_and_csv_chunks(spark, tmp_path):
+    (tmp_path / "x.csv").write_text("a,b\nx,\ny,2\nz,3\n")
+    (tmp_path / "y.csv").write_text("a,b\nX,1\nY,2\nZ,3\n")
+    config = generate.Config(str(tmp_path / "x.csv"), output_path=str(tmp_path / "m.py"), report_path=str(tmp_path / "r.md"), track_metrics=True)
+    backend = model.Scripted([CLEAN])
+    cleaner = generate.Cleaner(spark, config, backend)
+    cleaner.run()
+    assert "a,b\nx,\ny,2\n" in backend.prompts[0] and "z,3" not in backend.prompts[0]
+    assert [r["empty_string_count"] for r in cleaner.improvement()["before"]] == [0, 1] and set(cleaner.improvement()) == {"before"}
+    full = cleaner.improvement(str(tmp_path / "y.csv"))
+    assert [r["empty_string_reduction_pct"] for r in full["compared"]] == [0.0, 100.0]
+    cleaner.write_report(str(tmp_path / "y.csv"))
+    assert "| b |" in (tmp_path / "r.md").read_text()
+    cleaner.config.track_metrics = False
+    assert cleaner.improvement() is None
+    (tmp_path / "h.csv").write_text("a,b\n")
+    assert list(generate.Cleaner(spark, generate.Config(str(tmp_path / "h.csv")), backend).chunks()) == [(0, [])]
+
+
+def test_running_sums_over_buckets(spark, monkeypatch):
+    monkeypatch.setattr(positions, "BUCKET", 7)
+    rng = random.Random(3)
+    rows = [(rng.choice(["hot", "hot", "a", None]), i, rng.choice([None, 1, 2, 5])) for i in range(120)]
+    df = spark.createDataFrame(rows, "g string, at int, v int")
+    got = {r["at"]: r["used"] for r in registry.within_budget(df, "g", "at", F.col("v"), 40).collect()}
+    want = {}
+    for g in {r[0] for r in rows}:
+        used = 0
+        for _, at, v in sorted((r for r in rows if r[0] == g), key=lambda r: -r[1]):
+            used += v or 0
+            if used <= 40:
+                want[at] = used
+    assert got == want
+    keys = spark.createDataFrame([(i, i if i % 3 else 0) for i in range(60)], "chunk int, k int")
+    fresh = [int(i % 3 > 0 or i == 0) for i in range(60)]
+    got = sorted(tuple(r) for r in registry.saturation(keys, "chunk", "k", 4).select("chunk", "fresh", "recent").collect())
+    assert got == [(i, fresh[i], sum(fresh[max(0, i - 3) : i + 1])) for i in range(60)]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    (tmp_path / "x.jsonl").write_text('{"a": "x"}\n')
+    data, out = str(tmp_path / "x.jsonl"), str(tmp_path / "m.py")
+    assert cli.main(["generate", data, "-o", out], model.Scripted([answer("up", RULE), CLEAN])) == 0
+    assert cli.main(["analyze", data], model.Scripted([CLEAN])) == 0 and cli.main(["apply", data, "-f", out]) == 0
+    assert [r["value"] for r in spark.read.text(str(tmp_path / "x.cleaned.jsonl")).collect()] == ['{"a": "X"}']
+    assert cli.main(["nothing"]) == 2 and cli.main(["apply", data, "-f", str(tmp_path / "none.py")]) == 3
+    (tmp_path / "i.txt").write_text("text")
+    assert cli.instructions(f"@{tmp_path / 'i.txt'}") == "text" and cli.instructions("text") == "text"
+
+
 def test_texts_hold_their_last_sentences_out(spark, tmp_path):
     (tmp_path / "x.txt").write_text("One is here. Two is here. Three is here. Four is HERE.")
     rule = "def low(text):\n    if 'Four' in text:\n        raise ValueError('held out')\n    return text"
