@@ -237,7 +237,7 @@ def test_the_loop_samples_as_it_is_told(spark, tmp_path, how):
 
 def test_a_short_chunk_is_repeated_whole():
     assert chunking.paragraphs("abcdefg\n\n" + "x" * 9, 20, 8) == ["abcdefg\n\n" + "x" * 9]
-    assert chunking.paragraphs("abcdefg\n\n" + "x" * 15, 20, 12) == ["abcdefg", "x" * 15]
+    assert chunking.paragraphs("abcdefg\n\n" + "x" * 12, 20, 12) == ["abcdefg", "x" * 12]
 
 
 PARSER = "<parser><code>def parse_file(text):\n    return [{'a': x} for x in text.split('|')]</code></parser>"
