@@ -7,9 +7,9 @@ the rarest ones is merged, since any pair with enough collisions meets there; th
 compared pair by pair. Candidates are confirmed on full shingle sets.
 
 Groups are never expanded into all pairs. Each list first links its members to one hub, by a join on the few pairs
-that this gives. Where the members of a hub then still lie in several components, they meet in blocks of bounded
-size: members of different components are compared, by signatures and then on full sets, and whatever links merges
-their components at once, so a block sends at most one link for each member. Every candidate pair is confirmed,
+that this gives. Where the members of a hub then still lie in several components, those outside its largest one meet all
+members in pairs of blocks of bounded size: members of different components are compared, by signatures and then on
+full sets, and whatever links merges their components at once, so a block sends at most one link for each member. Every candidate pair is confirmed,
 refuted, or already within one component, so components are those of all candidate links. A pair is also refuted
 if the exact Jaccard distances of its two members to the hub differ by more than the linking distance: that distance
 is a metric.
@@ -37,7 +37,7 @@ from .shared import mix64, random_words, record_batch, stash, text_slices, tidy,
 COORDINATES, MATCHES, SHINGLE = 64, 33, 5
 PERCENT = 75
 #: Members of one hub, and shingles of all of them, that form one block.
-BLOCK, BLOCK_SHINGLES = 1024, 1_000_000
+BLOCK, BLOCK_SHINGLES = 512, 500_000
 #: Shingles handled at once.
 PART = 1 << 20
 
@@ -260,12 +260,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     members = posts.join(hubs.select("tok", "hub"), "tok").select("hub", "node").distinct().join(comps, "node", "left").select("hub", "node", F.coalesce("comp", "node").alias("comp"))
     members = stash(members.join(classes.select("node", "n_shingles"), "node"), "members")
-    mixed = members.groupBy("hub").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c"), F.sum("n_shingles").alias("s")).where("lo <> hi")
-    blocks = F.greatest(F.ceil(F.col("c") / BLOCK), F.ceil(F.col("s") / BLOCK_SHINGLES)).cast("long")
-    dealt = members.join(mixed.select("hub", blocks.alias("nb")), "hub").join(to_hub, ["hub", "node"], "left")
+    # A hub's largest component needs no comparison within itself: only what lies outside of it meets all the others.
+    parts = members.groupBy("hub", "comp").agg(F.count("*").alias("c"), F.sum("n_shingles").alias("s"))
+    largest = F.max(F.struct("c", F.col("comp").alias("main"), F.col("s").alias("w"))).alias("m")
+    mixed = parts.groupBy("hub").agg(F.sum("c").alias("c"), F.sum("s").alias("s"), largest).where("c > m.c")
+    deal = lambda c, s: F.greatest(F.ceil(c / BLOCK), F.ceil(s / BLOCK_SHINGLES), F.lit(1)).cast("long")
+    mixed = stash(mixed.select("hub", "m.main", deal(F.col("c") - F.col("m.c"), F.col("s") - F.col("m.w")).alias("no"), deal(F.col("m.c"), F.col("m.w")).alias("nm")), "mixed")  # of known size: broadcast if small, so that a hot hub stays spread
+    dealt = members.join(mixed, "hub").join(to_hub, ["hub", "node"], "left")
     far = F.when(F.col("hub") == F.col("node"), 0.0).otherwise(F.coalesce("far", F.lit(float("nan"))))
-    dealt = dealt.withColumn("far", far).withColumn("block", F.pmod(F.xxhash64("node"), F.col("nb")))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
+    inner = F.col("comp") == F.col("main")
+    dealt = dealt.withColumn("far", far).withColumn("block", F.when(inner, F.col("no") + F.pmod(F.xxhash64("node"), F.col("nm"))).otherwise(F.pmod(F.xxhash64("node"), F.col("no"))))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.when(inner, F.col("no")).otherwise(F.col("no") + F.col("nm")) - 1)))
     dealt = dealt.select("hub", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "block", "comp", "far").join(sigs, "node").join(sets, "node")
     dealt = dealt.select("hub", "i", "j", "node", "block", "comp", "far", "sig", "set").repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j", "node")
     more = stash(dealt.mapInArrow(tidy(_in_blocks(matches, percent)), "a long, b long"), "links")
