@@ -164,7 +164,7 @@ class Cleaner:
         return "\n".join(s if isinstance(s, str) else json.dumps(s, ensure_ascii=False) for s in samples)
 
     def learn_parser(self) -> None:
-        """For a suffix without a reader, have the model write a parser; it must pass the gate and find records in every file."""
+        """For a suffix without a reader, have the model write a parser; it must pass the gate, run over all files and find records."""
         c = self.config
         if not c.auto_parse or c.parser or c.kind == "text" or not readers.unknown(c.file_path):
             return
