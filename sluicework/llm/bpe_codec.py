@@ -34,6 +34,8 @@ from .shared import record_batch, tidy
 
 #: Words and tokens that a task keeps, the longest of these words, the characters handled at once, and the bytes beyond which a word is linked.
 KEPT, KEPT_TOKENS, KEPT_CHARS, SLICE_CHARS, LONG = 400_000, 4_000_000, 64, 1 << 20, 2048
+#: Characters of several texts that are encoded at once, which takes some 40 bytes each.
+GROUP_CHARS = 1 << 18
 _NONE = np.iinfo(np.int64).max
 
 
@@ -194,13 +196,13 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def slices(column: pa.Array) -> Iterator[tuple[int, int, list[str]]]:
-    """(first row, end row, texts) of about SLICE_CHARS, a longer text alone; null counts as empty."""
+def slices(column: pa.Array, size: int = SLICE_CHARS) -> Iterator[tuple[int, int, list[str]]]:
+    """(first row, end row, texts) of about ``size`` characters, a longer text alone; null counts as empty."""
     sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     ends = np.concatenate([[0], np.cumsum(sizes + 1)])
     lo = 0
     while lo < len(column):
-        hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + SLICE_CHARS, "right")) - 1)
+        hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + size, "right")) - 1)
         hi = min(hi, len(column))
         yield lo, hi, [t or "" for t in column.slice(lo, hi - lo).to_pylist()]
         lo = hi
@@ -245,7 +247,7 @@ def _run(path: str, keep: bool, id_col: str):
         for batch in batches:
             more = [("ids", pa.list_(pa.int32())), ("decoded_sha256", pa.string())] if keep else [("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
             schema = pa.schema([(id_col, batch.schema.field(0).type), *more])
-            for lo, hi, texts in slices(batch.column(1)):
+            for lo, hi, texts in slices(batch.column(1), GROUP_CHARS):
                 made = _encoded(own, decimal, texts, keep)
                 n, ids_sha256, decoded_sha256 = zip(*(digest.read() for _, digest in made))
                 columns = {id_col: batch.column(0).slice(lo, hi - lo), "n_tokens": n, "ids_sha256": ids_sha256, "decoded_sha256": decoded_sha256}

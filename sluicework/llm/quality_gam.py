@@ -19,7 +19,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +27,8 @@ from .shared import fold_case, id_bucket, mix64, record_batch, release, run_hash
 
 MAX_TRAIN, BINS, PAIR_BINS, PAIRS = 20_000, 32, 8, 10
 THRESHOLD = 0.3
+#: Bytes of text measured at once, which take some 50 times as much work space.
+SLICE = 1 << 18
 
 FEATURES = (
     "bytes", "words", "word_length", "letters", "upper", "digits", "spaces", "newlines", "marks", "high_bytes",
@@ -212,7 +213,7 @@ class AdditiveModel:
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("id", pa.string()), ("y", pa.int32()), ("h", pa.int64()), ("x", pa.list_(pa.float64()))])
     for batch in batches:
-        for lo, hi, data, offsets in text_slices(batch.column(3)):
+        for lo, hi, data, offsets in text_slices(batch.column(3), SLICE):
             x = measure(data, offsets)
             ends = np.arange(hi - lo + 1, dtype=np.int32) * len(FEATURES)
             own = {c: batch.column(k).slice(lo, hi - lo) for k, c in enumerate(("id", "y", "h"))}
@@ -232,16 +233,20 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return AdditiveModel(**options).fit(x[order], y[order])
 
 
+def _scores(model: AdditiveModel, batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """The scores of each batch of texts, which stay in Arrow's buffers."""
+    for texts in batches:
+        parts = [model.score(measure(data, offsets)) for _, _, data, offsets in text_slices(texts, SLICE)]
+        yield pa.array(np.concatenate(parts) if parts else np.zeros(0))
+
+
 def score(docs: DataFrame, model: AdditiveModel, text_col: str = "text", out: str = "score") -> DataFrame:
     """``docs`` with a score column (0 to 1, higher: better)."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            column = pa.Array.from_pandas(texts, type=pa.large_string())
-            parts = [sent.value.score(measure(data, offsets)) for _, _, data, offsets in text_slices(column)]
-            yield pd.Series(np.concatenate(parts) if parts else np.zeros(0))
+    @F.arrow_udf("double")
+    def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from _scores(sent.value, batches)
         release()
 
     return docs.withColumn(out, scored(F.col(text_col).cast("string")))

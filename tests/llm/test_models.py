@@ -3,9 +3,11 @@
 import math
 import random
 import re
+import tracemalloc
 from bisect import bisect_right
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from sluicework.llm import language_id, quality_gam
@@ -60,6 +62,19 @@ def test_features_and_scores_equal_plain_python():
         assert got[k] == pytest.approx(1 / (1 + math.exp(-margin)), abs=1e-12)
 
 
+def test_scoring_takes_little_space_and_no_slicing_changes_a_score():
+    rows = ["".join(random.Random(k).choices("ab cde fgh. ", k=2000)) + chr(10) + "x" * (k % 7) for k in range(2000)] + [None, ""]
+    x = quality_gam.measure(*laid_out([t or "" for t in rows]))
+    model = quality_gam.AdditiveModel(rounds=3, pair_rounds=2).fit(x, np.arange(len(rows)) % 2 * 1.0)
+    column = pa.array(rows)
+    tracemalloc.start()
+    (got,) = quality_gam._scores(model, iter([column]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.to_pylist() == model.score(x).tolist()
+    assert peak < 6 * column.nbytes  # slices of 1 MB took 12 times the column's 4 MB
+
+
 def test_a_tree_finds_the_best_cuts():
     rng = np.random.default_rng(3)
     model = quality_gam.AdditiveModel(leaves=2)

@@ -2,10 +2,12 @@ import hashlib
 import random
 import re
 import time
+import tracemalloc
 
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -319,3 +321,17 @@ def test_the_last_stage_decodes_too(spark):
 def test_registration():
     names = __spark_entry__.queries()
     assert "pipeline" in names and set(__spark_entry__.oracle_sql()) <= set(names)
+
+
+def test_encoding_many_texts_takes_little_space():
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdefgh", k=rng.randrange(2, 9))) for _ in range(3000)]
+    texts = [" ".join(rng.choices(words, k=700)) for _ in range(400)]
+    batch = pa.record_batch({"doc_id": pa.array(range(400)), "text": texts})
+    enc, run = bpe_codec.encoder(PATH), bpe_codec._run(PATH, True, "doc_id")
+    tracemalloc.start()
+    made = list(run(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 15 * batch.nbytes  # 9 times; groups of 1 MB took 22 times
+    assert [x for part in made for x in part.column("ids").to_pylist()] == [x.tolist() for x in enc.encode(texts)]
