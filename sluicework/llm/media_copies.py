@@ -344,8 +344,10 @@ def _merged(comps: DataFrame, more: DataFrame) -> DataFrame:
 
 
 def _links(met: DataFrame, pictures: DataFrame, agree: int) -> DataFrame:
-    """The copies among pairs that meet: ``met`` has a row for each key that a and b share, with the range of either's corners."""
-    enough = (F.min("a_first") < F.max("a_last")) & (F.min("b_first") < F.max("b_last"))
+    """The copies among pairs that meet: ``met`` has a row for each key that a and b share, with the range of either's corners, or of b's alone."""
+    enough = F.min("b_first") < F.max("b_last")
+    if "a_first" in met.columns:
+        enough &= F.min("a_first") < F.max("a_last")
     pairs = stash(met.groupBy("a", "b").agg(enough.alias("enough")).where("enough").select("a", "b"), "pairs")
     # what is written has a known size: Spark broadcasts it if it is small, else both sides are shuffled
     ends = stash(pictures.toDF("a", "ma").join(pairs.select("a"), "a", "left_semi"), "ends")
@@ -408,9 +410,9 @@ def copies(media: DataFrame, id_col: str, image_col: str, agree: int = AGREEING)
     shared = stash(posts.join(lists, "key"), "shared")
     side = lambda name: [F.col("id").alias(name), F.col("first").alias(f"{name}_first"), F.col("last").alias(f"{name}_last")]
 
-    # every member with its list's hub, then, in lists of several components, members outside the hub's with another of it
-    hubs = shared.where("id = hub").select("key", *side("a"))
-    found = _links(shared.where("id <> hub").select("key", *side("b")).join(hubs, "key"), pictures, agree)
+    # every member with its list's hub, which its row names, so that no join is needed: alike() counts the hub's corners;
+    # then, in lists of several components, members outside the hub's with another of it
+    found = _links(shared.where("id <> hub").select(F.col("hub").alias("a"), *side("b")), pictures, agree)
     comps = stash(components(found.unionByName(same)), "components")
     tagged = _mixed(shared, comps)
     for turn in range(HUBS):

@@ -78,6 +78,26 @@ def test_components_equal_brute_force(spark, monkeypatch, short):
     assert sum(got[60 + k] == 20 + k for k in range(30)) >= 27 and got[102] == got[103] == 3
 
 
+def test_a_group_of_copies_is_joined_once_and_grows_in_proportion(spark, monkeypatch):
+    made, stash = {}, media_copies.stash
+
+    def kept(df, label):
+        out = stash(df, label)
+        made.setdefault(label, []).append((df._jdf.queryExecution().optimizedPlan().toString(), out.count()))
+        return out
+
+    monkeypatch.setattr(media_copies, "stash", kept)
+    rng = np.random.default_rng(4)
+    group, rows = rng.normal(0, 0.125, 64) + rng.normal(0, 0.002, (120, 64)), []
+    for n in (60, 120):
+        made.clear()
+        media = vectors(spark, group[:n])
+        assert {r["component_id"] for r in media_copies.copies(media, "vec_id", "image").collect()} == {0}
+        rows.append(made["shared"][0][1])
+        assert "Join" not in made["pairs"][0][0]  # the hub is in each member's row; a second join made a row for each member again
+    assert 1.5 < rows[1] / rows[0] < 2.5
+
+
 def test_grids_of_flat_cells_go_through_blocks(spark, monkeypatch):
     """Pictures whose corners all look alike share long lists by chance; what the operator says of them is still what all pairs say."""
     monkeypatch.setattr(media_copies, "SHORT", 2)
